@@ -1,0 +1,28 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a bounded count proves it small; beyond
+the bound the plain DataFrame is returned and Spark (with AQE) picks a
+shuffle join.  ``limit(n + 1).count()`` stops reading once the bound is
+passed, so the check costs at most ``n + 1`` rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def require_small(df: DataFrame, max_rows: int, what: str) -> DataFrame:
+    """Broadcast a side that must be small by construction (grids, node
+    tables); fail loudly instead of silently broadcasting a big table."""
+    n = df.limit(max_rows + 1).count()
+    if n > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows; refusing to broadcast it")
+    return F.broadcast(df)
