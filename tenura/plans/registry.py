@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "tenura.plans.survival_queries",
+    "tenura.plans.explore_queries",
 ]
 
 
