@@ -5,6 +5,12 @@ task.  These helpers range-partition on the order key instead: each
 partition is numbered locally, partition totals (one row per partition)
 give offsets, and a small join adds them back.  Work stays spread over
 all tasks; only ``#partitions`` rows are combined centrally.
+
+The locally numbered data is read twice (totals and the final join).
+Range bounds are sampled per evaluation and a shuffled input has no
+fixed row order, so the numbered data is written once with a reliable
+``checkpoint`` (shared folder, survives executor loss) and both reads
+see the same partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenura.session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -33,6 +41,7 @@ def global_row_index(df: DataFrame, order_cols: Sequence[str | Column], name: st
     r = (df.repartitionByRange(_n_parts(df, n_partitions), *cols)
          .sortWithinPartitions(*cols)
          .withColumn("_mid", F.monotonically_increasing_id()))
+    r = cut_lineage(r)
     r = r.withColumn("_pid", F.shiftright(F.col("_mid"), 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW33)))
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offs = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
@@ -47,7 +56,7 @@ def global_prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], s
 
     Per-partition cumulative sums run vectorised in ``mapInPandas`` over
     range partitions; partition totals become offsets."""
-    r = df.repartitionByRange(_n_parts(df, n_partitions), order_col).sortWithinPartitions(order_col)
+    r = cut_lineage(df.repartitionByRange(_n_parts(df, n_partitions), order_col).sortWithinPartitions(order_col))
     base_schema = r.schema
     out_fields = list(base_schema.fields) + [T.StructField("_pid", T.LongType())] + \
         [T.StructField(c + suffix, T.DoubleType()) for c in sum_cols]
@@ -69,7 +78,7 @@ def global_prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], s
             yield pdf
 
     loc = r.mapInPandas(local, out_schema)
-    tot = r.withColumn("_pid", F.spark_partition_id().cast("long")).groupBy("_pid").agg(
+    tot = loc.groupBy("_pid").agg(
         *[F.sum(F.col(c).cast("double")).alias("_t_" + c) for c in scols])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *[F.coalesce(F.sum("_t_" + c).over(w), F.lit(0.0)).alias("_o_" + c) for c in scols])

@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "tenura.plans.survival_queries",
     "tenura.plans.explore_queries",
+    "tenura.plans.model_queries",
 ]
 
 

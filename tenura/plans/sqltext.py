@@ -38,7 +38,18 @@ ship AS (SELECT o_custkey * 1000 + l_linenumber AS k,
        CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INTEGER) AS e,
        l_quantity AS q, l_extendedprice AS p
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_shipdate >= o_orderdate)
+WHERE l_shipdate >= o_orderdate),
+enc AS (SELECT account_id, CAST(senior AS DOUBLE) AS senior,
+  CAST(CASE WHEN partner = 'No' THEN 0 WHEN partner = 'Yes' THEN 1 END AS DOUBLE) AS partner,
+  CAST(CASE WHEN dependents = 'No' THEN 0 WHEN dependents = 'Yes' THEN 1 END AS DOUBLE) AS dependents, CAST(tenure AS DOUBLE) AS tenure,
+  CAST(CASE WHEN online_security IN ('No', 'No internet service') THEN 0 WHEN online_security = 'Yes' THEN 1 END AS DOUBLE) AS online_security,
+  monthly_charges, total_charges,
+  CAST(CASE WHEN churn = 'No' THEN 0 WHEN churn = 'Yes' THEN 1 END AS INTEGER) AS churn,
+  CAST(contract = 'Month-to-month' AS DOUBLE) AS "contract_Month-to-month", CAST(contract = 'One year' AS DOUBLE) AS "contract_One year",
+  CAST(contract = 'Two year' AS DOUBLE) AS "contract_Two year",
+  CASE WHEN CAST(('0x' || substr(md5(CAST(account_id AS VARCHAR) || '|' || '42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2
+       THEN 'test' ELSE 'train' END AS split
+  FROM cpanel)
 """
 
 
