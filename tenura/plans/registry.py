@@ -8,6 +8,7 @@ MODULES = [
     "tenura.plans.survival_queries",
     "tenura.plans.explore_queries",
     "tenura.plans.model_queries",
+    "tenura.plans.cox_queries",
 ]
 
 
