@@ -148,45 +148,72 @@ def pdp_2d(df: DataFrame, ens: Ensemble, f1: str, g1: Sequence[float], f2: str,
 
 
 # ------------------------------------------------------------------ leaf-path algebra
-def _leaf_terms(ens: Ensemble):
-    out = []
-    for (_t, _leaf, v, cons) in ens.leaf_paths():
-        feats = sorted(cons)
-        o = {f: in_interval(F.col(f"`{f}`").cast("double"), cons[f][0], cons[f][1]) for f in feats}
-        z = {f: cons[f][2] for f in feats}
-        out.append((v, feats, o, z))
-    return out
-
-
-def recursion_pd_col(ens: Ensemble, subset: set[str], terms=None) -> Column:
-    """E[f | x_S] by the leaf-path product (splits outside S weighted by cover)."""
-    terms = terms or _leaf_terms(ens)
-    total = F.lit(float(ens.base_margin))
-    for v, feats, o, z in terms:
-        e = F.lit(float(v))
-        for f in feats:
-            e = e * (o[f] if f in subset else F.lit(z[f]))
-        total = total + e
-    return total
-
-
-def shap_col(ens: Ensemble, feature: str, terms=None) -> Column:
-    """Path-dependent Tree SHAP for one feature, closed form per leaf."""
-    terms = terms or _leaf_terms(ens)
-    total = F.lit(0.0)
-    for v, feats, o, z in terms:
-        if feature not in feats:
-            continue
-        others = [f for f in feats if f != feature]
-        m = len(feats)
-        acc = F.lit(0.0)
-        for s in subsets(others):
-            term = F.lit(shapley_weight(len(s), m))
-            for f in others:
-                term = term * (o[f] if f in s else F.lit(z[f]))
-            acc = acc + term
-        total = total + F.lit(float(v)) * (o[feature] - F.lit(z[feature])) * acc
-    return total
+def bsum(cols: list[Column]) -> Column:
+    """Balanced sum (shallow expression tree for many terms)."""
+    if not cols:
+        return F.lit(0.0)
+    while len(cols) > 1:
+        cols = [cols[i] + cols[i + 1] if i + 1 < len(cols) else cols[i] for i in range(0, len(cols), 2)]
+    return cols[0]
+
+
+class LeafAlgebra:
+    """Leaf paths of an ensemble with each distinct interval indicator
+    o = 1[x_f in (lo, hi]] computed ONCE as a column ``_o<k>``; SHAP and
+    recursion-PD expressions then only reference those columns, so the
+    plan stays small even for hundreds of leaves."""
+
+    def __init__(self, ens: Ensemble):
+        self.ens = ens
+        self.ind = {}
+        self.terms = []
+        for (_t, _leaf, v, cons) in ens.leaf_paths():
+            feats = sorted(cons)
+            o = {}
+            for f in feats:
+                key = (f, cons[f][0], cons[f][1])
+                if key not in self.ind:
+                    self.ind[key] = f"_o{len(self.ind)}"
+                o[f] = F.col(self.ind[key])
+            self.terms.append((v, feats, o, {f: cons[f][2] for f in feats}))
+
+    def indicator_cols(self) -> list[Column]:
+        return [in_interval(F.col(f"`{f}`").cast("double"), lo, hi).alias(name)
+                for (f, lo, hi), name in self.ind.items()]
+
+    def with_indicators(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *self.indicator_cols())
+
+    def recursion_pd(self, subset: set[str]) -> Column:
+        parts = [F.lit(float(self.ens.base_margin))]
+        for v, feats, o, z in self.terms:
+            e = F.lit(float(v))
+            for f in feats:
+                e = e * (o[f] if f in subset else F.lit(z[f]))
+            parts.append(e)
+        return bsum(parts)
+
+    def shap(self, feature: str) -> Column:
+        parts = []
+        for v, feats, o, z in self.terms:
+            if feature not in feats:
+                continue
+            others = [f for f in feats if f != feature]
+            m = len(feats)
+            acc = []
+            for s in subsets(others):
+                term = F.lit(shapley_weight(len(s), m))
+                for f in others:
+                    term = term * (o[f] if f in s else F.lit(z[f]))
+                acc.append(term)
+            parts.append(F.lit(float(v)) * (o[feature] - F.lit(z[feature])) * bsum(acc))
+        return bsum(parts)
+
+
+def recursion_pd_col(ens: Ensemble, subset: set[str], alg: LeafAlgebra | None = None) -> Column:
+    """E[f | x_S] by the leaf-path product (splits outside S weighted by
+    cover).  Needs the indicator columns of ``alg`` on the input."""
+    return (alg or LeafAlgebra(ens)).recursion_pd(subset)
 
 
 def shap_base_value(ens: Ensemble) -> float:
@@ -203,12 +230,14 @@ def shap_base_value(ens: Ensemble) -> float:
 def shap_values(df: DataFrame, ens: Ensemble, id_col: str, features: Sequence[str] | None = None) -> DataFrame:
     """Long (id, feature, value, phi, phi_prob_naive, base, margin, p_model)."""
     feats = list(features or ens.features())
-    terms = _leaf_terms(ens)
+    alg = LeafAlgebra(ens)
     base = shap_base_value(ens)
     m = margin_with(ens, spark_ref)
+    staged = alg.with_indicators(df.select(id_col, *[F.col(f"`{f}`") for f in ens.features()
+                                                      if f not in feats] + [F.col(f"`{f}`") for f in feats]))
     items = [F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value"),
-                      shap_col(ens, f, terms).alias("phi")) for f in feats]
-    r = df.select(id_col, m.alias("margin"), F.explode(F.array(*items)).alias("s")).select(id_col, "margin", "s.*")
+                      alg.shap(f).alias("phi")) for f in feats]
+    r = staged.select(id_col, m.alias("margin"), F.explode(F.array(*items)).alias("s")).select(id_col, "margin", "s.*")
     return r.select(id_col, "feature", "value", "phi",
                     (_p(F.col("phi")) - F.lit(1.0 / (1.0 + math.exp(-base)))).alias("phi_prob_naive"),
                     F.lit(base).alias("base"), "margin", _p(F.col("margin")).alias("p_model"))
@@ -270,11 +299,12 @@ def shap_summary(shap_long: DataFrame) -> DataFrame:
 def h_statistic(df: DataFrame, ens: Ensemble, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Friedman's H for feature pairs, PDs by tree recursion at the
     data points, centred; H^2 = sum (PDjk - PDj - PDk)^2 / sum PDjk^2."""
-    terms = _leaf_terms(ens)
+    alg = LeafAlgebra(ens)
     singles = sorted({f for p in pairs for f in p})
-    cols = {f"s_{f}": recursion_pd_col(ens, {f}, terms) for f in singles}
+    cols = {f"s_{f}": alg.recursion_pd({f}) for f in singles}
     for a, b in pairs:
-        cols[f"p_{a}__{b}"] = recursion_pd_col(ens, {a, b}, terms)
+        cols[f"p_{a}__{b}"] = alg.recursion_pd({a, b})
+    df = alg.with_indicators(df)
     names = list(cols)
     pd_df = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(cols.values())])
     means = pd_df.agg(*[F.avg(f"_c{i}").alias(f"_c{i}") for i in range(len(names))]).first()

@@ -9,6 +9,7 @@ MODULES = [
     "tenura.plans.explore_queries",
     "tenura.plans.model_queries",
     "tenura.plans.cox_queries",
+    "tenura.plans.ml_queries",
 ]
 
 

@@ -48,8 +48,10 @@ def test_permuting_unused_feature_gives_zero(enc):
 
 def test_leaf_formula_equals_recursion(enc, spark):
     ens = tr.Ensemble(tr.FROZEN_NODES)
+    alg = ex.LeafAlgebra(ens)
+    staged = alg.with_indicators(enc)
     for subset in [set(), {"tenure"}, {"tenure", "monthly_charges"}]:
-        a = ex.recursion_pd_col(ens, subset)
+        a = alg.recursion_pd(subset)
         b = F.expr(ens.recursion_pd_sql(subset, tr.spark_ref))
-        worst = enc.select(F.max(F.abs(a - b))).first()[0]
+        worst = staged.select(F.max(F.abs(a - b))).first()[0]
         assert worst < 1e-12
