@@ -441,3 +441,28 @@ def g08_vif(spark, sf):
     d, _ = fe.panel_features(clean_panel(account_panel(spark, sf)))
     return finish(fe.vif(d, ["senior", "partner", "dependents", "tenure", "online_security", "monthly_charges",
                              "total_charges", "contract_One year", "contract_Two year"]))
+
+
+# ---------------------------------------------------------------- A2, D2, F4
+@_reg("a2_raw_beside_clean", """SELECT p.account_id, p.total_charges AS total_charges_raw, round(c.total_charges, 6) AS total_charges
+  FROM panel p LEFT JOIN cpanel c ON p.account_id = c.account_id""")
+def a2_raw_beside_clean(spark, sf):
+    raw = account_panel(spark, sf)
+    cleaned = clean_panel(raw)
+    return finish(raw.select("account_id", F.col("total_charges").alias("total_charges_raw"))
+                  .join(cleaned.select("account_id", "total_charges"), "account_id", "left"))
+
+
+@_reg("d02_scaled_join_back", """WITH _z AS (SELECT account_id, (monthly_charges - AVG(monthly_charges) OVER ()) / STDDEV_POP(monthly_charges) OVER () AS z
+  FROM cpanel) SELECT c.account_id, c.contract, round(_z.z, 6) AS monthly_charges_z FROM cpanel c LEFT JOIN _z ON c.account_id = _z.account_id""")
+def d02_scaled_join_back(spark, sf):
+    c = clean_panel(account_panel(spark, sf))
+    z = fe.standardize(c.select("account_id", "monthly_charges"), ["monthly_charges"], "_z").select("account_id", "monthly_charges_z")
+    return finish(c.select("account_id", "contract").join(z, "account_id", "left"))
+
+
+@_reg("f04_event_time_rank", """SELECT tenure, CAST(DENSE_RANK() OVER (ORDER BY tenure) AS BIGINT) AS rank
+  FROM (SELECT DISTINCT tenure FROM subj WHERE event = 1)""")
+def f04_event_time_rank(spark, sf):
+    from tenura.operators.windows import dense_time_rank
+    return dense_time_rank(subjects(spark, sf).where(F.col("event") == 1), "tenure")

@@ -10,6 +10,7 @@ from tenura.operators import explain as ex
 from tenura.operators import lime
 from tenura.operators import metrics as me
 from tenura.operators import models as mo
+from tenura.operators import smote
 from tenura.operators import trees as tr
 from tenura.operators.features import hash_split, panel_features
 from tenura.plans.common import finish
@@ -250,3 +251,20 @@ def j05_lime_fidelity(spark, sf):
 def j06_sp_lime(spark, sf):
     e, _ = _lime(spark, sf, top_k=5)
     return lime.submodular_pick(e, "account_id", LIME_FEATS, budget=5)
+
+
+# ---------------------------------------------------------------- G7 / D6 SMOTE-NC on the training split
+SMOTE_NUM = ["tenure", "monthly_charges", "total_charges"]
+SMOTE_CAT = ["senior", "partner", "dependents", "online_security", "contract_Month-to-month", "contract_One year",
+             "contract_Two year"]
+
+
+@_reg("g07_d06_smote_nc_balance")
+def g07_d06_smote_nc_balance(spark, sf):
+    d, _ = encoded_all(spark, sf)
+    train = d.where(F.col("split") == "train")
+    counts = {r[0]: r[1] for r in train.groupBy("churn").count().collect()}
+    minority = min(counts, key=lambda c: (counts[c], c))
+    out = smote.smote_nc(train, "churn", minority, SMOTE_NUM, SMOTE_CAT, k=5, seed=0)
+    return finish(out.groupBy("churn", "synthetic").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in SMOTE_NUM]))
