@@ -36,7 +36,12 @@ def event_table(df: DataFrame, duration: str, event: str, groups: Sequence[str]
 
     A t=0 row is added per group when no subject has duration 0, so the
     table starts where the curve starts (S(0)=1)."""
-    tc = time_counts(df, duration, event, groups)
+    return event_table_from_counts(time_counts(df, duration, event, groups), groups, add_origin)
+
+
+def event_table_from_counts(tc: DataFrame, groups: Sequence[str] = (), add_origin: bool = True) -> DataFrame:
+    """K4 from pre-aggregated (groups..., t, removed, observed) counts, e.g.
+    the state table maintained by the streaming job."""
     if add_origin:
         origin = tc.select(*groups).distinct().select(*groups, F.lit(0).cast(tc.schema["t"].dataType).alias("t"),
                                                       F.lit(0).cast("long").alias("removed"),
@@ -56,8 +61,12 @@ def event_table(df: DataFrame, duration: str, event: str, groups: Sequence[str]
 def kaplan_meier(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (),
                  confidence: float = 0.95) -> DataFrame:
     """K1/K2/K7/K8: product-limit curve with Greenwood log(-log) band."""
+    return km_from_event_table(event_table(df, duration, event, groups), groups, confidence)
+
+
+def km_from_event_table(ev: DataFrame, groups: Sequence[str] = (), confidence: float = 0.95) -> DataFrame:
+    """Product-limit curve and band from an event table."""
     z = z_quantile(confidence)
-    ev = event_table(df, duration, event, groups)
     cum = _w(groups).rowsBetween(UNB_PRE, 0)
     n, d = F.col("at_risk"), F.col("observed")
     s = F.product(F.lit(1.0) - d / n).over(cum)

@@ -249,3 +249,10 @@ def e15_naive_mean_lifetime(spark, sf):
   CAST(tenure < 24 AS INTEGER) AS event FROM subj""")
 def c17_censor_at_24(spark, sf):
     return finish(sv.censor_at(subjects(spark, sf), "tenure", 24, id_col="account_id"))
+
+
+# ---------------------------------------------------------------- streaming form of K1 (same oracle as k01_km_shipments)
+@_reg("s01_streamed_km_shipments", "WITH " + km_sql("ship", "t", "e", []) + "\n" + _km_select([]))
+def s01_streamed_km_shipments(spark, sf):
+    from tenura.streaming.survival_stream import streamed_km
+    return finish(streamed_km(spark, sf))
