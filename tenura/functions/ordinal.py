@@ -85,3 +85,24 @@ def global_prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], s
     j = loc.join(F.broadcast(offs), "_pid")
     return j.select(*[F.col(f.name) for f in base_schema.fields],
                     *[(F.col(c + suffix) + F.col("_o_" + c)).alias(c + suffix) for c in scols])
+
+
+# Above this many rows an ordered aggregate is numbered with range partitioning.
+LOCAL_ORDER_MAX_ROWS = 2_000_000
+
+
+def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], suffix: str = "_cum",
+                inclusive: bool = True, max_local_rows: int = LOCAL_ORDER_MAX_ROWS) -> DataFrame:
+    """Running sums over an *aggregated* table (one row per distinct key).
+
+    The size is checked first with a bounded count: up to
+    ``max_local_rows`` distinct keys a plain ordered window is cheapest
+    (its work is bounded by the key count, not by the data); beyond that
+    the range-partitioned ``global_prefix_sums`` is used."""
+    n = df.limit(max_local_rows + 1).count()
+    if n > max_local_rows:
+        return global_prefix_sums(df, order_col, sum_cols, suffix, inclusive)
+    hi = 0 if inclusive else -1
+    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, hi)
+    return df.select("*", *[F.coalesce(F.sum(F.col(c).cast("double")).over(w), F.lit(0.0)).alias(c + suffix)
+                            for c in sum_cols])

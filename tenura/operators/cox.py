@@ -21,6 +21,7 @@ as literals, so the lineage never grows between iterations.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.functions.ordinal import global_prefix_sums
+from tenura.functions.ordinal import prefix_sums as global_prefix_sums
 from tenura.functions.stats import Z_95, chi2_sf_df1
 
 UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
@@ -61,80 +62,82 @@ def _pairs(p):
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _time_table(d: DataFrame, p: int, strata: Sequence[str], beta: np.ndarray, has_start: bool) -> DataFrame:
-    """Per (stratum, t): event counts/sums and risk-set sums at t."""
-    xb = sum((F.col(f"_x{j}") * F.lit(float(beta[j])) for j in range(p)), F.lit(0.0))
-    w = F.exp(xb)
+def _q(c: str) -> str:
+    return f"`{c}`"
+
+
+def _iteration_sql(view: str, p: int, strata: Sequence[str], beta: np.ndarray, has_start: bool, ties: str) -> str:
+    """One Newton iteration as a single SQL statement over the cached
+    working view: per-(stratum, time) sums, risk-set running sums over the
+    distinct times, Efron scalars, and the final (ll, gradient, Hessian) sums.
+    Built as text so the whole plan is one call, however many sums it has."""
     pr = _pairs(p)
-    base = d.select(*strata, "_t", "_e", *([F.col("_s")] if has_start else []),
-                    *[F.col(f"_x{j}") for j in range(p)], xb.alias("_xb"), w.alias("_w"))
-    ev = F.col("_e") == 1
+    g = "".join(f"{_q(x)}, " for x in strata)
+    part = f"PARTITION BY {', '.join(_q(x) for x in strata)} " if strata else ""
+    xb = " + ".join(f"_x{j} * CAST({float(beta[j])!r} AS DOUBLE)" for j in range(p)) or "CAST(0 AS DOUBLE)"
+    start_col = ", _s" if has_start else ""
 
     def sums(prefix, cond):
-        c = (lambda e: F.when(cond, e).otherwise(F.lit(0.0))) if cond is not None else (lambda e: e)
-        out = [F.sum(c(F.col("_w"))).alias(f"{prefix}0")]
-        out += [F.sum(c(F.col("_w") * F.col(f"_x{j}"))).alias(f"{prefix}1_{j}") for j in range(p)]
-        out += [F.sum(c(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}"))).alias(f"{prefix}2_{i}_{j}") for i, j in pr]
+        w = "_w" if cond is None else f"CASE WHEN {cond} THEN _w ELSE CAST(0 AS DOUBLE) END"
+        out = [f"SUM({w}) AS {prefix}0"]
+        out += [f"SUM({w} * _x{j}) AS {prefix}1_{j}" for j in range(p)]
+        out += [f"SUM({w} * _x{i} * _x{j}) AS {prefix}2_{i}_{j}" for i, j in pr]
         return out
 
-    adds = base.groupBy(*strata, F.col("_t").alias("t")).agg(
-        *sums("a", None), *sums("b", ev),
-        F.count_if(ev).alias("d"), F.sum(F.when(ev, F.col("_xb")).otherwise(F.lit(0.0))).alias("xbd"),
-        *[F.sum(F.when(ev, F.col(f"_x{j}")).otherwise(F.lit(0.0))).alias(f"xd_{j}") for j in range(p)])
     rcols = ["a0"] + [f"a1_{j}" for j in range(p)] + [f"a2_{i}_{j}" for i, j in pr]
+    bcols = ["b0"] + [f"b1_{j}" for j in range(p)] + [f"b2_{i}_{j}" for i, j in pr]
+    evsum = ["CAST(SUM(CASE WHEN _e = 1 THEN 1 ELSE 0 END) AS BIGINT) AS d",
+             "SUM(CASE WHEN _e = 1 THEN _xb ELSE CAST(0 AS DOUBLE) END) AS xbd"]
+    evsum += [f"SUM(CASE WHEN _e = 1 THEN _x{j} ELSE CAST(0 AS DOUBLE) END) AS xd_{j}" for j in range(p)]
+    adds = (f"SELECT {g}_t AS t, {', '.join(sums('a', None) + sums('b', '_e = 1') + evsum)} "
+            f"FROM _base GROUP BY {g}_t")
+    ctes = [f"_base AS (SELECT {g}_t, _e{start_col}, {', '.join(f'_x{j}' for j in range(p))}, ({xb}) AS _xb, "
+            f"exp({xb}) AS _w FROM {view})", f"_adds AS ({adds})"]
     if has_start:
-        rem = base.groupBy(*strata, F.col("_s").alias("t")).agg(*sums("a", None))
-        rem = rem.select(*strata, "t", *[(-F.col(c)).alias(c) for c in rcols])
-        zero_ev = [F.lit(0.0).alias(c) for c in ["b0"] + [f"b1_{j}" for j in range(p)] + [f"b2_{i}_{j}" for i, j in pr]]
-        rem = rem.select("*", *zero_ev, F.lit(0).cast("long").alias("d"), F.lit(0.0).alias("xbd"),
-                         *[F.lit(0.0).alias(f"xd_{j}") for j in range(p)])
-        allc = adds.columns
-        adds = adds.unionByName(rem.select(*allc)).groupBy(*strata, "t").agg(
-            *[F.sum(c).alias(c) for c in allc if c not in (*strata, "t")])
-    wnd = (Window.partitionBy(*strata) if strata else Window.partitionBy()).orderBy(F.desc("t")).rowsBetween(UNB_PRE, 0)
-    risk = [F.sum(F.col(c)).over(wnd).alias("R" + c[1:]) for c in rcols]
-    keep = ["d", "xbd"] + [f"xd_{j}" for j in range(p)] + ["b0"] + [f"b1_{j}" for j in range(p)] + \
-        [f"b2_{i}_{j}" for i, j in pr]
-    return adds.select(*strata, "t", *keep, *risk)
-
-
-def _efron_scalars(d: Column, r0: Column, d0: Column, ties: str):
-    """Sums over l = 0..d-1 of 1/den, c/den, 1/den^2, c/den^2, c^2/den^2,
-    log den with den = R0 - c D0 and c = l/d (Breslow: c = 0)."""
+        ctes.append(f"_rem0 AS (SELECT {g}_s, {', '.join(sums('a', None))} FROM _base GROUP BY {g}_s)")
+        rem_sql = (f"SELECT {g}_s AS t, " + ", ".join(f"-{c} AS {c}" for c in rcols) + ", "
+                   + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in bcols) + ", CAST(0 AS BIGINT) AS d, "
+                   + "CAST(0 AS DOUBLE) AS xbd, " + ", ".join(f"CAST(0 AS DOUBLE) AS xd_{j}" for j in range(p))
+                   + " FROM _rem0")
+        allc = rcols + bcols + ["d", "xbd"] + [f"xd_{j}" for j in range(p)]
+        ctes.append(f"_un AS (SELECT {g}t, {', '.join(allc)} FROM _adds UNION ALL {rem_sql})")
+        ctes.append(f"_tt0 AS (SELECT {g}t, {', '.join(f'SUM({c}) AS {c}' for c in allc)} FROM _un GROUP BY {g}t)")
+        src = "_tt0"
+    else:
+        src = "_adds"
+    win = f"({part}ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    risk = [f"SUM({c}) OVER {win} AS R{c[1:]}" for c in rcols]
+    keep = ["d", "xbd"] + [f"xd_{j}" for j in range(p)] + bcols
+    ctes.append(f"_tt AS (SELECT {g}t, {', '.join(keep)}, {', '.join(risk)} FROM {src})")
     if ties == "breslow":
-        dd = d.cast("double")
-        return dict(A=dd / r0, B=F.lit(0.0), C=dd / (r0 * r0), D=F.lit(0.0), E=F.lit(0.0), L=dd * F.log(r0))
-    seq = F.sequence(F.lit(0).cast("long"), d.cast("long") - 1)
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in "ABCDEL"])
-
-    def step(acc, l):
-        c = l.cast("double") / d.cast("double")
-        den = r0 - c * d0
-        return F.struct((acc["A"] + 1 / den).alias("A"), (acc["B"] + c / den).alias("B"),
-                        (acc["C"] + 1 / (den * den)).alias("C"), (acc["D"] + c / (den * den)).alias("D"),
-                        (acc["E"] + c * c / (den * den)).alias("E"), (acc["L"] + F.log(den)).alias("L"))
-    s = F.aggregate(seq, zero, step)
-    return {k: s[k] for k in "ABCDEL"}
-
-
-def _loglik_grad_hess(tt: DataFrame, p: int, ties: str):
-    pr = _pairs(p)
-    d = F.col("d")
-    sc = _efron_scalars(d, F.col("R0"), F.col("b0"), ties)
-    e = tt.where(d > 0).select("*", *[v.alias(f"_{k}") for k, v in sc.items()])
-    A, B, C, D, E, L = (F.col(f"_{k}") for k in "ABCDEL")
-    R1 = [F.col(f"R1_{j}") for j in range(p)]
-    D1 = [F.col(f"b1_{j}") for j in range(p)]
-    aggs = [F.sum(F.col("xbd") - L).alias("ll")]
-    aggs += [F.sum(F.col(f"xd_{j}") - (R1[j] * A - D1[j] * B)).alias(f"g{j}") for j in range(p)]
+        sc = ("CAST(d AS DOUBLE) / R0 AS ef_a, CAST(0 AS DOUBLE) AS ef_b, CAST(d AS DOUBLE) / (R0 * R0) AS ef_c, "
+              "CAST(0 AS DOUBLE) AS ef_d, CAST(0 AS DOUBLE) AS ef_e, CAST(d AS DOUBLE) * ln(R0) AS ef_l")
+        ctes.append(f"_ef AS (SELECT *, {sc} FROM _tt WHERE d > 0)")
+    else:
+        den = "(R0 - (CAST(l AS DOUBLE) / CAST(d AS DOUBLE)) * b0)"
+        c = "(CAST(l AS DOUBLE) / CAST(d AS DOUBLE))"
+        z = "CAST(0 AS DOUBLE)"
+        lam = (f"aggregate(sequence(CAST(0 AS BIGINT), d - 1), named_struct('A', {z}, 'B', {z}, 'C', {z}, 'D', {z}, "
+               f"'E', {z}, 'L', {z}), (acc, l) -> named_struct("
+               f"'A', acc.A + 1 / {den}, 'B', acc.B + {c} / {den}, 'C', acc.C + 1 / ({den} * {den}), "
+               f"'D', acc.D + {c} / ({den} * {den}), 'E', acc.E + {c} * {c} / ({den} * {den}), "
+               f"'L', acc.L + ln({den})))")
+        ctes.append(f"_ef0 AS (SELECT *, {lam} AS _s FROM _tt WHERE d > 0)")
+        ctes.append("_ef AS (SELECT *, _s.A AS ef_a, _s.B AS ef_b, _s.C AS ef_c, _s.D AS ef_d, _s.E AS ef_e, "
+                    "_s.L AS ef_l FROM _ef0)")
+    aggs = ["SUM(xbd - ef_l) AS ll"]
+    aggs += [f"SUM(xd_{j} - (R1_{j} * ef_a - b1_{j} * ef_b)) AS g{j}" for j in range(p)]
     for i, j in pr:
-        r2, d2 = F.col(f"R2_{i}_{j}"), F.col(f"b2_{i}_{j}")
-        outer = R1[i] * R1[j] * C - (R1[i] * D1[j] + D1[i] * R1[j]) * D + D1[i] * D1[j] * E
-        aggs.append(F.sum(-((r2 * A - d2 * B) - outer)).alias(f"h{i}_{j}"))
-    row = e.agg(*aggs).first()
+        outer = f"(R1_{i} * R1_{j} * ef_c - (R1_{i} * b1_{j} + b1_{i} * R1_{j}) * ef_d + b1_{i} * b1_{j} * ef_e)"
+        aggs.append(f"SUM(-((R2_{i}_{j} * ef_a - b2_{i}_{j} * ef_b) - {outer})) AS h{i}_{j}")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT " + ", ".join(aggs) + " FROM _ef"
+
+
+def _loglik_grad_hess(spark, view: str, p: int, strata, beta, has_start: bool, ties: str):
+    row = spark.sql(_iteration_sql(view, p, strata, beta, has_start, ties)).first()
     g = np.array([row[f"g{j}"] or 0.0 for j in range(p)])
     H = np.zeros((p, p))
-    for i, j in pr:
+    for i, j in _pairs(p):
         H[i, j] = H[j, i] = row[f"h{i}_{j}"] or 0.0
     return float(row["ll"] or 0.0), g, H
 
@@ -165,9 +168,16 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     covariates, strata = list(covariates), list(strata)
     p = len(covariates)
     work, means, sds, n, ne = prepare(df, duration, event, covariates, strata, start)
+    spark = df.sparkSession
+    view = f"_tenura_cox_{uuid.uuid4().hex}"
+    work.createOrReplaceTempView(view)
+    has_start = start is not None
+
+    def evaluate(b):
+        return _loglik_grad_hess(spark, view, p, strata, b, has_start, ties)
     try:
         beta = np.zeros(p)
-        ll, g, H = _loglik_grad_hess(_time_table(work, p, strata, beta, start is not None), p, ties)
+        ll, g, H = evaluate(beta)
         ll0 = ll
         hist = [ll]
         it = 0
@@ -177,12 +187,12 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             except np.linalg.LinAlgError as e:
                 raise ValueError(f"singular information matrix; collinear covariates among {covariates}") from e
             new = beta - step
-            ll_new, g_new, H_new = _loglik_grad_hess(_time_table(work, p, strata, new, start is not None), p, ties)
+            ll_new, g_new, H_new = evaluate(new)
             halv = 0
             while ll_new < ll - 1e-12 and halv < 30:
                 step = step / 2
                 new = beta - step
-                ll_new, g_new, H_new = _loglik_grad_hess(_time_table(work, p, strata, new, start is not None), p, ties)
+                ll_new, g_new, H_new = evaluate(new)
                 halv += 1
             beta, ll, g, H = new, ll_new, g_new, H_new
             hist.append(ll)
@@ -193,6 +203,7 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
         cov_o = cov_std / np.outer(sds, sds)
         return CoxFit(covariates, strata, beta_o, cov_o, ll, ll0, means, it, n, ne, ties, duration, event, start, hist)
     finally:
+        spark.catalog.dropTempView(view)
         work.unpersist()
 
 

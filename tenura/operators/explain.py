@@ -275,7 +275,7 @@ def strongest_interaction(shap_long: DataFrame, data: DataFrame, id_col: str, fe
     d = dependence(shap_long, id_col, feature)
     n = d.select(F.count(F.lit(1))).scalar()
     below = d.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    from tenura.functions.ordinal import global_prefix_sums
+    from tenura.functions.ordinal import prefix_sums as global_prefix_sums
     pos = global_prefix_sums(below, "x", ["c"], suffix="_below", inclusive=False)
     binned = d.join(pos.select("x", "c_below"), "x").withColumn(
         "bin", F.floor(F.col("c_below") * n_bins / n.cast("double")).cast("int"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.functions.ordinal import global_prefix_sums
+from tenura.functions.ordinal import prefix_sums as global_prefix_sums
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -85,8 +85,9 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """One point per distinct score used as threshold (score >= thr
     is positive): (threshold, fpr, tpr)."""
     sc = score_counts(df, label, score).withColumn("neg_s", -F.col("s"))
-    P = df.select(F.count_if(F.col(label) == 1)).scalar()
-    N = df.select(F.count_if(F.col(label) == 0)).scalar()
+    # class totals from the (small) per-score table, not from the rows again
+    P = sc.select(F.sum("pos")).scalar()
+    N = sc.select(F.sum("neg")).scalar()
     cum = global_prefix_sums(sc, "neg_s", ["pos", "neg"], suffix="_cum", inclusive=True)
     return cum.select(F.col("s").alias("threshold"), (F.col("neg_cum") / N.cast("double")).alias("fpr"),
                       (F.col("pos_cum") / P.cast("double")).alias("tpr"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.functions.ordinal import global_prefix_sums, global_row_index
+from tenura.functions.ordinal import global_row_index
+from tenura.functions.ordinal import prefix_sums as global_prefix_sums
 
 
 def quantile_position(df: DataFrame, id_col: str, value: str, name: str = "q") -> DataFrame:
