@@ -92,3 +92,10 @@ def chi2_sf(x: Column, df: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson r as an aggregate that is NULL (not an ANSI divide-by-zero
+    error) when either column is constant in the group."""
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when(sa * sb > 0, F.covar_pop(a, b) / (sa * sb))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenura.functions.stats import safe_corr
+
 
 
 def _melt(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), value_type: str = "string") -> DataFrame:
@@ -137,7 +139,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for j, b in enumerate(cols):
             if j < i:
                 continue
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c_{i}_{j}"))
+            aggs.append(safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c_{i}_{j}"))
             pairs.append((i, j))
     wide = df.agg(*aggs)
     items = []

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenura.functions.stats import safe_corr
+
 from tenura.functions.ordinal import global_row_index
 from tenura.operators.trees import Ensemble, in_interval, shapley_weight, spark_ref, subsets
 
@@ -280,7 +282,7 @@ def strongest_interaction(shap_long: DataFrame, data: DataFrame, id_col: str, fe
     binned = d.join(pos.select("x", "c_below"), "x").withColumn(
         "bin", F.floor(F.col("c_below") * n_bins / n.cast("double")).cast("int"))
     j = binned.join(data.select(id_col, *[F.col(f"`{z}`").cast("double").alias(f"z_{i}") for i, z in enumerate(others)]), id_col)
-    per = j.groupBy("bin").agg(*[F.corr("phi", f"z_{i}").alias(f"r_{i}") for i in range(len(others))])
+    per = j.groupBy("bin").agg(*[safe_corr(F.col("phi"), F.col(f"z_{i}")).alias(f"r_{i}") for i in range(len(others))])
     tot = per.agg(*[F.sum(F.coalesce(F.abs(F.col(f"r_{i}")), F.lit(0.0))).alias(f"s_{i}") for i in range(len(others))])
     return tot.select(F.explode(F.array(*[F.struct(F.lit(z).alias("other"), F.col(f"s_{i}").alias("score"))
                                           for i, z in enumerate(others)])).alias("s")).select("s.*")

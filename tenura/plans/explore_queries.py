@@ -353,7 +353,9 @@ def _corr_sql(cols, src):
     parts = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM {src}")
+            x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+            r = f"CASE WHEN stddev_pop({x}) * stddev_pop({y}) > 0 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
+            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, round({r}, 6) AS r FROM {src}")
     return " UNION ALL ".join(parts)
 
 

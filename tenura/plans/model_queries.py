@@ -499,7 +499,9 @@ J13_OTHERS = [f for f in FEATS if f != "tenure"]
 _n AS (SELECT COUNT(*) AS n FROM _d),
 _b AS (SELECT d.*, CAST(floor((SELECT COUNT(*) FROM _d d2 WHERE d2.x < d.x) * 10 / CAST((SELECT n FROM _n) AS DOUBLE)) AS INTEGER) AS bin FROM _d d),
 _j AS (SELECT b.*, e.* EXCLUDE (account_id) FROM _b b JOIN enc e ON b.account_id = e.account_id),
-_r AS (SELECT bin, """ + ", ".join(f"corr(phi, CAST({DREF(z)} AS DOUBLE)) AS r{i}" for i, z in enumerate(J13_OTHERS)) + """ FROM _j GROUP BY bin)
+_r AS (SELECT bin, """ + ", ".join(
+    f"CASE WHEN stddev_pop(phi) * stddev_pop(CAST({DREF(z)} AS DOUBLE)) > 0 THEN covar_pop(phi, CAST({DREF(z)} AS DOUBLE)) "
+    f"/ (stddev_pop(phi) * stddev_pop(CAST({DREF(z)} AS DOUBLE))) END AS r{i}" for i, z in enumerate(J13_OTHERS)) + """ FROM _j GROUP BY bin)
 """ + " UNION ALL ".join(f"SELECT '{z}' AS other, round(SUM(COALESCE(abs(r{i}), 0.0)), 6) AS score FROM _r" for i, z in enumerate(J13_OTHERS)))
 def j13_strongest_interaction(spark, sf):
     return finish(ex.strongest_interaction(shap_long(spark, sf), encoded(spark, sf), "account_id", "tenure", J13_OTHERS))
