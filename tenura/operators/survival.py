@@ -247,55 +247,57 @@ def exponential_fit(df: DataFrame, duration: str, event: str) -> DataFrame:
     return s.select("events", "exposure", lam.alias("rate"), (F.lit(1.0) / lam).alias("mean_lifetime"))
 
 
-def weibull_fit(df: DataFrame, duration: str, event: str, max_iter: int = 100, tol: float = 1e-10) -> DataFrame:
-    """Weibull S(t)=exp(-(t/lam)^rho) by Newton on (log lam, log rho).
-
-    Each iteration is one aggregate over the (t, d, n) table, which is
-    cached; only five sums reach the driver.  Durations must be > 0."""
+def weibull_fit(df: DataFrame, duration: str, event: str, max_iter: int = 200, tol: float = 1e-9) -> DataFrame:
+    """Weibull S(t)=exp(-(t/lam)^rho) by maximum likelihood in
+    (a, b) = (log lam, log rho).
+
+    Each evaluation is one aggregate over the (t, d, n) table (cached;
+    distinct times, not subjects) returning three sums.  Newton steps are
+    used where the Hessian is negative definite, scaled gradient steps
+    elsewhere, always with backtracking on the log-likelihood.
+    Durations must be > 0."""
     import numpy as np
 
     tc = (df.where(F.col(duration) > 0)
           .groupBy(F.col(duration).cast("double").alias("t"))
           .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(event).cast("double")).alias("d"))
           .persist())
-    base = tc.agg(F.sum("d").alias("D"), F.sum(F.col("d") * F.log("t")).alias("DL")).first()
-    D, DL = base["D"], base["DL"]
-    ev = tc.agg(F.sum(F.col("n") * F.col("t")).alias("st"), F.sum("n").alias("nn")).first()
-    lam = ev["st"] / ev["nn"]
-    rho = 1.0
-    theta = np.array([np.log(lam), np.log(rho)])
-
-    def sums(a, r):
+    base = tc.agg(F.sum("d").alias("D"), F.sum(F.col("d") * F.log("t")).alias("DL"),
+                  F.sum(F.col("n") * F.col("t")).alias("ST")).first()
+    D, DL = float(base["D"]), float(base["DL"])
+
+    def evaluate(theta):
+        a, b = float(theta[0]), float(theta[1])
+        r = float(np.exp(b))
         lt = F.log(F.col("t")) - F.lit(a)
         u = F.exp(F.lit(r) * lt)
         row = tc.agg(F.sum(F.col("n") * u).alias("s0"), F.sum(F.col("n") * u * lt).alias("s1"),
                      F.sum(F.col("n") * u * lt * lt).alias("s2")).first()
-        return row["s0"], row["s1"], row["s2"]
-
+        s0, s1, s2 = row["s0"], row["s1"], row["s2"]
+        ll = D * b + (r - 1) * DL - r * D * a - s0
+        g = np.array([-D * r + r * s0, D + r * (DL - D * a) - r * s1])
+        H = np.array([[-r * r * s0, -D * r + r * s0 + r * r * s1],
+                      [-D * r + r * s0 + r * r * s1, r * (DL - D * a) - r * s1 - r * r * s2]])
+        return ll, g, H
+
+    theta = np.array([np.log(float(base["ST"]) / max(D, 1.0)), 0.0])  # exponential fit start
+    ll, g, H = evaluate(theta)
     for _ in range(max_iter):
-        a, b = theta
-        r = float(np.exp(b))
-        s0, s1, s2 = sums(float(a), r)
-        # ll = D*log r - D*r*a + (r-1)*DL ... written in (a=log lam, b=log rho)
-        # d/da: -D*r + r*s0 ; d/db: D + r*(DL - D*a) - r*s1
-        ga = -D * r + r * s0
-        gb = D + r * (DL - D * a) - r * s1
-        haa = -r * r * s0
-        hab = -D * r + r * s0 + r * r * s1
-        hbb = r * (DL - D * a) - r * s1 - r * r * s2
-        H = np.array([[haa, hab], [hab, hbb]])
-        g = np.array([ga, gb])
-        step = np.linalg.solve(H, g)
-        big = np.max(np.abs(step))
-        if big > 1.0:
-            step = step / big
-        theta = theta - step
+        if np.all(np.linalg.eigvalsh(H) < 0):
+            step = -np.linalg.solve(H, g)
+        else:
+            step = g / (np.abs(np.diag(H)) + 1.0)
+        t_new = theta + step
+        ll_new, g_new, H_new = evaluate(t_new)
+        k = 0
+        while (not np.isfinite(ll_new) or ll_new < ll) and k < 40:
+            step = step / 2
+            t_new = theta + step
+            ll_new, g_new, H_new = evaluate(t_new)
+            k += 1
+        theta, ll, g, H = t_new, ll_new, g_new, H_new
         if np.max(np.abs(step)) < tol:
             break
-    a, b = theta
-    r = float(np.exp(b))
-    s0, _, _ = sums(float(a), r)
-    ll = D * np.log(r) - D * r * a + (r - 1) * DL - s0
     tc.unpersist()
-    spark = df.sparkSession
-    return spark.createDataFrame([(float(np.exp(a)), r, float(ll))], "lambda_ double, rho double, log_likelihood double")
+    return df.sparkSession.createDataFrame([(float(np.exp(theta[0])), float(np.exp(theta[1])), float(ll))],
+                                           "lambda_ double, rho double, log_likelihood double")

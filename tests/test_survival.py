@@ -62,3 +62,24 @@ def test_chi2_sf_matches_closed_forms(spark):
            math.exp(-3.75) * (1 + 3.75)]
     for g, e in zip(got, exp):
         assert math.isclose(g, e, rel_tol=1e-6)
+
+
+def test_weibull_matches_numpy_optimum(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    T = np.ceil(60 * rng.weibull(2.5, size=400)).astype(int) + 1
+    E = (rng.random(400) < 0.6).astype(int)
+    df = spark.createDataFrame([(int(t), int(e), "a") for t, e in zip(T, E)], "t int, e int, g string")
+    r = sv.weibull_fit(df, "t", "e").first()
+
+    def ll(a, b):
+        rr = np.exp(b)
+        lt = np.log(T) - a
+        return np.sum(E * (b - a + (rr - 1) * lt)) - np.sum(np.exp(rr * lt))
+    # Newton in numpy with numeric derivatives from the Spark optimum must not improve it
+    a, b = math.log(r["lambda_"]), math.log(r["rho"])
+    h = 1e-5
+    ga = (ll(a + h, b) - ll(a - h, b)) / (2 * h)
+    gb = (ll(a, b + h) - ll(a, b - h)) / (2 * h)
+    assert abs(ga) < 1e-3 and abs(gb) < 1e-3
+    assert math.isclose(r["log_likelihood"], ll(a, b), rel_tol=1e-9)
