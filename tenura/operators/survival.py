@@ -23,11 +23,25 @@ def _w(groups: Sequence[str]):
     return Window.partitionBy(*groups).orderBy("t") if groups else Window.orderBy("t")
 
 
-def time_counts(df: DataFrame, duration: str, event: str, groups: Sequence[str] = ()) -> DataFrame:
-    """(groups..., t, removed, observed): one row per distinct time."""
-    return df.groupBy(*groups, F.col(duration).alias("t")).agg(
-        F.count(F.lit(1)).alias("removed"),
-        F.sum(F.col(event).cast("long")).alias("observed"))
+def time_counts(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (),
+                origin: bool = False) -> DataFrame:
+    """(groups..., t, removed, observed): one row per distinct time.
+
+    With ``origin`` every row also contributes a zero-count (group, t=0)
+    entry, so the origin row of each group comes out of the SAME
+    aggregation (partial aggregation folds those entries map-side)
+    instead of a second pass over the input."""
+    if not origin:
+        return df.groupBy(*groups, F.col(duration).alias("t")).agg(
+            F.count(F.lit(1)).alias("removed"),
+            F.sum(F.col(event).cast("long")).alias("observed"))
+    t_type = df.schema[duration].dataType
+    entries = F.explode(F.array(
+        F.struct(F.col(duration).alias("t"), F.lit(1).cast("long").alias("r"), F.col(event).cast("long").alias("o")),
+        F.struct(F.lit(0).cast(t_type).alias("t"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("o"))))
+    x = df.select(*groups, entries.alias("_x"))
+    return x.groupBy(*groups, F.col("_x.t").alias("t")).agg(
+        F.sum("_x.r").alias("removed"), F.sum("_x.o").alias("observed"))
 
 
 def event_table(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (),
@@ -36,7 +50,7 @@ def event_table(df: DataFrame, duration: str, event: str, groups: Sequence[str]
 
     A t=0 row is added per group when no subject has duration 0, so the
     table starts where the curve starts (S(0)=1)."""
-    return event_table_from_counts(time_counts(df, duration, event, groups), groups, add_origin)
+    return event_table_from_counts(time_counts(df, duration, event, groups, origin=add_origin), groups, False)
 
 
 def event_table_from_counts(tc: DataFrame, groups: Sequence[str] = (), add_origin: bool = True) -> DataFrame:
