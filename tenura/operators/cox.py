@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tenura.functions.ordinal import prefix_sums as global_prefix_sums
 from tenura.functions.stats import Z_95, chi2_sf_df1
+from tenura.session import cut_lineage
 
 UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -360,6 +361,9 @@ def concordance_index(df: DataFrame, duration: str, event: str, risk: str, max_t
     distinct event time k each row contributes an indicator; running sums
     of those indicators over the risk order (range partitioned) give, for
     each event, the number of comparable partners with lower risk."""
+    # several passes follow (event times, per-score counts, events): materialise the 3 columns once
+    df = cut_lineage(df.select(F.col(duration).cast("double").alias(duration), F.col(event).alias(event),
+                               F.col(risk).cast("double").alias(risk)))
     ev_times = [r[0] for r in df.where(F.col(event) == 1).select(F.col(duration).cast("double")).distinct()
                 .orderBy(1).limit(max_times + 1).collect()]
     if len(ev_times) > max_times:

@@ -67,6 +67,9 @@ def kernel_density(df: DataFrame, col: str, groups: Sequence[str], m: int = 50)
         drop = True
     else:
         drop = False
+    from tenura.session import cut_lineage
+    df = cut_lineage(df.select(*groups, x.alias(col)))  # four passes read it: min, max, values, bandwidths
+    x = F.col(col)
     lo = df.select(F.min(x)).scalar()
     hi = df.select(F.max(x)).scalar()
     vals = df.where(x.isNotNull()).groupBy(*groups, x.alias("v")).agg(F.count(F.lit(1)).alias("c"))

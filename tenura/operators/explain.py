@@ -349,7 +349,10 @@ def permutation_importance(df: DataFrame, ens: Ensemble, id_col: str, label: str
     f pairs the k-th row by id with the k-th row by md5(id|f|seed+r)."""
     feats = list(features)
     used = ens.features()
-    base = df.select(id_col, label, *[F.col(f"`{c}`").cast("double").alias(c) for c in used])
+    # the rows are read three times (base score, donors, recipients): write the projection once
+    from tenura.session import cut_lineage
+    df = cut_lineage(df.select(id_col, label, *[F.col(f"`{c}`").cast("double").alias(c) for c in sorted(set(used) | set(feats))]))
+    base = df.select(id_col, label, *[F.col(f"`{c}`") for c in used])
     pred = (_p(margin_with(ens, spark_ref)) >= threshold).cast("int")
     base_acc = base.select(F.avg((pred == F.col(label)).cast("double"))).scalar()
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.ordinal import prefix_sums as global_prefix_sums
+from tenura.session import cut_lineage
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -69,8 +70,11 @@ def auc_hard(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.groupBy(F.col(score).cast("double").alias("s")).agg(
+    """One row per distinct score, written once (it is read by several
+    passes: size check, totals, running sums)."""
+    sc = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).cast("double").alias("pos"), F.count_if(F.col(label) == 0).cast("double").alias("neg"))
+    return cut_lineage(sc)
 
 
 def auc_score(df: DataFrame, label: str, score: str) -> DataFrame:

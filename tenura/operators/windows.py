@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.functions.ordinal import global_row_index
+from tenura.session import cut_lineage
 from tenura.functions.ordinal import prefix_sums as global_prefix_sums
 
 
 def quantile_position(df: DataFrame, id_col: str, value: str, name: str = "q") -> DataFrame:
     """share of rows strictly below the row's value, (rank-1)/n."""
+    df = cut_lineage(df.select(id_col, value))  # read by the count, the per-value counts and the join back
     n = df.select(F.count(F.lit(1))).scalar()
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     below = global_prefix_sums(counts, "_v", ["_c"], suffix="_below", inclusive=False)
