@@ -106,3 +106,40 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], suffix:
     w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, hi)
     return df.select("*", *[F.coalesce(F.sum(F.col(c).cast("double")).over(w), F.lit(0.0)).alias(c + suffix)
                             for c in sum_cols])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolation quantiles (same definition as
+    ``percentile`` / ``quantile_cont``) without holding a value map per group.
+
+    Rows are reduced to counts per (group, value) by a distributed
+    aggregate; running counts over the (group, value) order come from
+    range partitioning (``prefix_sums`` on a composite key); each quantile
+    then needs only the two order statistics around position (n-1)p.
+    Output: groups..., p, q."""
+    x = F.col(value).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(*groups, x.alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    key = F.struct(*[F.col(g) for g in groups], F.col("_v")) if groups else F.col("_v")
+    counts = counts.withColumn("_key", key)
+    cum = prefix_sums(counts, "_key", ["_c"], suffix="_cum", inclusive=True)
+    if groups:
+        # rows before each group and its size: one small row per group, joined back
+        # (an aggregate, not a window, so no group is gathered into one task)
+        gs = cum.groupBy(*groups).agg(F.min(F.col("_c_cum") - F.col("_c")).alias("_before"),
+                                      F.max("_c_cum").alias("_last"))
+        gs = gs.select(*groups, "_before", (F.col("_last") - F.col("_before")).alias("_n"))
+        cum = cum.join(gs, list(groups))
+    else:
+        cum = cum.withColumn("_before", F.lit(0.0)).withColumn("_n", counts.select(F.sum("_c")).scalar())
+    lo_idx = F.col("_c_cum") - F.col("_before") - F.col("_c")   # 0-based index of the first copy of the value
+    hi_idx = F.col("_c_cum") - F.col("_before") - F.lit(1.0)    # index of the last copy
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    r = cum.select(*groups, "_v", "_n", lo_idx.alias("_lo"), hi_idx.alias("_hi"), ps)
+    h = (F.col("_n") - 1) * F.col("p")
+    r = r.select("*", F.floor(h).alias("_f"), F.ceil(h).alias("_k"), (h - F.floor(h)).alias("_frac"))
+    at_f = (F.col("_f") >= F.col("_lo")) & (F.col("_f") <= F.col("_hi"))
+    at_k = (F.col("_k") >= F.col("_lo")) & (F.col("_k") <= F.col("_hi"))
+    g = r.where(at_f | at_k).groupBy(*groups, "p").agg(
+        F.max(F.when(at_f, F.col("_v"))).alias("_vf"), F.max(F.when(at_k, F.col("_v"))).alias("_vk"),
+        F.first("_frac").alias("_frac"))
+    return g.select(*groups, "p", (F.col("_vf") + F.col("_frac") * (F.col("_vk") - F.col("_vf"))).alias("q"))

@@ -88,9 +88,12 @@ def kernel_density(df: DataFrame, col: str, groups: Sequence[str], m: int = 50)
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme data inside the
     fences) and outlier count per group."""
+    from tenura.functions.ordinal import exact_quantiles
     x = F.col(value).cast("double")
-    q = df.groupBy(*groups).agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("median"),
-                                F.percentile(x, 0.75).alias("q3"))
+    qs = exact_quantiles(df, value, [0.25, 0.5, 0.75], groups)
+    q = qs.groupBy(*groups).agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
+                                F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
+                                F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     q = q.withColumn("lo_f", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_f", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = df.select(*groups, x.alias("x")).join(q, list(groups))

@@ -41,8 +41,9 @@ def quantile_grid(df: DataFrame, feature: str, m: int) -> list[float]:
     """Quantiles 0..1 in m steps (linear interpolation), de-duplicated."""
     if m > MAX_GRID:
         raise ValueError("grid too large")
+    from tenura.functions.ordinal import exact_quantiles
     ps = [i / (m - 1) for i in range(m)] if m > 1 else [0.5]
-    qs = df.select(F.percentile(F.col(f"`{feature}`").cast("double"), F.array(*[F.lit(p) for p in ps]))).first()[0]
+    qs = [r["q"] for r in exact_quantiles(df, feature, ps).orderBy("p").collect()]  # m values
     out = []
     for q in qs:
         if not out or q != out[-1]:
@@ -290,10 +291,12 @@ def strongest_interaction(shap_long: DataFrame, data: DataFrame, id_col: str, fe
 
 def shap_summary(shap_long: DataFrame) -> DataFrame:
     """Per feature sum and mean |phi|, rank, and phi quartiles."""
-    g = shap_long.groupBy("feature").agg(
-        F.sum(F.abs("phi")).alias("sum_abs"), F.avg(F.abs("phi")).alias("mean_abs"),
-        F.percentile("phi", 0.25).alias("phi_p25"), F.percentile("phi", 0.5).alias("phi_p50"),
-        F.percentile("phi", 0.75).alias("phi_p75"))
+    from tenura.functions.ordinal import exact_quantiles
+    g = shap_long.groupBy("feature").agg(F.sum(F.abs("phi")).alias("sum_abs"), F.avg(F.abs("phi")).alias("mean_abs"))
+    qs = exact_quantiles(shap_long, "phi", [0.25, 0.5, 0.75], ["feature"]).groupBy("feature").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in ((0.25, "phi_p25"), (0.5, "phi_p50"),
+                                                                            (0.75, "phi_p75"))])
+    g = g.join(qs, "feature")
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sum_abs"), "feature")))
 
 

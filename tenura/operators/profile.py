@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenura.functions.ordinal import exact_quantiles
+
 NUMERIC = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType, T.DecimalType)
 
 
@@ -54,11 +56,19 @@ def _long(df: DataFrame, cols: Sequence[str], value_type: str = "double") -> Dat
 def describe(df: DataFrame, cols: Sequence[str], digits: int | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per column,
     transposed to one row per feature (optionally rounded, reference: 3)."""
-    q = (lambda p: F.percentile(F.col("value"), p)) if exact else (lambda p: F.percentile_approx(F.col("value"), p, 10000).cast("double"))
-    r = _long(df, cols).groupBy("feature").agg(
+    lng = _long(df, cols)
+    base = lng.groupBy("feature").agg(
         F.count("value").cast("double").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"),
-        F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        *([] if exact else [F.percentile_approx("value", p, 10000).cast("double").alias(n)
+                            for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
+    if exact:
+        # distributed exact quantiles (no per-feature value map in one task)
+        qs = exact_quantiles(lng, "value", [0.25, 0.5, 0.75], ["feature"])
+        wide = qs.groupBy("feature").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
+        wide = wide.select("feature", *[F.col(f"`{c}`").alias(n) for c, n in zip(wide.columns[1:], ("p25", "p50", "p75"))])
+        base = base.join(wide, "feature")
+    r = base.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     if digits is not None:
         r = r.select("feature", *[F.round(c, digits).alias(c) for c in r.columns if c != "feature"])
     return r
