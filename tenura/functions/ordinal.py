@@ -120,7 +120,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     x = F.col(value).cast("double")
     counts = df.where(x.isNotNull()).groupBy(*groups, x.alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     key = F.struct(*[F.col(g) for g in groups], F.col("_v")) if groups else F.col("_v")
-    counts = counts.withColumn("_key", key)
+    # the per-value counts are read several times (size check, running counts, group totals): write once
+    counts = cut_lineage(counts.withColumn("_key", key))
     cum = prefix_sums(counts, "_key", ["_c"], suffix="_cum", inclusive=True)
     if groups:
         # rows before each group and its size: one small row per group, joined back

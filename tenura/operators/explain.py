@@ -51,6 +51,22 @@ def quantile_grid(df: DataFrame, feature: str, m: int) -> list[float]:
     return out
 
 
+def quantile_grids(df: DataFrame, features: Sequence[str], m: int) -> dict[str, list[float]]:
+    """Quantile grids of several features in one pass (feature = group key
+    of one exact-quantile job over the unpivoted columns)."""
+    from tenura.functions.ordinal import exact_quantiles
+    ps = [i / (m - 1) for i in range(m)] if m > 1 else [0.5]
+    lng = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("double").alias("v"))
+                                          for f in features])).alias("x")).select("x.*")
+    rows = exact_quantiles(lng, "v", ps, ["f"]).orderBy("f", "p").collect()  # len(features) * m rows
+    out = {f: [] for f in features}
+    for r in rows:
+        g = out[r["f"]]
+        if not g or r["q"] != g[-1]:
+            g.append(float(r["q"]))
+    return out
+
+
 def ice(df: DataFrame, ens: Ensemble, id_col: str, feature: str, grid: Sequence[float]) -> DataFrame:
     """(id, grid, yhat) with the feature set to each grid value."""
     g = F.explode(F.array(*[F.lit(float(v)) for v in grid])).alias("_g")

@@ -376,7 +376,7 @@ PDP_ALL = ["tenure", "monthly_charges", "total_charges"]
     for f in PDP_ALL))
 def i20_pdp_all(spark, sf):
     d = encoded(spark, sf)
-    grids = {f: ex.quantile_grid(d, f, 10) for f in PDP_ALL}
+    grids = ex.quantile_grids(d, PDP_ALL, 10)
     return finish(ex.pdp_all(d, ENS, grids))
 
 
@@ -420,8 +420,8 @@ SELECT round(ga, 6) AS g1, round(gb, 6) AS g2, round(AVG(1.0 / (1.0 + exp(-{m}))
 @_reg("i24_pdp_two_way", _pdp2_sql())
 def i24_pdp_two_way(spark, sf):
     d = encoded(spark, sf)
-    return finish(ex.pdp_2d(d, ENS, "tenure", ex.quantile_grid(d, "tenure", 5),
-                            "monthly_charges", ex.quantile_grid(d, "monthly_charges", 5)))
+    g = ex.quantile_grids(d, ["tenure", "monthly_charges"], 5)
+    return finish(ex.pdp_2d(d, ENS, "tenure", g["tenure"], "monthly_charges", g["monthly_charges"]))
 
 
 # ---------------------------------------------------------------- J7-J15 SHAP
