@@ -216,6 +216,24 @@ def _lime(spark, sf, top_k=None):
     return lime.explain(test, "account_id", ENS, LIME_FEATS, stats, n_samples=5000, seed=0, top_k=top_k), test
 
 
+def _j01_sql():
+    from tenura.plans.sqltext import with_base
+    parts = []
+    for c in LIME_NUM:
+        q = f"(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM _tr)"
+        g = (f"(SELECT CASE WHEN {c} <= q1 THEN 0 WHEN {c} <= q2 THEN 1 WHEN {c} <= q3 THEN 2 ELSE 3 END AS b, "
+             f"COUNT(*) AS n, AVG(CAST({c} AS DOUBLE)) AS m FROM _tr, {q} GROUP BY 1)")
+        parts.append(f"SELECT '{c}' AS feature, 'num' AS kind, CAST(v.b AS INTEGER) AS bin, "
+                     f"round(COALESCE(g.n / (SELECT COUNT(*) FROM _tr), 0.0), 6) AS frequency, round(g.m, 6) AS value "
+                     f"FROM (VALUES (0), (1), (2), (3)) v(b) LEFT JOIN {g} g ON v.b = g.b")
+    for c in LIME_CAT:
+        col = f'"{c}"'
+        parts.append(f"SELECT '{c}' AS feature, 'cat' AS kind, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS bin, "
+                     f"round(n / (SELECT COUNT(*) FROM _tr), 6) AS frequency, round(v, 6) AS value "
+                     f"FROM (SELECT CAST({col} AS DOUBLE) AS v, COUNT(*) AS n FROM _tr GROUP BY 1)")
+    return with_base("WITH _tr AS (SELECT * FROM enc WHERE split = 'train') " + " UNION ALL ".join(parts))
+
+
 @_reg("j01_lime_background")
 def j01_lime_background(spark, sf):
     d, _ = encoded_all(spark, sf)
@@ -268,3 +286,6 @@ def g07_d06_smote_nc_balance(spark, sf):
     out = smote.smote_nc(train, "churn", minority, SMOTE_NUM, SMOTE_CAT, k=5, seed=0)
     return finish(out.groupBy("churn", "synthetic").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in SMOTE_NUM]))
+
+
+SQL["j01_lime_background"] = _j01_sql()
