@@ -67,7 +67,7 @@ def _q(c: str) -> str:
     return f"`{c}`"
 
 
-def _iteration_sql(view: str, p: int, strata: Sequence[str], beta: np.ndarray, has_start: bool, ties: str) -> str:
+def _iteration_sql(view: str, p: int, strata: Sequence[str], beta_view: str, has_start: bool, ties: str) -> str:
     """One Newton iteration as a single SQL statement over the cached
     working view: per-(stratum, time) sums, risk-set running sums over the
     distinct times, Efron scalars, and the final (ll, gradient, Hessian) sums.
@@ -75,7 +75,9 @@ def _iteration_sql(view: str, p: int, strata: Sequence[str], beta: np.ndarray, h
     pr = _pairs(p)
     g = "".join(f"{_q(x)}, " for x in strata)
     part = f"PARTITION BY {', '.join(_q(x) for x in strata)} " if strata else ""
-    xb = " + ".join(f"_x{j} * CAST({float(beta[j])!r} AS DOUBLE)" for j in range(p)) or "CAST(0 AS DOUBLE)"
+    # beta comes from a one-row table joined on a constant key, not from literals,
+    # so the generated code is the same in every iteration (no recompilation)
+    xb = " + ".join(f"_x{j} * _bv.b{j}" for j in range(p)) or "CAST(0 AS DOUBLE)"
     start_col = ", _s" if has_start else ""
 
     def sums(prefix, cond):
@@ -93,7 +95,7 @@ def _iteration_sql(view: str, p: int, strata: Sequence[str], beta: np.ndarray, h
     adds = (f"SELECT {g}_t AS t, {', '.join(sums('a', None) + sums('b', '_e = 1') + evsum)} "
             f"FROM _base GROUP BY {g}_t")
     ctes = [f"_base AS (SELECT {g}_t, _e{start_col}, {', '.join(f'_x{j}' for j in range(p))}, ({xb}) AS _xb, "
-            f"exp({xb}) AS _w FROM {view})", f"_adds AS ({adds})"]
+            f"exp({xb}) AS _w FROM {view} _wv JOIN {beta_view} _bv ON _wv._k = _bv._k)", f"_adds AS ({adds})"]
     if has_start:
         ctes.append(f"_rem0 AS (SELECT {g}_s, {', '.join(sums('a', None))} FROM _base GROUP BY {g}_s)")
         rem_sql = (f"SELECT {g}_s AS t, " + ", ".join(f"-{c} AS {c}" for c in rcols) + ", "
@@ -135,7 +137,10 @@ def _iteration_sql(view: str, p: int, strata: Sequence[str], beta: np.ndarray, h
 
 
 def _loglik_grad_hess(spark, view: str, p: int, strata, beta, has_start: bool, ties: str):
-    row = spark.sql(_iteration_sql(view, p, strata, beta, has_start, ties)).first()
+    bv = f"{view}_beta"
+    fields = ", ".join(["_k int"] + [f"b{j} double" for j in range(p)])
+    spark.createDataFrame([tuple([1] + [float(b) for b in beta])], fields).createOrReplaceTempView(bv)
+    row = spark.sql(_iteration_sql(view, p, strata, bv, has_start, ties)).first()
     g = np.array([row[f"g{j}"] or 0.0 for j in range(p)])
     H = np.zeros((p, p))
     for i, j in _pairs(p):
@@ -159,6 +164,7 @@ def prepare(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     if start:
         cols.append(F.col(start).cast("double").alias("_s"))
     cols += [((x - F.lit(means[j])) / F.lit(sds[j])).alias(f"_x{j}") for j, x in enumerate(xs)]
+    cols.append(F.lit(1).alias("_k"))
     work = df.select(*cols).persist()
     return work, means, sds, int(st["n"]), int(st["ne"])
 
@@ -205,6 +211,7 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
         return CoxFit(covariates, strata, beta_o, cov_o, ll, ll0, means, it, n, ne, ties, duration, event, start, hist)
     finally:
         spark.catalog.dropTempView(view)
+        spark.catalog.dropTempView(f"{view}_beta")
         work.unpersist()
 
 
