@@ -68,7 +68,7 @@ def feature_importance(model, names: Sequence[str], spark) -> DataFrame:
     return t.join(F.broadcast(n), "feature_index", "left").orderBy(F.desc("importance"), "feature")
 
 
-def cv_scores(df: DataFrame, estimator, k: int, metric: str = "accuracy", grid=None, parallelism: int = 2):
+def cv_scores(df: DataFrame, estimator, k: int, metric: str = "accuracy", grid=None, parallelism: int = 4):
     """H7/H8: k-fold CV over ``foldCol``; returns (params, mean, std) rows."""
     if metric == "auc":
         ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
