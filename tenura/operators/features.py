@@ -18,10 +18,14 @@ from tenura.operators.clean import recode
 def levels(df: DataFrame, cols: Sequence[str], max_levels: int = 64) -> dict[str, list]:
     """Sorted distinct non-null values per column, in one job; refuses
     columns with more than ``max_levels`` values (not categorical)."""
-    aggs = [F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]
-    # collect_set per column is bounded by the check below (partial
-    # aggregation keeps at most max_levels+1 values per task when capped)
-    row = df.select(*[F.col(c) for c in cols]).agg(*aggs).first()
+    sel = df.select(*[F.col(c) for c in cols])
+    # screen cardinality with fixed-size sketches first, so collect_set is
+    # only run on columns that are provably small
+    approx = sel.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
+    wide = [c for c in cols if approx[c] > max_levels * 1.1]
+    if wide:
+        raise ValueError(f"columns {wide} have more than {max_levels} levels; not categorical")
+    row = sel.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]).first()
     out = {}
     for c in cols:
         vals = list(row[c])
