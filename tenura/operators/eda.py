@@ -160,7 +160,14 @@ def first_appearance_codes(df: DataFrame, cols: Sequence[str], order_key: str) -
     """E14 step 1: code each value of each column by order of first
     appearance (min order key), 0-based: one row per (variable, value)."""
     first = _melt(df, cols, [order_key]).groupBy("variable", "value").agg(F.min(order_key).alias("first_seen"))
-    return first.withColumn("code", (F.dense_rank().over(Window.partitionBy("variable").orderBy("first_seen")) - 1))
+    # with a unique order key no two values share a first row, so the dense
+    # rank is the position in (variable, first_seen) order minus the
+    # variable's first position: range partitioning, not a per-variable window
+    from tenura.functions.ordinal import global_row_index
+    r = global_row_index(first, ["variable", "first_seen"], "_g")
+    offs = r.groupBy("variable").agg(F.min("_g").alias("_o"))
+    return (r.join(F.broadcast(offs), "variable")
+            .select("variable", "value", "first_seen", (F.col("_g") - F.col("_o")).cast("int").alias("code")))
 
 
 def factorized_correlation(df: DataFrame, cols: Sequence[str], order_key: str) -> DataFrame:
