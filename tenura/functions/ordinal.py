@@ -27,10 +27,11 @@ from tenura.session import cut_lineage
 _LOW33 = (1 << 33) - 1
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _range(df: DataFrame, n: int | None, *cols):
+    """Range-partition on ``cols``.  Without an explicit count AQE sizes the
+    partitions from the data (coalesced partitions stay contiguous ranges in
+    order, so positions remain correct)."""
+    return df.repartitionByRange(n, *cols) if n else df.repartitionByRange(*cols)
 
 
 def global_row_index(df: DataFrame, order_cols: Sequence[str | Column], name: str = "pos",
@@ -38,7 +39,7 @@ def global_row_index(df: DataFrame, order_cols: Sequence[str | Column], name: st
     """Add a 0-based position in ``order_cols`` order (ties broken by the
     full order key only, so make the key unique)."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    r = (df.repartitionByRange(_n_parts(df, n_partitions), *cols)
+    r = (_range(df, n_partitions, *cols)
          .sortWithinPartitions(*cols)
          .withColumn("_mid", F.monotonically_increasing_id()))
     r = cut_lineage(r)
@@ -56,7 +57,7 @@ def global_prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], s
 
     Per-partition cumulative sums run vectorised in ``mapInPandas`` over
     range partitions; partition totals become offsets."""
-    r = cut_lineage(df.repartitionByRange(_n_parts(df, n_partitions), order_col).sortWithinPartitions(order_col))
+    r = cut_lineage(_range(df, n_partitions, order_col).sortWithinPartitions(order_col))
     base_schema = r.schema
     out_fields = list(base_schema.fields) + [T.StructField("_pid", T.LongType())] + \
         [T.StructField(c + suffix, T.DoubleType()) for c in sum_cols]
