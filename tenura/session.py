@@ -51,13 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        sc.setCheckpointDir(d)
-        return d
-    if sc.master.startswith("local"):
+    if not d and sc.master.startswith("local["):
         d = tempfile.mkdtemp(prefix="tenura-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-        sc.setCheckpointDir(d)
+    if d:
+        # each setCheckpointDir call opens a new sub-folder, so once per session is enough
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
         return d
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
 
