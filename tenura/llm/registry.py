@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tenura.llm import quality
+from tenura.llm import decontam, quality, simhash
 
-MODULES = [quality]
+MODULES = [quality, simhash, decontam]
 
 
 def queries() -> dict:
