@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tenura.llm import decontam, quality, simhash
+from tenura.llm import decontam, quality, simhash, substrings
 
-MODULES = [quality, simhash, decontam]
+MODULES = [substrings, simhash, quality, decontam]
 
 
 def queries() -> dict:
