@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tenura.llm import decontam, quality, simhash, substrings
+from tenura.llm import (chat, decontam, html, packing, quality, simhash, substrings, tokencounts, tokenfile, toxicity)
 
-MODULES = [substrings, simhash, quality, decontam]
+MODULES = [substrings, tokenfile, packing, tokencounts, simhash, toxicity, html, chat, quality, decontam]
 
 
 def queries() -> dict:
