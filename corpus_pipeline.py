@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.llm import decontam, packing, quality, simhash, substrings
-from tenura.llm.scratch import stored
+from tenura.llm.scratch import free_name, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; ``n_chars`` follows the text."""
-    kept = substrings.remove_repeats(docs).drop("__repeats")
+    counts = free_name(docs, "__repeats")
+    kept = substrings.remove_repeats(docs, counts=counts).drop(counts)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept

@@ -13,7 +13,6 @@ searched whole.  An empty benchmark finds nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -21,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.llm.scratch import free_name
+
 WINDOW = 13
 #: Contaminated: at least one word in 20 is hit.
 SHARE = 20
@@ -139,9 +140,7 @@ def contaminated(found: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    f = "__found"
-    while f in docs.columns:
-        f += "_"
+    f = free_name(docs, "__found")
     return occurrences(docs, benchmark, text, found=f).where(~contaminated(F.col(f))).drop(f)
 
 

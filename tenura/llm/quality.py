@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.llm.scratch import free_name
+
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -147,9 +149,7 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES, measured: str = "__q
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    m = "__quality"
-    while m in docs.columns:
-        m += "_"
+    m = free_name(docs, "__quality")
     return judge(docs, text, rules, m).where(F.col(m)["kept"]).drop(m)
 
 

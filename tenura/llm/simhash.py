@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.llm.graph import components
-from tenura.llm.scratch import stored
+from tenura.llm.scratch import free_name, stored
 from tenura.llm.texts import utf8
 
 SHINGLE = 4
@@ -216,8 +216,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """The document with the smallest id of every group, with its own columns;
     of rows that repeat an id one stays, and rows without an id all stay."""
     found = near_duplicates(docs, doc_id, text, shingle, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    one = docs.join(kept, docs[doc_id] == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(free_name(docs, "__kept")))
+    one = docs.join(kept, docs[doc_id] == kept[kept.columns[0]], "left_semi").dropDuplicates([doc_id])
     return one.union(docs.where(F.col(doc_id).isNull()))
 
 
