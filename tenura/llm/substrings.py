@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenura.llm.scratch import stored
+from tenura.llm.scratch import free_name, stored
 from tenura.llm.texts import chunks, mix, span_names, utf8, word_names, word_spans
 
 WINDOW = 50
@@ -92,7 +92,8 @@ def windows(words: np.ndarray, first: np.ndarray):
     part k has words first[k] up to first[k + 1].
 
     Returns symbol, passage name, part, first window's place in the part and
-    number of windows: consecutive windows filed under one symbol."""
+    number of windows: consecutive windows filed under one symbol, and the same
+    again where just that passage follows."""
     n, k = len(words), len(first) - 1
     part = np.repeat(np.arange(k), np.diff(first))
     at = np.arange(n)
@@ -133,8 +134,12 @@ def windows(words: np.ndarray, first: np.ndarray):
     symbol = (chosen[head] & 0xFFFFFFFF).astype(np.int64)
     passage = span_names(words, head, head + count - 1 + WINDOW)
     passage = mix(passage ^ (start[symbol] - head).astype(np.uint64))
-    which = part[symbol]
-    return sym[symbol], passage, which, head - first[which], count
+    which, name = part[symbol], sym[symbol]
+    # in periodic text one passage follows itself again and again: one row for all of them
+    new = np.concatenate(([True], (name[1:] != name[:-1]) | (passage[1:] != passage[:-1]) | (which[1:] != which[:-1])
+                          | (head[1:] != head[:-1] + count[:-1])))
+    row = np.flatnonzero(new)
+    return name[row], passage[row], which[row], head[row] - first[which[row]], np.add.reduceat(count, row)
 
 
 def _parts(n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +186,7 @@ def _file(batches):
 
 
 def _single(batches):
-    """Rows (doc, tid, symbol, name, place) of the single windows asked for."""
+    """Rows (doc, tid, symbol, name, place, n) of the single windows asked for."""
     for batch in batches:
         doc, tid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         asked = batch.column(3)
@@ -193,10 +198,17 @@ def _single(batches):
             each = np.repeat(np.arange(len(n)), n)
             at = place[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             begin = first[row[each]] + at
+            name = span_names(words, begin, begin + WINDOW)
+            # neighbours with one name, as in a run of one word, share a row
+            own = row[each]
+            new = np.concatenate(([True], (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
+                                  | (symbol[each][1:] != symbol[each][:-1])))[:len(name)]
+            head = np.flatnonzero(new)
             yield pa.RecordBatch.from_arrays([
-                pa.array(doc[i + row[each]]), pa.array(tid[i + row[each]]), pa.array(symbol[each]),
-                pa.array(span_names(words, begin, begin + WINDOW).view(np.int64)), pa.array(at.astype(np.int32))],
-                ["doc", "tid", "symbol", "name", "place"])
+                pa.array(doc[i + own[head]]), pa.array(tid[i + own[head]]), pa.array(symbol[each[head]]),
+                pa.array(name[head].view(np.int64)), pa.array(at[head].astype(np.int32)),
+                pa.array(np.diff(np.concatenate((head, [len(name)]))).astype(np.int32))],
+                ["doc", "tid", "symbol", "name", "place", "n"])
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,24 +217,25 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     d = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("tid"), F.col(text).cast("string").alias("text"))
     filed = stored(d.mapInArrow(_file, _FILED), "windows")
+    # what is joined below is stored first: Spark can then split the side of a frequent symbol
     known = (filed.groupBy("symbol").agg(F.min("doc").alias("doc0"), F.max("doc").alias("doc1"),
                                          F.min("passage").alias("p0"), F.max("passage").alias("p1"))
              .where("doc0 < doc1").select("symbol", "doc0", (F.col("p0") == F.col("p1")).alias("alike")))
-    shared = stored(filed.join(known, "symbol"), "shared")
+    shared = stored(filed.join(stored(known, "symbols"), "symbol"), "shared")
     spans = shared.where("alike and doc > doc0").select("doc", "tid", "place", "n")
     # symbols in several passages: equal passages first, then the windows of one document for each passage
-    mixed = shared.where("not alike")
+    mixed = shared.where("not alike").select("symbol", "passage", "doc", "tid", "place", "n")
     kinds = mixed.groupBy("symbol", "passage").agg(F.min("doc").alias("doc2"))
-    mixed = stored(mixed.select("symbol", "passage", "doc", "tid", "place", "n").join(kinds, ["symbol", "passage"]), "mixed")
+    mixed = stored(mixed.join(stored(kinds, "passages"), ["symbol", "passage"]), "mixed")
     spans = spans.union(mixed.where("doc > doc2").select("doc", "tid", "place", "n"))
     asked = (mixed.where("doc = doc2").groupBy("doc", "tid")
              .agg(F.collect_list(F.struct("symbol", "place", "n")).alias("asked")))
     single = d.join(asked, ["doc", "tid"]).select("doc", "tid", "text", "asked")
-    single = stored(single.mapInArrow(_single, "doc bigint, tid bigint, symbol bigint, name bigint, place int"), "single")
+    single = stored(single.mapInArrow(_single, "doc bigint, tid bigint, symbol bigint, name bigint, place int, n int"), "single")
     least = (single.groupBy("symbol", "name").agg(F.min("doc").alias("doc0"), F.max("doc").alias("doc1"))
              .where("doc0 < doc1").select("symbol", "name", "doc0"))
-    return spans.union(single.join(least, ["symbol", "name"]).where("doc > doc0")
-                       .select("doc", "tid", "place", F.lit(1).alias("n")))
+    return spans.union(single.join(stored(least, "least"), ["symbol", "name"]).where("doc > doc0")
+                       .select("doc", "tid", "place", "n"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: str = "__repeats") -> DataFrame:
@@ -231,19 +244,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the SHA-256 of the kept words joined by one space.
 
     Texts without a repeat stay as they are; a null text stays null."""
-    spans = (repeats(docs, doc_id, text).groupBy(F.col("doc").alias("__doc"), F.col("tid").alias("__tid"))
-             .agg(F.collect_list(F.struct("place", "n")).alias("__spans")))
-    d = docs.join(spans, (F.col(doc_id).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__tid")), "left")
+    spans = (repeats(docs, doc_id, text).groupBy("doc", "tid")
+             .agg(F.collect_list(F.struct("place", "n")).alias("spans")))
+    d = docs.join(spans, (docs[doc_id].cast("long") == spans["doc"]) & (F.xxhash64(docs[text]) == spans["tid"]), "left")
     out = T.StructType([*docs.schema.fields, T.StructField(counts, T.StructType([
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]))])
-    return d.select(*docs.columns, "__spans").mapInArrow(_cut(docs.columns.index(text), counts), out)
+    own = spans["spans"].alias(free_name(docs, "__spans"))
+    return d.select(*[docs[c] for c in docs.columns], own).mapInArrow(_cut(docs.columns.index(text), counts), out)
 
 
 def _cut(at: int, counts: str):
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             texts, found = [], []
             for t, spans in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
                 t = t.as_py()
@@ -251,7 +265,7 @@ def _cut(at: int, counts: str):
                 words = raw.split()
                 n, removed = len(words), 0
                 if spans.is_valid:
-                    places, lengths = (spans.values.field(k).to_numpy() for k in range(2))
+                    places, lengths = (spans.values.field(k).to_numpy() for k in range(2))  # this row's own
                     turn = np.zeros(n + 1, np.int64)
                     np.add.at(turn, places, 1)
                     np.add.at(turn, places + lengths + WINDOW - 1, -1)

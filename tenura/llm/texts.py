@@ -25,14 +25,16 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; nulls are empty texts."""
-    a = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset:a.offset + len(a) + 1]
+    """Bytes and offsets of a string column, without a copy unless it has nulls,
+    which are empty texts."""
+    a = pc.fill_null(column, "") if column.null_count else column
+    width = np.int64 if pa.types.is_large_string(a.type) else np.int32
+    offsets = np.frombuffer(a.buffers()[1], width)[a.offset:a.offset + len(a) + 1] if len(a) else np.zeros(1, width)
     data = a.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets.astype(np.int64)
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text, or one longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:
