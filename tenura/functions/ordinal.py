@@ -17,7 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,58 +57,33 @@ def global_prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], s
                        inclusive: bool = True, n_partitions: int | None = None) -> DataFrame:
     """Running sums of ``sum_cols`` in ``order_col`` order (order key unique).
 
-    Per-partition cumulative sums run vectorised in ``mapInPandas`` over
-    range partitions; partition totals become offsets."""
-    r = cut_lineage(_range(df, n_partitions, order_col).sortWithinPartitions(order_col))
-    base_schema = r.schema
-    out_fields = list(base_schema.fields) + [T.StructField("_pid", T.LongType())] + \
-        [T.StructField(c + suffix, T.DoubleType()) for c in sum_cols]
-    out_schema = T.StructType(out_fields)
-    scols = list(sum_cols)
-
-    def local(it):
-        import pyspark
-        pid = pyspark.TaskContext.get().partitionId()
-        carry = {c: 0.0 for c in scols}
-        for pdf in it:
-            pdf = pdf.copy()
-            pdf["_pid"] = pid
+    Range partitions are summed locally in Arrow batches; partition totals,
+    one row each, become offsets.  The partition's number is written with the
+    rows: a task's number depends on the stage it runs in (a union shifts it).
+    Nulls count as zero."""
+    r = cut_lineage(_range(df, n_partitions, order_col).sortWithinPartitions(order_col)
+                    .withColumn("_pid", F.spark_partition_id()))
+    names, scols = r.columns, list(sum_cols)
+    out_schema = T.StructType([*r.schema.fields, *[T.StructField(c + suffix, T.DoubleType()) for c in scols]])
+
+    def local(batches):
+        carry = dict.fromkeys(scols, 0.0)
+        for batch in batches:
+            added = []
             for c in scols:
-                v = pdf[c].astype("float64").fillna(0.0)
-                cs = v.cumsum() + carry[c]
-                carry[c] = float(cs.iloc[-1]) if len(cs) else carry[c]
-                pdf[c + suffix] = cs if inclusive else cs - v
-            yield pdf
+                v = pc.fill_null(batch.column(names.index(c)).cast(pa.float64()), 0.0).to_numpy()
+                cs = np.cumsum(v) + carry[c]
+                carry[c] = float(cs[-1]) if len(cs) else carry[c]
+                added.append(pa.array(cs if inclusive else cs - v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], out_schema.names)
 
-    loc = r.mapInPandas(local, out_schema)
+    loc = r.mapInArrow(local, out_schema)
     tot = loc.groupBy("_pid").agg(
         *[F.sum(F.col(c).cast("double")).alias("_t_" + c) for c in scols])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *[F.coalesce(F.sum("_t_" + c).over(w), F.lit(0.0)).alias("_o_" + c) for c in scols])
     j = loc.join(F.broadcast(offs), "_pid")
-    return j.select(*[F.col(f.name) for f in base_schema.fields],
-                    *[(F.col(c + suffix) + F.col("_o_" + c)).alias(c + suffix) for c in scols])
-
-
-# Above this many rows an ordered aggregate is numbered with range partitioning.
-LOCAL_ORDER_MAX_ROWS = 2_000_000
-
-
-def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], suffix: str = "_cum",
-                inclusive: bool = True, max_local_rows: int = LOCAL_ORDER_MAX_ROWS) -> DataFrame:
-    """Running sums over an *aggregated* table (one row per distinct key).
-
-    The size is checked first with a bounded count: up to
-    ``max_local_rows`` distinct keys a plain ordered window is cheapest
-    (its work is bounded by the key count, not by the data); beyond that
-    the range-partitioned ``global_prefix_sums`` is used."""
-    n = df.limit(max_local_rows + 1).count()
-    if n > max_local_rows:
-        return global_prefix_sums(df, order_col, sum_cols, suffix, inclusive)
-    hi = 0 if inclusive else -1
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, hi)
-    return df.select("*", *[F.coalesce(F.sum(F.col(c).cast("double")).over(w), F.lit(0.0)).alias(c + suffix)
-                            for c in sum_cols])
+    return j.select(*df.columns, *[(F.col(c + suffix) + F.col("_o_" + c)).alias(c + suffix) for c in scols])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
@@ -115,15 +92,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
 
     Rows are reduced to counts per (group, value) by a distributed
     aggregate; running counts over the (group, value) order come from
-    range partitioning (``prefix_sums`` on a composite key); each quantile
+    range partitioning (``global_prefix_sums`` on a composite key); each quantile
     then needs only the two order statistics around position (n-1)p.
     Output: groups..., p, q."""
     x = F.col(value).cast("double")
     counts = df.where(x.isNotNull()).groupBy(*groups, x.alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     key = F.struct(*[F.col(g) for g in groups], F.col("_v")) if groups else F.col("_v")
-    # the per-value counts are read several times (size check, running counts, group totals): write once
+    # the per-value counts are read several times (running counts, group totals): write once
     counts = cut_lineage(counts.withColumn("_key", key))
-    cum = prefix_sums(counts, "_key", ["_c"], suffix="_cum", inclusive=True)
+    cum = global_prefix_sums(counts, "_key", ["_c"], suffix="_cum", inclusive=True)
     if groups:
         # rows before each group and its size: one small row per group, joined back
         # (an aggregate, not a window, so no group is gathered into one task)

@@ -90,6 +90,73 @@ def chi2_sf(x: Column, df: Column) -> Column:
     return F.when(df % 2 == 0, even).otherwise(odd)
 
 
+#: Tied events up to this many are summed term by term; more in closed form.
+FEW_TIES = 64
+_LOOSE = 16  # smallest terms summed one by one before the Euler-Maclaurin tail
+
+
+def reciprocal_sums_sql(a: str, d: str) -> tuple[str, str, str]:
+    """SQL for the sums of 1/m, 1/m^2 and ln(m) over m = a-d+1, ..., a (a real,
+    d > FEW_TIES): the smallest terms one by one, the rest by Euler-Maclaurin,
+    so the work does not grow with d."""
+    y = f"({a} - {d} + {_LOOSE + 1})"
+    loose = (f"aggregate(sequence(0, {_LOOSE - 1}), named_struct('p', 0e0, 'q', 0e0, 'r', 0e0), (s, i) -> named_struct("
+             f"'p', s.p + 1e0 / ({a} - {d} + 1 + i), 'q', s.q + 1e0 / pow({a} - {d} + 1 + i, 2), "
+             f"'r', s.r + ln({a} - {d} + 1 + i)))")
+
+    def gap(n):
+        return f"(1e0 / pow({y}, {n}) - 1e0 / pow({a}, {n}))"
+    one = (f"{loose}.p - ln({y} / {a}) + (1e0 / {y} + 1e0 / {a}) / 2 + {gap(2)} / 12 - {gap(4)} / 120 + {gap(6)} / 252")
+    two = f"{loose}.q + {gap(1)} + (1e0 / pow({y}, 2) + 1e0 / pow({a}, 2)) / 2 + {gap(3)} / 6 - {gap(5)} / 30 + {gap(7)} / 42"
+    log = (f"{loose}.r + {a} * ln({a}) - {y} * ln({y}) - ({a} - {y}) + (ln({a}) + ln({y})) / 2 - {gap(1)} / 12 "
+           f"+ {gap(3)} / 360 - {gap(5)} / 1260")
+    return f"({one})", f"({two})", f"({log})"
+
+
+def tie_sum_sql(n: str, d: str, power: int) -> str:
+    """SQL for the sum of 1/(n-i)^power over i = 0..d-1 (0 when d = 0)."""
+    n, d = f"CAST({n} AS DOUBLE)", f"CAST({d} AS BIGINT)"
+    loop = f"aggregate(sequence(0L, {d} - 1L), 0e0, (s, i) -> s + 1e0 / pow({n} - i, {power}))"
+    return (f"CASE WHEN {d} <= 0 THEN 0e0 WHEN {d} <= {FEW_TIES} THEN {loop} "
+            f"ELSE {reciprocal_sums_sql(n, d)[power - 1]} END")
+
+
+def efron_sums_sql(r: str, b: str, d: str) -> str:
+    """SQL struct of the Efron sums over l = 0..d-1, with c = l/d and den = r - c b:
+    A = 1/den, B = c/den, C = 1/den^2, D = c/den^2, E = (c/den)^2, L = ln(den).
+
+    Few ties are summed one by one.  Many are summed by the tail of a reciprocal
+    series where the tied part b is a large share of r, else by the power series
+    in b/r, whose power sums of c have closed forms; neither cancels."""
+    c = f"(CAST(l AS DOUBLE) / {d})"
+    den = f"({r} - {c} * {b})"
+    zero = "named_struct('A', 0e0, 'B', 0e0, 'C', 0e0, 'D', 0e0, 'E', 0e0, 'L', 0e0)"
+    loop = (f"aggregate(sequence(0L, CAST({d} AS BIGINT) - 1L), {zero}, (s, l) -> named_struct("
+            f"'A', s.A + 1e0 / {den}, 'B', s.B + {c} / {den}, 'C', s.C + 1e0 / ({den} * {den}), "
+            f"'D', s.D + {c} / ({den} * {den}), 'E', s.E + {c} * {c} / ({den} * {den}), 'L', s.L + ln({den})))")
+    x, n = f"(CAST({d} AS DOUBLE) * {r} / {b})", f"CAST({d} AS DOUBLE)"
+    p, q, g = reciprocal_sums_sql(x, n)
+    closed = (f"named_struct('A', {n} / {b} * {p}, 'B', ({x} * {p} - {n}) / {b}, 'C', pow({n} / {b}, 2) * {q}, "
+              f"'D', {n} / ({b} * {b}) * ({x} * {q} - {p}), 'E', ({x} * {x} * {q} - 2 * {x} * {p} + {n}) / ({b} * {b}), "
+              f"'L', {n} * ln({b} / {n}) + {g})")
+
+    def power_sum(k):  # of c^k over l < d
+        # each correction is the difference of a derivative at both ends, 0 where it is constant
+        return (f"(CASE WHEN {k} = 0 THEN {n} ELSE {n} / ({k} + 1) - 0.5e0 + CASE WHEN {k} > 1 THEN {k} / (12 * {n}) ELSE 0e0 END "
+                f"- CASE WHEN {k} > 3 THEN CAST({k} AS DOUBLE) * ({k} - 1) * ({k} - 2) / (720 * pow({n}, 3)) ELSE 0e0 END "
+                f"+ CASE WHEN {k} > 5 THEN CAST({k} AS DOUBLE) * ({k} - 1) * ({k} - 2) * ({k} - 3) * ({k} - 4) "
+                f"/ (30240 * pow({n}, 5)) ELSE 0e0 END END)")
+    u = f"({b} / {r})"
+    series = (f"aggregate(sequence(0, 48), {zero}, (s, i) -> named_struct("
+              f"'A', s.A + pow({u}, i) * {power_sum('i')} / {r}, 'B', s.B + pow({u}, i) * {power_sum('(i + 1)')} / {r}, "
+              f"'C', s.C + (i + 1) * pow({u}, i) * {power_sum('i')} / ({r} * {r}), "
+              f"'D', s.D + (i + 1) * pow({u}, i) * {power_sum('(i + 1)')} / ({r} * {r}), "
+              f"'E', s.E + (i + 1) * pow({u}, i) * {power_sum('(i + 2)')} / ({r} * {r}), "
+              f"'L', s.L + CASE WHEN i = 0 THEN {n} * ln({r}) ELSE -pow({u}, i) / i * {power_sum('i')} END))")
+    return (f"CASE WHEN {d} <= 0 THEN {zero} WHEN {d} <= {FEW_TIES} THEN {loop} "
+            f"WHEN {b} >= 0.5e0 * {r} THEN {closed} ELSE {series} END")
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

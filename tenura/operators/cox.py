@@ -12,11 +12,11 @@ ONE aggregate over the (cached) subject table:
    counting-process rows (start, stop] add at ``stop`` and leave at
    ``start``, so the risk set at t is adds(stop >= t) - removes(start >= t);
 3. Efron terms per event time need only six scalar sums over the tied
-   events (``aggregate(sequence(0, d-1))``), combined with the vectors;
+   events (in closed form when there are many), combined with the vectors;
 4. one final sum -> (log-likelihood, gradient, Hessian) to the driver.
 
 Only p + p(p+1)/2 numbers per iteration reach the driver; beta goes back
-as literals, so the lineage never grows between iterations.
+as a one-row table, so the lineage never grows between iterations.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.functions.ordinal import prefix_sums as global_prefix_sums
-from tenura.functions.stats import Z_95, chi2_sf_df1
+from tenura.functions.ordinal import global_prefix_sums, global_row_index
+from tenura.functions.stats import Z_95, chi2_sf_df1, efron_sums_sql
 from tenura.session import cut_lineage
 
 UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
@@ -117,15 +117,7 @@ def _iteration_sql(view: str, p: int, strata: Sequence[str], beta_view: str, has
               "CAST(0 AS DOUBLE) AS ef_d, CAST(0 AS DOUBLE) AS ef_e, CAST(d AS DOUBLE) * ln(R0) AS ef_l")
         ctes.append(f"_ef AS (SELECT *, {sc} FROM _tt WHERE d > 0)")
     else:
-        den = "(R0 - (CAST(l AS DOUBLE) / CAST(d AS DOUBLE)) * b0)"
-        c = "(CAST(l AS DOUBLE) / CAST(d AS DOUBLE))"
-        z = "CAST(0 AS DOUBLE)"
-        lam = (f"aggregate(sequence(CAST(0 AS BIGINT), d - 1), named_struct('A', {z}, 'B', {z}, 'C', {z}, 'D', {z}, "
-               f"'E', {z}, 'L', {z}), (acc, l) -> named_struct("
-               f"'A', acc.A + 1 / {den}, 'B', acc.B + {c} / {den}, 'C', acc.C + 1 / ({den} * {den}), "
-               f"'D', acc.D + {c} / ({den} * {den}), 'E', acc.E + {c} * {c} / ({den} * {den}), "
-               f"'L', acc.L + ln({den})))")
-        ctes.append(f"_ef0 AS (SELECT *, {lam} AS _s FROM _tt WHERE d > 0)")
+        ctes.append(f"_ef0 AS (SELECT *, {efron_sums_sql('R0', 'b0', 'd')} AS _s FROM _tt WHERE d > 0)")
         ctes.append("_ef AS (SELECT *, _s.A AS ef_a, _s.B AS ef_b, _s.C AS ef_c, _s.D AS ef_d, _s.E AS ef_e, "
                     "_s.L AS ef_l FROM _ef0)")
     aggs = ["SUM(xbd - ef_l) AS ll"]
@@ -205,6 +197,8 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             hist.append(ll)
             if np.max(np.abs(step)) < tol:
                 break
+        else:
+            raise RuntimeError(f"Cox fit did not converge in {max_iter} iterations")
         cov_std = np.linalg.inv(-H)
         beta_o = beta / sds
         cov_o = cov_std / np.outer(sds, sds)
@@ -360,62 +354,72 @@ def covariate_profiles(base: DataFrame, covariates, beta, means, column: str, va
 
 
 # ------------------------------------------------------------------ concordance
-def concordance_index(df: DataFrame, duration: str, event: str, risk: str, max_times: int = 4096) -> DataFrame:
+def concordance_index(df: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     """Harrell's C with the higher ``risk`` expected to fail first.
 
     Pair (i, j) is comparable when i has an event and T_j > T_i, or
-    T_j = T_i with j censored; tied risks count one half.  For every
-    distinct event time k each row contributes an indicator; running sums
-    of those indicators over the risk order (range partitioned) give, for
-    each event, the number of comparable partners with lower risk."""
-    # several passes follow (event times, per-score counts, events): materialise the 3 columns once
-    df = cut_lineage(df.select(F.col(duration).cast("double").alias(duration), F.col(event).alias(event),
-                               F.col(risk).cast("double").alias(risk)))
-    ev_times = [r[0] for r in df.where(F.col(event) == 1).select(F.col(duration).cast("double")).distinct()
-                .orderBy(1).limit(max_times + 1).collect()]
-    if len(ev_times) > max_times:
-        raise ValueError("too many distinct event times for the exact concordance; bin the durations")
-    T, E = F.col(duration).cast("double"), F.col(event)
-    K = len(ev_times)
-    comp = [((T > F.lit(t)) | ((T == F.lit(t)) & (E == 0))).cast("double") for t in ev_times]
-    g = df.groupBy(F.col(risk).cast("double").alias("s")).agg(*[F.sum(c).alias(f"c{k}") for k, c in enumerate(comp)])
-    pre = global_prefix_sums(g, "s", [f"c{k}" for k in range(K)], suffix="_lt", inclusive=False)
-    tot = g.agg(*[F.sum(f"c{k}").alias(f"tot{k}") for k in range(K)])
-    kidx = F.lit(-1)
-    for k, t in enumerate(ev_times):
-        kidx = F.when(T == F.lit(t), F.lit(k)).otherwise(kidx)
-    evs = df.where(E == 1).groupBy(F.col(risk).cast("double").alias("s"), kidx.alias("k")).agg(F.count(F.lit(1)).alias("m"))
-    j = evs.join(pre, "s")
-    lt = F.element_at(F.array(*[F.col(f"c{k}_lt") for k in range(K)]), F.col("k") + 1)
-    eq = F.element_at(F.array(*[F.col(f"c{k}") for k in range(K)]), F.col("k") + 1)
-    part = j.select("k", (F.col("m") * lt).alias("conc"), (F.col("m") * eq).alias("ties"), "m")
-    totk = tot.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"tot{k}").alias("tot"))
-                                          for k in range(K)])).alias("x")).select("x.*")
-    part = part.join(F.broadcast(totk), "k")
-    s = part.agg(F.sum("conc").alias("concordant"), F.sum("ties").alias("tied_risk"),
-                 F.sum(F.col("m") * F.col("tot")).alias("comparable"))
-    return s.select(((F.col("concordant") + 0.5 * F.col("tied_risk")) / F.col("comparable")).alias("c_index"),
-                    "concordant", "tied_risk", "comparable")
+    T_j = T_i with j censored; tied risks count one half.  With the key
+    2 * rank(T) for events and one more for censored rows, j is comparable
+    to the event i just when its key is larger.  Two keys differ first at
+    one bit: every row goes to one group for each bit (the bits above it),
+    where events with a 0 meet rows with a 1, and running counts over the
+    risk order of all groups at once tell how many of these have less risk."""
+    rows = (df.select(F.col(duration).cast("double").alias("t"), (F.col(event) == 1).alias("e"), F.col(risk).cast("double").alias("s"))
+            .where("t is not null and s is not null").groupBy("t", "e", "s").agg(F.count(F.lit(1)).alias("m")))
+    rows = cut_lineage(rows)
+    ranks = global_row_index(rows.select("t").distinct(), ["t"], "rank")
+    rows = rows.join(ranks, "t").select("e", "s", "m", (2 * F.col("rank") + F.when(F.col("e"), 0).otherwise(1)).alias("key"))
+    n_times = ranks.count()
+    levels = max(1, (2 * n_times).bit_length())
+    # one row for each (bit, bits above, risk): rows with the bit, and events without it
+    split = (rows.select("*", F.explode(F.array(*[F.lit(k) for k in range(levels)])).alias("level"))
+             .select("level", F.expr("shiftright(key, level + 1)").alias("above"), "s",
+                     F.expr("CASE WHEN shiftright(key, level) & 1 = 1 THEN m ELSE 0 END").alias("hi"),
+                     F.expr("CASE WHEN e AND shiftright(key, level) & 1 = 0 THEN m ELSE 0 END").alias("lo"))
+             .groupBy("level", "above", "s").agg(F.sum("hi").cast("double").alias("hi"), F.sum("lo").cast("double").alias("lo")))
+    cum = global_prefix_sums(split.withColumn("_key", F.struct("level", "above", "s")), "_key", ["hi"], suffix="_lt", inclusive=False)
+    groups = cum.groupBy("level", "above").agg(
+        F.sum(F.col("lo") * F.col("hi_lt")).alias("below"), F.min("hi_lt").alias("base"), F.sum("lo").alias("lo"),
+        F.sum("hi").alias("hi"), F.sum(F.col("lo") * F.col("hi")).alias("ties"))
+    total = groups.agg(F.sum(F.col("below") - F.col("base") * F.col("lo")).alias("concordant"),
+                       F.sum("ties").alias("tied_risk"), F.sum(F.col("lo") * F.col("hi")).alias("comparable"))
+    return total.select(((F.col("concordant") + 0.5 * F.col("tied_risk")) / F.col("comparable")).alias("c_index"),
+                        "concordant", "tied_risk", "comparable")
 
 
 # ------------------------------------------------------------------ residuals
-def _risk_means(df: DataFrame, duration: str, event: str, covariates, beta, means, strata=()) -> DataFrame:
-    """Per (stratum, t): d, R0, weighted risk-set means xbar(t), Breslow
-    dLambda0(t) = d / R0 and its running sums C0, C1 (for residuals)."""
+def _risk_means(df: DataFrame, duration: str, event: str, covariates, beta, means, strata=(),
+                ties: str = "efron") -> DataFrame:
+    """Per (stratum, t), for residuals: the mean ``xbar`` of the risk set over
+    the tied events; hazard ``h`` and hazard-weighted means ``hm`` of that time
+    (``he``, ``hme`` for its own events, which Efron's form weighs down); and the
+    running sums C0 and C1 of h and hm."""
     w = F.exp(linear_predictor(covariates, beta, means))
+    ev = F.when(F.col(event) == 1, w).otherwise(F.lit(0.0))
     xs = [F.col(f"`{c}`").cast("double") for c in covariates]
+    p = range(len(xs))
     tt = df.groupBy(*strata, F.col(duration).cast("double").alias("t")).agg(
-        F.count_if(F.col(event) == 1).alias("d"), F.sum(w).alias("w0"),
-        *[F.sum(w * x).alias(f"w1_{j}") for j, x in enumerate(xs)])
+        F.count_if(F.col(event) == 1).alias("d"), F.sum(w).alias("w0"), F.sum(ev).alias("b0"),
+        *[F.sum(w * x).alias(f"w1_{j}") for j, x in enumerate(xs)], *[F.sum(ev * x).alias(f"b1_{j}") for j, x in enumerate(xs)])
     part = Window.partitionBy(*strata) if strata else Window.partitionBy()
     down = part.orderBy(F.desc("t")).rowsBetween(UNB_PRE, 0)
-    r = tt.select(*strata, "t", "d", F.sum("w0").over(down).alias("R0"),
-                  *[F.sum(f"w1_{j}").over(down).alias(f"R1_{j}") for j in range(len(xs))])
-    r = r.select("*", (F.col("d") / F.col("R0")).alias("dL"),
-                 *[(F.col(f"R1_{j}") / F.col("R0")).alias(f"xbar_{j}") for j in range(len(xs))])
+    r = tt.select(*strata, "t", "d", "b0", *[f"b1_{j}" for j in p], F.sum("w0").over(down).alias("R0"),
+                  *[F.sum(f"w1_{j}").over(down).alias(f"R1_{j}") for j in p])
+    if ties == "efron":
+        sums = F.expr(efron_sums_sql("R0", "b0", "d"))
+    else:
+        zero = F.lit(0.0)
+        sums = F.struct((F.col("d") / F.col("R0")).alias("A"), zero.alias("B"),
+                        (F.col("d") / (F.col("R0") * F.col("R0"))).alias("C"), zero.alias("D"), zero.alias("E"))
+    r = r.withColumn("_s", sums)
+    A, B, C, D, E = (F.col("_s")[k] for k in "ABCDE")
+    R1, b1 = [F.col(f"R1_{j}") for j in p], [F.col(f"b1_{j}") for j in p]
+    r = r.select(*strata, "t", A.alias("h"), (A - B).alias("he"),
+                 *[F.when(F.col("d") > 0, (R1[j] * A - b1[j] * B) / F.col("d")).alias(f"xbar_{j}") for j in p],
+                 *[(R1[j] * C - b1[j] * D).alias(f"hm_{j}") for j in p],
+                 *[(R1[j] * (C - D) - b1[j] * (D - E)).alias(f"hme_{j}") for j in p])
     up = part.orderBy("t").rowsBetween(UNB_PRE, 0)
-    return r.select("*", F.sum("dL").over(up).alias("C0"),
-                    *[F.sum(F.col("dL") * F.col(f"xbar_{j}")).over(up).alias(f"C1_{j}") for j in range(len(xs))])
+    return r.select("*", F.sum("h").over(up).alias("C0"), *[F.sum(f"hm_{j}").over(up).alias(f"C1_{j}") for j in p])
 
 
 def martingale_residuals(df: DataFrame, id_col: str, duration: str, event: str, covariates, beta, means,
@@ -436,33 +440,35 @@ def martingale_residuals(df: DataFrame, id_col: str, duration: str, event: str,
 
 
 def score_residuals(df: DataFrame, id_col: str, duration: str, event: str, covariates, beta, means,
-                    strata: Sequence[str] = ()) -> DataFrame:
-    """Breslow-form score residuals per subject and covariate:
-    L_i = E_i (x_i - xbar(T_i)) - w_i (x_i C0(T_i) - C1(T_i))."""
-    rm = _risk_means(df, duration, event, covariates, beta, means, strata)
+                    strata: Sequence[str] = (), ties: str = "efron") -> DataFrame:
+    """Score residuals L0, L1, ... of every row: what it adds to the gradient,
+    E_i (x_i - xbar(T_i)) - w_i (x_i H_i - M_i), with the hazard H_i and the
+    hazard-weighted means M_i that the row was at risk for."""
+    rm = _risk_means(df, duration, event, covariates, beta, means, strata, ties)
     w = F.exp(linear_predictor(covariates, beta, means))
     subj = df.select(id_col, *strata, F.col(duration).cast("double").alias("t"), F.col(event).cast("double").alias("E"),
                      w.alias("w"), *[F.col(f"`{c}`").cast("double").alias(f"x{j}") for j, c in enumerate(covariates)])
-    j = subj.join(rm, [*strata, "t"])
-    items = []
-    for k, c in enumerate(covariates):
-        L = F.col("E") * (F.col(f"x{k}") - F.col(f"xbar_{k}")) - F.col("w") * (F.col(f"x{k}") * F.col("C0") - F.col(f"C1_{k}"))
-        items.append(F.struct(F.lit(c).alias("covariate"), F.lit(k).alias("k"), L.alias("score")))
-    return j.select(id_col, F.col("t").alias(duration), F.col("E").cast("int").alias(event),
-                    F.explode(F.array(*items)).alias("s")).select(id_col, duration, event, "s.*")
+    failed = F.col("E") == 1
+    H = F.col("C0") + F.when(failed, F.col("he") - F.col("h")).otherwise(0.0)
+    score = []
+    for k in range(len(covariates)):
+        x = F.col(f"x{k}")
+        M = F.col(f"C1_{k}") + F.when(failed, F.col(f"hme_{k}") - F.col(f"hm_{k}")).otherwise(0.0)
+        own = F.when(failed, x - F.col(f"xbar_{k}")).otherwise(0.0)
+        score.append((own - F.col("w") * (x * H - M)).alias(f"L{k}"))
+    return subj.join(rm, [*strata, "t"]).select(id_col, F.col("t").alias(duration), F.col("E").cast("int").alias(event), *score)
 
 
 def delta_beta(df: DataFrame, id_col: str, duration: str, event: str, fit: CoxFit, strata=None) -> DataFrame:
-    """Influence of each subject on each coefficient = score residual
-    vector x covariance (p x p, shipped as literals)."""
+    """Influence of each row on each coefficient = its score residuals x
+    covariance (p x p, shipped as literals), in one projection."""
     strata = fit.strata if strata is None else strata
-    sr = score_residuals(df, id_col, duration, event, fit.covariates, fit.beta, fit.means, strata)
-    wide = sr.groupBy(id_col, duration, event).pivot("k", list(range(len(fit.covariates)))).agg(F.first("score"))
+    sr = score_residuals(df, id_col, duration, event, fit.covariates, fit.beta, fit.means, strata, fit.ties)
     items = []
     for k, c in enumerate(fit.covariates):
-        v = sum((F.col(f"`{i}`") * F.lit(float(fit.cov[i, k])) for i in range(len(fit.covariates))), F.lit(0.0))
+        v = sum((F.col(f"L{i}") * F.lit(float(fit.cov[i, k])) for i in range(len(fit.covariates))), F.lit(0.0))
         items.append(F.struct(F.lit(c).alias("covariate"), v.alias("delta_beta")))
-    return wide.select(id_col, duration, event, F.explode(F.array(*items)).alias("s")).select(id_col, duration, event, "s.*")
+    return sr.select(id_col, duration, event, F.explode(F.array(*items)).alias("s")).select(id_col, duration, event, "s.*")
 
 
 def ph_test(df: DataFrame, duration: str, event: str, fit: CoxFit) -> DataFrame:
@@ -471,7 +477,7 @@ def ph_test(df: DataFrame, duration: str, event: str, fit: CoxFit) -> DataFrame:
     r_i = x_i - xbar(T_i) use the fit's risk-set means; only p sums and
     the covariance matrix enter the statistic."""
     strata = fit.strata
-    rm = _risk_means(df, duration, event, fit.covariates, fit.beta, fit.means, strata)
+    rm = _risk_means(df, duration, event, fit.covariates, fit.beta, fit.means, strata, fit.ties)
     p = len(fit.covariates)
     evd = df.where(F.col(event) == 1)
     m = evd.count()

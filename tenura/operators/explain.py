@@ -14,6 +14,8 @@ model-sized constant (the node table compiled on the driver):
 
 from __future__ import annotations
 
+import hashlib
+import math
 import math
 from collections.abc import Sequence
 
@@ -23,10 +25,9 @@ from pyspark.sql import functions as F
 from tenura.functions.stats import safe_corr
 
 from tenura.functions.ordinal import global_row_index
+from tenura.session import cut_lineage
 from tenura.operators.trees import Ensemble, in_interval, shapley_weight, spark_ref, subsets
 
-MAX_GRID = 10_000
-
 
 def _p(m: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
@@ -39,8 +40,6 @@ def margin_with(ens: Ensemble, ref) -> Column:
 # ------------------------------------------------------------------ grids
 def quantile_grid(df: DataFrame, feature: str, m: int) -> list[float]:
     """Quantiles 0..1 in m steps (linear interpolation), de-duplicated."""
-    if m > MAX_GRID:
-        raise ValueError("grid too large")
     from tenura.functions.ordinal import exact_quantiles
     ps = [i / (m - 1) for i in range(m)] if m > 1 else [0.5]
     qs = [r["q"] for r in exact_quantiles(df, feature, ps).orderBy("p").collect()]  # m values
@@ -80,8 +79,14 @@ def pdp(ice_df: DataFrame) -> DataFrame:
     return ice_df.groupBy("grid").agg(F.avg("yhat").alias("pd"), F.count(F.lit(1)).alias("n"))
 
 
+def grid_positions(spark, grid: Sequence[float]) -> DataFrame:
+    """Share of grid points strictly below each grid value."""
+    rows = [(float(v), sum(x < v for x in grid) / len(grid)) for v in grid]
+    return spark.createDataFrame(rows, "grid double, q double")
+
+
 def quantile_positions(df: DataFrame, feature: str, grid: Sequence[float]) -> DataFrame:
-    """I18 (and F3 for grid points): share of rows strictly below each grid value."""
+    """F3 for grid points: share of rows strictly below each grid value."""
     x = F.col(f"`{feature}`").cast("double")
     aggs = [(F.count_if(x < F.lit(float(v))) / F.count(F.lit(1))).alias(f"q{i}") for i, v in enumerate(grid)]
     row = df.agg(*aggs)
@@ -93,8 +98,7 @@ def centered_ice(df: DataFrame, ens: Ensemble, id_col: str, feature: str, grid:
                  q: float = 0.0) -> DataFrame:
     """I16: subtract, per curve, its value at the grid point whose
     quantile position is nearest q (first such point on ties)."""
-    qp = quantile_positions(df, feature, grid).collect()  # len(grid) rows
-    anchor = min(qp, key=lambda r: (abs(r["q"] - q), r["grid"]))["grid"]
+    anchor = float(min(grid, key=lambda v: (abs(sum(x < v for x in grid) / len(grid) - q), v)))
     c = ice(df, ens, id_col, feature, grid)
     at = F.max(F.when(F.col("grid") == F.lit(anchor), F.col("yhat"))).over(Window.partitionBy(id_col))
     return c.select(id_col, "grid", "yhat", (F.col("yhat") - at).alias("yhat_c"))
@@ -155,9 +159,7 @@ def pdp_onehot(df: DataFrame, ens: Ensemble, members: Sequence[str]) -> DataFram
 
 
 def pdp_2d(df: DataFrame, ens: Ensemble, f1: str, g1: Sequence[float], f2: str, g2: Sequence[float]) -> DataFrame:
-    """Two-way PDP on the grid product (len(g1) * len(g2) bounded)."""
-    if len(g1) * len(g2) > MAX_GRID:
-        raise ValueError("grid too large")
+    """Two-way PDP on the grid product (the caller's len(g1) * len(g2) points)."""
     items = [F.struct(F.lit(float(a)).alias("_a"), F.lit(float(b)).alias("_b")) for a in g1 for b in g2]
     r = df.select("*", F.explode(F.array(*items)).alias("_ab")).select("*", "_ab._a", "_ab._b")
 
@@ -294,7 +296,7 @@ def strongest_interaction(shap_long: DataFrame, data: DataFrame, id_col: str, fe
     d = dependence(shap_long, id_col, feature)
     n = d.select(F.count(F.lit(1))).scalar()
     below = d.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    from tenura.functions.ordinal import prefix_sums as global_prefix_sums
+    from tenura.functions.ordinal import global_prefix_sums
     pos = global_prefix_sums(below, "x", ["c"], suffix="_below", inclusive=False)
     binned = d.join(pos.select("x", "c_below"), "x").withColumn(
         "bin", F.floor(F.col("c_below") * n_bins / n.cast("double")).cast("int"))
@@ -360,34 +362,42 @@ def interacting_pairs(ens: Ensemble) -> list[tuple[str, str]]:
 
 
 # ------------------------------------------------------------------ permutation importance
+def shuffle_seeds(feature: str, repeat: int, seed: int) -> tuple[int, int]:
+    """Two hash values that fix the permutation of one feature and repeat."""
+    h = hashlib.md5(f"{feature}|{repeat + seed}".encode()).hexdigest()
+    return int(h[:12], 16), int(h[12:24], 16)
+
+
 def permutation_importance(df: DataFrame, ens: Ensemble, id_col: str, label: str, features: Sequence[str],
                            repeats: int = 5, seed: int = 0, threshold: float = 0.5,
                            return_scores: bool = False) -> DataFrame:
     """Accuracy drop when one feature's column is permuted, mean and
-    population std over repeats.  The permutation of repeat r for feature
-    f pairs the k-th row by id with the k-th row by md5(id|f|seed+r)."""
+    population std over repeats.
+
+    Rows are numbered once by id; row k gets the value of row (a k + b) mod n,
+    a bijection as a is coprime to n, with a and b from a hash of feature and
+    repeat.  Just the donated values move, in one join on the number."""
     feats = list(features)
     used = ens.features()
-    # the rows are read three times (base score, donors, recipients): write the projection once
-    from tenura.session import cut_lineage
-    df = cut_lineage(df.select(id_col, label, *[F.col(f"`{c}`").cast("double").alias(c) for c in sorted(set(used) | set(feats))]))
-    base = df.select(id_col, label, *[F.col(f"`{c}`") for c in used])
+    rows = df.select(id_col, label, *[F.col(f"`{c}`").cast("double").alias(c) for c in sorted(set(used) | set(feats))])
+    rows = cut_lineage(global_row_index(rows, [id_col], "_k"))  # read by the count, the donors and the recipients
+    n = rows.count()
     pred = (_p(margin_with(ens, spark_ref)) >= threshold).cast("int")
-    base_acc = base.select(F.avg((pred == F.col(label)).cast("double"))).scalar()
-
-    fr = F.explode(F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r")) for f in feats for r in range(repeats)]))
-    dv = F.lit(None).cast("double")
+    base_acc = rows.select(F.avg((pred == F.col(label)).cast("double"))).scalar()
+    moves = []
     for f in feats:
-        dv = F.when(F.col("_f") == F.lit(f), F.col(f"`{f}`").cast("double")).otherwise(dv)
-    donors = (df.select(id_col, *[F.col(f"`{f}`") for f in feats], fr.alias("fr")).select(id_col, *[F.col(f"`{f}`") for f in feats], "fr.*")
-              .select("_f", "_r", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col("_f"),
-                                                     (F.col("_r") + F.lit(seed)).cast("string"))).alias("_h"),
-                      id_col, dv.alias("_dv")))
-    ranked = global_row_index(donors, ["_f", "_r", "_h", id_col], "_gpos")
-    offs = ranked.groupBy("_f", "_r").agg(F.min("_gpos").alias("_off"))
-    donors_k = ranked.join(F.broadcast(offs), ["_f", "_r"]).select("_f", "_r", (F.col("_gpos") - F.col("_off")).alias("_k"), "_dv")
-    rec = global_row_index(base, [id_col], "_k").select("*", fr.alias("fr")).select("*", "fr._f", "fr._r").drop("fr")
-    j = rec.join(donors_k, ["_f", "_r", "_k"])
+        for r in range(repeats if n else 0):
+            h, g = shuffle_seeds(f, r, seed)
+            a = h % n
+            while math.gcd(a, n) != 1:
+                a += 1
+            moves.append(F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"), F.lit(pow(a, -1, n)).cast("decimal(19,0)").alias("inv"),
+                                  F.lit(g % n).cast("long").alias("b"), F.col(f"`{f}`").alias("_dv")))
+    fr = F.explode(F.array(*moves)) if moves else F.explode(F.array().cast("array<struct<_f:string,_r:int,inv:decimal(19,0),b:bigint,_dv:double>>"))
+    x = F.col("x")
+    goes_to = F.pmod((F.col("_k") - x["b"]).cast("decimal(19,0)") * x["inv"], F.lit(max(n, 1)).cast("decimal(19,0)")).cast("long")
+    donated = rows.select("_k", fr.alias("x")).select(x["_f"].alias("_f"), x["_r"].alias("_r"), x["_dv"].alias("_dv"), goes_to.alias("_k"))
+    j = rows.join(donated, "_k")
 
     def ref(f):
         return f"(CASE WHEN `_f` = '{f}' THEN `_dv` ELSE {spark_ref(f)} END)" if f in feats else spark_ref(f)
@@ -398,4 +408,3 @@ def permutation_importance(df: DataFrame, ens: Ensemble, id_col: str, label: str
     return acc.groupBy(F.col("_f").alias("feature")).agg(
         F.avg(F.lit(base_acc) - F.col("acc")).alias("importance_mean"),
         F.stddev_pop(F.lit(base_acc) - F.col("acc")).alias("importance_std"))
-

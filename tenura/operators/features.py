@@ -1,7 +1,7 @@
 """Feature engineering.
 
-Level discovery is one small aggregate (distinct values of low-cardinality
-columns, bounded by ``max_levels``); the encodings themselves are plain
+Level discovery is one aggregate (distinct values of the categorical
+columns); the encodings themselves are plain
 CASE expressions, so encoding is a narrow projection fused with the scan.
 """
 
@@ -15,24 +15,11 @@ from pyspark.sql import functions as F
 from tenura.operators.clean import recode
 
 
-def levels(df: DataFrame, cols: Sequence[str], max_levels: int = 64) -> dict[str, list]:
-    """Sorted distinct non-null values per column, in one job; refuses
-    columns with more than ``max_levels`` values (not categorical)."""
-    sel = df.select(*[F.col(c) for c in cols])
-    # screen cardinality with fixed-size sketches first, so collect_set is
-    # only run on columns that are provably small
-    approx = sel.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
-    wide = [c for c in cols if approx[c] > max_levels * 1.1]
-    if wide:
-        raise ValueError(f"columns {wide} have more than {max_levels} levels; not categorical")
-    row = sel.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]).first()
-    out = {}
-    for c in cols:
-        vals = list(row[c])
-        if len(vals) > max_levels:
-            raise ValueError(f"column {c} has {len(vals)} levels (> {max_levels}); not categorical")
-        out[c] = vals
-    return out
+def levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct non-null values per column, in one job.  They become the
+    encoding's columns or codes, so they are the model's state."""
+    row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]).first()
+    return {c: list(row[c]) for c in cols}
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], lv: dict[str, list] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.functions.stats import chi2_sf, chi2_sf_df1, z_quantile
+from tenura.functions.stats import chi2_sf, chi2_sf_df1, tie_sum_sql, z_quantile
 
 UNB_PRE = Window.unboundedPreceding
 UNB_FOL = Window.unboundedFollowing
@@ -130,20 +130,13 @@ def censor_at(df: DataFrame, duration: str, tau: float, event: str | None = None
     return df.select(*cols)
 
 
-def _tie_sum(n: Column, d: Column, power: int) -> Column:
-    """sum_{i=0}^{d-1} 1/(n-i)^power, 0 when d=0 (sequence(0,-1) would count down)."""
-    terms = F.aggregate(F.sequence(F.lit(0).cast("long"), d - 1), F.lit(0.0),
-                        lambda acc, i: acc + F.pow(F.lit(1.0) / (n - i), F.lit(float(power))))
-    return F.when(d > 0, terms).otherwise(F.lit(0.0))
-
-
 def nelson_aalen(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (),
                  confidence: float = 0.95) -> DataFrame:
     """Tie-corrected cumulative hazard and log-transformed band."""
     z = z_quantile(confidence)
     ev = event_table(df, duration, event, groups)
-    n, d = F.col("at_risk"), F.col("observed")
-    inc = ev.select(*groups, "t", "at_risk", "observed", _tie_sum(n, d, 1).alias("dh"), _tie_sum(n, d, 2).alias("dv"))
+    inc = ev.select(*groups, "t", "at_risk", "observed", F.expr(tie_sum_sql("at_risk", "observed", 1)).alias("dh"),
+                    F.expr(tie_sum_sql("at_risk", "observed", 2)).alias("dv"))
     cum = _w(groups).rowsBetween(UNB_PRE, 0)
     out = inc.select(*groups, "t", "at_risk", "observed", "dh",
                      F.sum("dh").over(cum).alias("cum_hazard"), F.sum("dv").over(cum).alias("variance"))
@@ -201,26 +194,29 @@ def logrank_two_sample(df: DataFrame, duration: str, event: str, group_a: Column
                     F.exp(chi2 * F.sqrt(F.lit(4.0) / F.col("total_events"))).alias("hazard_ratio_chi2_form"))
 
 
-def logrank_k_sample(df: DataFrame, duration: str, event: str, group: str, max_groups: int = 64) -> DataFrame:
+def logrank_k_sample(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
     """K-sample log-rank, chi2 with k-1 df.
 
     Counts are pivoted to one row per distinct time (a column pair per
-    group), at-risk is a reverse running sum over times, and the O-E
+    group; null groups are left out), at-risk is a reverse running sum over times, and the O-E
     vector and k x k covariance are one aggregate.  Only that bounded
     (k-1)x(k-1) system is solved on the driver."""
     import numpy as np
 
-    tc = time_counts(df, duration, event, [group])
-    lv = [r[0] for r in tc.select(group).distinct().orderBy(group).limit(max_groups + 1).collect()]
-    if len(lv) < 2 or len(lv) > max_groups:
-        raise ValueError(f"k-sample log-rank needs 2..{max_groups} groups, got {len(lv)}")
+    tc = time_counts(df.where(F.col(group).isNotNull()), duration, event, [group])
+    lv = [r[0] for r in tc.select(group).distinct().orderBy(group).collect()]
+    if len(lv) < 2:
+        raise ValueError(f"k-sample log-rank needs two groups or more, got {len(lv)}")
     k = len(lv)
-    wide = tc.groupBy("t").pivot(group, lv).agg(F.sum("removed").alias("r"), F.sum("observed").alias("d")).fillna(0)
+    # groups get dense codes, so that column names don't depend on their values
+    codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(lv)], tc.select(group, F.lit(0).alias("_g")).schema)
+    wide = (tc.join(codes, group).groupBy("t").pivot("_g", list(range(k)))
+            .agg(F.sum("removed").alias("r"), F.sum("observed").alias("d")).fillna(0))
     w = Window.orderBy("t").rowsBetween(0, UNB_FOL)
     cols = [F.col("t")]
-    for i, v in enumerate(lv):
-        cols += [F.col(f"`{v}_d`").cast("double").alias(f"d{i}"),
-                 F.sum(F.col(f"`{v}_r`")).over(w).cast("double").alias(f"n{i}")]
+    for i in range(k):
+        cols += [F.col(f"{i}_d").cast("double").alias(f"d{i}"),
+                 F.sum(F.col(f"{i}_r")).over(w).cast("double").alias(f"n{i}")]
     per = wide.select(*cols)
     n = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
     d = sum((F.col(f"d{i}") for i in range(k)), F.lit(0.0))
@@ -312,6 +308,9 @@ def weibull_fit(df: DataFrame, duration: str, event: str, max_iter: int = 200, t
         theta, ll, g, H = t_new, ll_new, g_new, H_new
         if np.max(np.abs(step)) < tol:
             break
+    else:
+        tc.unpersist()
+        raise RuntimeError(f"Weibull fit did not converge in {max_iter} iterations")
     tc.unpersist()
     return df.sparkSession.createDataFrame([(float(np.exp(theta[0])), float(np.exp(theta[1])), float(ll))],
                                            "lambda_ double, rho double, log_likelihood double")

@@ -54,8 +54,6 @@ FROZEN_NODES = [
     (2, 8, -1, -1, None, None, -0.3, 80.0, 0.0),
 ]
 
-MAX_NODES = 200_000
-
 
 def frozen_node_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FROZEN_NODES, NODE_SCHEMA)
@@ -95,10 +93,8 @@ class Ensemble:
 
     @classmethod
     def from_table(cls, nodes: DataFrame, base_margin: float = 0.0) -> "Ensemble":
-        rows = nodes.limit(MAX_NODES + 1).collect()
-        if len(rows) > MAX_NODES:
-            raise ValueError("node table too large to compile into expressions")
-        return cls(rows, base_margin)
+        # a fitted model: its size is the trees' and not the data's
+        return cls(nodes.collect(), base_margin)
 
     def root(self, t):
         return self.nodes[(t, 0)]

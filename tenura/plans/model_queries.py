@@ -246,22 +246,22 @@ def i05_importance_cover(spark, sf):
 
 
 # ---------------------------------------------------------------- I6 permutation importance
-PERM_FEATS = ["tenure", "monthly_charges", "total_charges", "dependents", "contract_Month-to-month"]
+PERM_FEATS = FEATS
 
 
 def _perm_sql(repeats=5, seed=0):
-    fr = ", ".join(f"('{f}', {r})" for f in PERM_FEATS for r in range(repeats))
-    dv = "CASE fr.f " + " ".join(f"WHEN '{f}' THEN CAST(e.{DREF(f)} AS DOUBLE)" for f in PERM_FEATS) + " END"
+    fr = ", ".join("('{}', {}, {}, {})".format(f, r, *ex.shuffle_seeds(f, r, seed)) for f in PERM_FEATS for r in range(repeats))
+    dv = "CASE m.f " + " ".join(f"WHEN '{f}' THEN CAST(d.{DREF(f)} AS DOUBLE)" for f in PERM_FEATS) + " END"
 
     def ref(f):
         return f"(CASE WHEN f = '{f}' THEN dv ELSE {DREF(f)} END)" if f in PERM_FEATS else DREF(f)
     m = ENS.margin_sql(ref)
-    return f"""WITH _fr AS (SELECT * FROM (VALUES {fr}) v(f, r)),
-_base AS (SELECT *, ROW_NUMBER() OVER (ORDER BY account_id) - 1 AS k FROM enc),
-_don AS (SELECT fr.f, fr.r, {dv} AS dv, ROW_NUMBER() OVER (PARTITION BY fr.f, fr.r ORDER BY
-          md5(CAST(e.account_id AS VARCHAR) || '|' || fr.f || '|' || CAST(fr.r + {seed} AS VARCHAR)), e.account_id) - 1 AS k
-         FROM enc e CROSS JOIN _fr fr),
-_p AS (SELECT b.*, d.f, d.r, d.dv FROM _base b JOIN _don d ON b.k = d.k),
+    return f"""WITH _fr AS (SELECT * FROM (VALUES {fr}) v(f, r, h, g)),
+_base AS (SELECT *, ROW_NUMBER() OVER (ORDER BY account_id) - 1 AS k, COUNT(*) OVER () AS n FROM enc),
+_n AS (SELECT COUNT(*) AS n FROM enc),
+_move AS (SELECT f, r, n, ANY_VALUE(g) % n AS b, MIN(x) AS a FROM (SELECT f, r, g, n, UNNEST(range(h % n, h % n + 1000)) AS x FROM _fr, _n)
+          WHERE gcd(x, n) = 1 GROUP BY f, r, n),
+_p AS (SELECT t.*, m.f, m.r, {dv} AS dv FROM _base t CROSS JOIN _move m JOIN _base d ON d.k = (m.a * t.k + m.b) % m.n),
 _acc AS (SELECT f, r, AVG(CAST(CAST(1.0 / (1.0 + exp(-{m})) >= 0.5 AS INTEGER) = churn AS DOUBLE)) AS acc FROM _p GROUP BY f, r),
 _b AS (SELECT AVG(CAST(CAST(1.0 / (1.0 + exp(-{MARGIN_SQL})) >= 0.5 AS INTEGER) = churn AS DOUBLE)) AS base_acc FROM enc)
 SELECT f AS feature, round(AVG(base_acc - acc), 6) AS importance_mean, round(STDDEV_POP(base_acc - acc), 6) AS importance_std
@@ -338,7 +338,7 @@ def i15_pdp_tenure(spark, sf):
 
 
 @_reg("i16_centered_ice_tenure", _ice_sql("tenure", _grid_sql("tenure", 20), "*").replace(
-    "SELECT * FROM _ice", """, _q AS (SELECT g, (SELECT COUNT(*) FROM enc WHERE tenure < g) / (SELECT COUNT(*) FROM enc) AS q FROM _gr),
+    "SELECT * FROM _ice", """, _q AS (SELECT g, (SELECT COUNT(*) FROM _gr o WHERE o.g < _gr.g) / (SELECT COUNT(*) FROM _gr) AS q FROM _gr),
 _a AS (SELECT g AS ga FROM _q ORDER BY abs(q - 0.0), g LIMIT 1)
 SELECT account_id, round(g, 6) AS grid, round(yhat, 6) AS yhat,
   round(yhat - MAX(CASE WHEN g = (SELECT ga FROM _a) THEN yhat END) OVER (PARTITION BY account_id), 6) AS yhat_c FROM _ice"""))
@@ -356,10 +356,10 @@ def i17_sampled_curves(spark, sf):
 
 
 @_reg("i18_quantile_axis", "WITH _gr AS " + _grid_sql("tenure", 20) + """
-SELECT round(g, 6) AS grid, round((SELECT COUNT(*) FROM enc WHERE tenure < g) / (SELECT COUNT(*) FROM enc), 6) AS q FROM _gr""")
+SELECT round(g, 6) AS grid, round((SELECT COUNT(*) FROM _gr o WHERE o.g < _gr.g) / (SELECT COUNT(*) FROM _gr), 6) AS q FROM _gr""")
 def i18_quantile_axis(spark, sf):
     d = encoded(spark, sf)
-    return finish(ex.quantile_positions(d, "tenure", ex.quantile_grid(d, "tenure", 20)))
+    return finish(ex.grid_positions(spark, ex.quantile_grid(d, "tenure", 20)))
 
 
 @_reg("i19_prediction_by_tenure", f"""SELECT round(tenure, 6) AS x, round(AVG(1.0 / (1.0 + exp(-{MARGIN_SQL}))), 6) AS yhat, COUNT(*) AS n
@@ -368,7 +368,7 @@ def i19_prediction_by_tenure(spark, sf):
     return finish(ex.prediction_by_value(encoded(spark, sf), ENS, "tenure"))
 
 
-PDP_ALL = ["tenure", "monthly_charges", "total_charges"]
+PDP_ALL = FEATS
 
 
 @_reg("i20_pdp_all", " UNION ALL ".join(

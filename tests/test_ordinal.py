@@ -15,3 +15,14 @@ def test_prefix_sums_match_pandas(spark):
     out = global_prefix_sums(df, "s", ["v"], suffix="_cum", inclusive=False, n_partitions=6).toPandas().sort_values("s")
     exp = out["v"].cumsum() - out["v"]
     assert (abs(out["v_cum"].values - exp.values) < 1e-9).all()
+
+
+def test_prefix_sums_hold_inside_a_union(spark):
+    """A union numbers its tasks anew; the sums must not notice."""
+    from pyspark.sql import functions as F
+
+    from tenura.functions.ordinal import global_prefix_sums
+    df = spark.range(50).select("id", F.lit(1).alias("one"))
+    sums = global_prefix_sums(df, "id", ["one"], n_partitions=4).select("id", "one_cum")
+    both = spark.range(3, numPartitions=3).select("id", F.lit(0.0).alias("one_cum")).union(sums)
+    assert both.groupBy().sum("one_cum").first()[0] == 50 * 51 / 2
