@@ -117,14 +117,16 @@ def gram_matrix(df: DataFrame, cols: Sequence[str]):
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Uncentred VIF_j = (X'X)_jj * ((X'X)^-1)_jj (no constant, as in
-    the reference); singular (complete dummy groups) -> +inf."""
+    """Uncentred VIF_j = X_j'X_j / residual of X_j on the other columns (no
+    constant, as in the reference).  A column that the others determine, such
+    as one of two complete dummy groups, gets +inf, the others keep theirs."""
     import numpy as np
     G = gram_matrix(df, cols)
-    try:
-        inv = np.linalg.inv(G)
-        cond = np.linalg.cond(G)
-        vals = [float(G[j, j] * inv[j, j]) if cond < 1e14 else float("inf") for j in range(len(cols))]
-    except np.linalg.LinAlgError:
-        vals = [float("inf")] * len(cols)
+    scale = np.sqrt(np.where(np.diag(G) > 0, np.diag(G), 1.0))
+    G = G / np.outer(scale, scale)
+    vals = []
+    for j in range(len(cols)):
+        rest = [i for i in range(len(cols)) if i != j]
+        left = float(G[j, j] - G[j, rest] @ np.linalg.pinv(G[np.ix_(rest, rest)], rcond=1e-10, hermitian=True) @ G[rest, j])
+        vals.append(float(G[j, j] / left) if left > 1e-9 else float("inf"))
     return df.sparkSession.createDataFrame(list(zip(cols, vals)), "feature string, vif double")

@@ -23,6 +23,7 @@ from tenura.operators.features import hash_fraction
 
 # Tuned booster of the reference (150 trees, learning rate .15, depth 3, no subsampling).
 TUNED = dict(maxIter=150, stepSize=0.15, maxDepth=3, subsamplingRate=1.0)
+DEFAULT = dict(maxIter=100, stepSize=0.1, maxDepth=3, subsamplingRate=1.0)  # the reference's default booster
 SECOND = dict(maxIter=150, stepSize=0.1, maxDepth=3, subsamplingRate=1.0)
 
 

@@ -2,7 +2,8 @@
 
 Queries with a constant coefficient table (K21, K23-K31, K38, K39, K41)
 have DuckDB oracles; fitted-model queries (K19, K20, K22, K32-K35, K37,
-K40) are checked by brute-force tests instead (rows-only here).
+K40) are rows-only here; tests/test_cox.py holds the operators against
+brute force (Efron likelihood, score residuals, PH test, leave-one-out).
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ def _reg(name, sql=None):
 # Constant coefficient table for the SQL-checked prediction queries.
 COVS = ["senior", "partner_i", "dependents_i", "mc"]
 BETA = [0.25, -0.35, -0.30, 0.40]
-FIT_COVS = ["senior", "partner_i", "dependents_i", "security_i", "mc", "contract_One year", "contract_Two year"]
+# Category levels of the panel, without one reference level per group.
+LEVELS = {"contract": ["One year", "Two year"], "payment_method": ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+          "internet_service": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+FIT_COVS = ["senior", "partner_i", "dependents_i", "security_i", "mc", *[f"{c}_{v}" for c, vs in LEVELS.items() for v in vs]]
 
 
 def cox_subjects(spark, sf):
@@ -41,8 +45,7 @@ def cox_subjects(spark, sf):
                     (F.col("dependents") == "Yes").cast("double").alias("dependents_i"),
                     (F.col("online_security") == "Yes").cast("double").alias("security_i"),
                     (F.col("monthly_charges") / 100000.0).alias("mc"),
-                    (F.col("contract") == "One year").cast("double").alias("contract_One year"),
-                    (F.col("contract") == "Two year").cast("double").alias("contract_Two year"))
+                    *[(F.col(c) == v).cast("double").alias(f"{c}_{v}") for c, vs in LEVELS.items() for v in vs])
 
 
 CX = """_cx AS (SELECT account_id, tenure, event, contract, total_charges, CAST(senior AS DOUBLE) AS senior,

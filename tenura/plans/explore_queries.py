@@ -440,9 +440,8 @@ def f07_argmax_argmin(spark, sf):
 
 @_reg("g08_vif")
 def g08_vif(spark, sf):
-    d, _ = fe.panel_features(clean_panel(account_panel(spark, sf)))
-    return finish(fe.vif(d, ["senior", "partner", "dependents", "tenure", "online_security", "monthly_charges",
-                             "total_charges", "contract_One year", "contract_Two year"]))
+    d, feats = fe.panel_features(clean_panel(account_panel(spark, sf)))
+    return finish(fe.vif(d, feats))
 
 
 # ---------------------------------------------------------------- A2, D2, F4

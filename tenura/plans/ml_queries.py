@@ -1,6 +1,6 @@
-"""Registered training, tuning, surrogate and LIME queries (rows-only checks:
-these fit models or draw samples, so there is no SQL oracle; the tests
-check their invariants instead)."""
+"""Registered training, tuning, surrogate, LIME and SMOTE-NC queries: these fit
+models or draw samples, so there is no SQL oracle.  tests/ holds the LIME
+solver, the kNN and the balance of SMOTE-NC against brute force."""
 
 from __future__ import annotations
 
@@ -19,6 +19,10 @@ from tenura.sources.panels import account_panel, clean_panel
 QUERIES = {}
 SQL = {}
 
+# Category levels of the panel.
+PANEL_LEVELS = {"payment_method": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+                "internet_service": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+
 
 def _reg(name):
     def deco(fn):
@@ -53,7 +57,7 @@ def _report(pred):
 @_reg("h01_gbt_default_test_report")
 def h01_gbt_default_test_report(spark, sf):
     tr_, te, _ = _train_test(spark, sf)
-    m = mo.gbt().fit(tr_)
+    m = mo.gbt(mo.DEFAULT).fit(tr_)
     return finish(_report(mo.predict(m, te, ["account_id"])))
 
 
@@ -81,7 +85,7 @@ def h04_h17_named_importance(spark, sf):
 @_reg("h07_cv_accuracy")
 def h07_cv_accuracy(spark, sf):
     tr_, _, _ = _train_test(spark, sf)
-    return finish(mo.cv_scores(mo.with_folds(tr_, "account_id", 10), mo.gbt(), 10, "accuracy"))
+    return finish(mo.cv_scores(mo.with_folds(tr_, "account_id", 10), mo.gbt(mo.DEFAULT), 10, "accuracy"))
 
 
 @_reg("h08_grid_search_auc")
@@ -97,7 +101,7 @@ def h08_grid_search_auc(spark, sf):
 @_reg("i01_gbt_node_table")
 def i01_gbt_node_table(spark, sf):
     tr_, _, feats = _train_test(spark, sf)
-    m = mo.gbt(dict(maxIter=20, maxDepth=3)).fit(tr_)
+    m = _tuned(spark, sf, tr_)
     return finish(tr.node_table_from_gbt(m, feats, spark))
 
 
@@ -205,7 +209,8 @@ def g10_rfecv_support(spark, sf):
 # ---------------------------------------------------------------- LIME on the frozen ensemble
 ENS = tr.Ensemble(tr.FROZEN_NODES)
 LIME_NUM = ["tenure", "monthly_charges", "total_charges"]
-LIME_CAT = ["senior", "partner", "dependents", "online_security", "contract_Month-to-month", "contract_Two year"]
+LIME_CAT = ["senior", "partner", "dependents", "online_security", "contract_Month-to-month", "contract_One year", "contract_Two year",
+            *[f"{c}_{v}" for c in ("payment_method", "internet_service") for v in PANEL_LEVELS[c]]]
 LIME_FEATS = LIME_NUM + LIME_CAT
 
 
@@ -248,7 +253,7 @@ def j02_lime_weights(spark, sf):
 
 @_reg("j03_lime_top_k")
 def j03_lime_top_k(spark, sf):
-    e, _ = _lime(spark, sf, top_k=5)
+    e, _ = _lime(spark, sf, top_k=10)
     return finish(lime.weights_long(e, "account_id", LIME_FEATS, top_k=True))
 
 
@@ -267,14 +272,13 @@ def j05_lime_fidelity(spark, sf):
 
 @_reg("j06_sp_lime")
 def j06_sp_lime(spark, sf):
-    e, _ = _lime(spark, sf, top_k=5)
+    e, _ = _lime(spark, sf, top_k=10)
     return lime.submodular_pick(e, "account_id", LIME_FEATS, budget=5)
 
 
 # ---------------------------------------------------------------- G7 / D6 SMOTE-NC on the training split
 SMOTE_NUM = ["tenure", "monthly_charges", "total_charges"]
-SMOTE_CAT = ["senior", "partner", "dependents", "online_security", "contract_Month-to-month", "contract_One year",
-             "contract_Two year"]
+SMOTE_CAT = LIME_CAT
 
 
 @_reg("g07_d06_smote_nc_balance")
