@@ -102,6 +102,7 @@ def rfe_ranking(df: DataFrame, features: Sequence[str], label: str, params: dict
                 n_select: int = 1) -> list[tuple[str, int]]:
     """Recursive elimination of the least important feature; rank 1 =
     kept to the end (``n_select`` features share rank 1)."""
+    df = df.select(*[F.col(f"`{f}`") for f in features], label).persist()  # every elimination refits on it
     remaining = list(features)
     ranks = {}
     step_rank = len(features) - n_select + 1
@@ -111,6 +112,7 @@ def rfe_ranking(df: DataFrame, features: Sequence[str], label: str, params: dict
         worst = min(range(len(remaining)), key=lambda i: (imp[i], remaining[i]))
         ranks[remaining.pop(worst)] = step_rank
         step_rank -= 1
+    df.unpersist()
     for f in remaining:
         ranks[f] = 1
     return sorted(ranks.items(), key=lambda kv: (kv[1], kv[0]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenura.operators import clean as cl
@@ -10,7 +12,9 @@ from tenura.operators import features as fe
 from tenura.operators import profile as pr
 from tenura.plans.common import finish, subjects
 from tenura.plans.sqltext import with_base
+from tenura.session import ensure_checkpoint_dir
 from tenura.sources.panels import account_panel, clean_panel
+from tenura.sources.tables import read_csv_with_schema
 
 QUERIES = {}
 SQL = {}
@@ -40,6 +44,16 @@ def a1_panel_scan(spark, sf):
     return finish(account_panel(spark, sf))
 
 
+@_reg("a1_csv_scan", "SELECT * FROM panel")
+def a1_csv_scan(spark, sf):
+    """The panel written as CSV into the shared folder and read with its declared schema (blanks kept)."""
+    panel = account_panel(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panel-csv-{uuid.uuid4().hex}"
+    (panel.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false")
+     .option("ignoreTrailingWhiteSpace", "false").csv(path))
+    return finish(read_csv_with_schema(spark, path, panel.schema))
+
+
 @_reg("b01_shape", "SELECT COUNT(*) AS n_rows, 12 AS n_cols FROM panel")
 def b01_shape(spark, sf):
     return pr.shape(account_panel(spark, sf))
