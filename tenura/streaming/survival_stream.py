@@ -4,7 +4,7 @@ The reference has no stream; this is the streaming form of its
 survival input: new shipment lines arrive as files, are joined to the
 (static) orders table, and a stateful aggregation keeps
 (t, removed, observed) per time.  After each micro-batch the complete
-state is written to a table in the shared checkpoint folder, from which
+state is written to the epoch's folder of a table below the shared checkpoint folder, from which
 Kaplan-Meier / Nelson-Aalen are computed (``survival.km_from_event_table``).
 State and offsets live in the checkpoint location, so a restarted query
 (or a lost executor) resumes without double counting.
@@ -38,15 +38,16 @@ def shipment_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int
 
 def run_time_counts(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
     """Run the stream to the end of the available input (availableNow) and
-    return the path of the state table (t, removed, observed)."""
+    return the path of the state table (epoch, t, removed, observed)."""
     base = ensure_checkpoint_dir(spark)
     run = out_dir or os.path.join(base, f"stream-{uuid.uuid4().hex}")
     table = os.path.join(run, "time_counts")
     counts = shipment_stream(spark, sf_dir).groupBy("t").agg(
         F.count(F.lit(1)).alias("removed"), F.sum(F.col("e").cast("long")).alias("observed"))
 
-    def publish(batch: DataFrame, _epoch: int):
-        batch.write.mode("overwrite").parquet(table)
+    def publish(batch: DataFrame, epoch: int):
+        # a folder for each epoch: a write that fails leaves the last state whole, a repeated one replaces itself
+        batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", os.path.join(run, "_checkpoint"))
@@ -55,7 +56,13 @@ def run_time_counts(spark: SparkSession, sf_dir: str, out_dir: str | None = None
     return table
 
 
+def latest_counts(spark: SparkSession, table: str) -> DataFrame:
+    """The state (t, removed, observed) of the newest epoch written."""
+    all_epochs = spark.read.parquet(table)
+    newest = all_epochs.agg(F.max("epoch")).first()[0]
+    return all_epochs.where(F.col("epoch") == newest).drop("epoch")
+
+
 def streamed_km(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = run_time_counts(spark, sf_dir)
-    tc = spark.read.parquet(table)
+    tc = latest_counts(spark, run_time_counts(spark, sf_dir))
     return sv.km_from_event_table(sv.event_table_from_counts(tc))
