@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.scratch import free_name
-
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -140,17 +138,19 @@ def base_failed(m: Column) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules=RULES, measured: str = "__quality") -> DataFrame:
     """``docs`` with one more column: a struct of the measures, base_failed and kept."""
-    found = docs.withColumn(measured, measures(F.col(text)))
-    m = F.col(measured)
-    failed = base_failed(m)
-    return found.withColumn(measured, m.withField("base_failed", failed)
-                            .withField("kept", ~failed & compile_rules(m, rules)))
+    return docs.withColumn(measured, _let(measures(F.col(text)), lambda m: m.withField("base_failed", base_failed(m))
+                                          .withField("kept", _kept(m, rules))))
+
+
+def _kept(m: Column, rules) -> Column:
+    return ~base_failed(m) & compile_rules(m, rules)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    m = free_name(docs, "__quality")
-    return judge(docs, text, rules, m).where(F.col(m)["kept"]).drop(m)
+    """The rows of ``docs`` that pass, with their own columns.  The verdict is one
+    expression: as a column that a filter reads, every measure would be worked
+    out again for each rule when Spark pushes the filter down."""
+    return docs.where(_let(measures(F.col(text)), lambda m: _kept(m, rules)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
