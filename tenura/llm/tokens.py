@@ -20,7 +20,7 @@ _PIECE = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Ordinary words, which are one pre-token with the space before them.
 _WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Pieces kept per Python worker (some 200 bytes each).
-KNOWN_PIECES = 800_000
+KNOWN_PIECES = 500_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
