@@ -9,6 +9,7 @@ node tables (I1) so the explanation operators can use them.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Sequence
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
@@ -36,16 +37,30 @@ def with_folds(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("fold", F.floor(hash_fraction(id_col, seed) * k).cast("int"))
 
 
-_FITTED: dict = {}
+# models of live sessions only: they go with their session
+_FITTED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def input_version(df: DataFrame) -> tuple:
+    """Files behind ``df`` with their times and sizes, so that changed data count as other data."""
+    spark = df.sparkSession
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for f in sorted(df.inputFiles()):
+        p = path(f)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        found.append((f, status.getModificationTime(), status.getLen()))
+    return tuple(found)
 
 
 def fit_cached(key: tuple, estimator, df: DataFrame):
-    """Fit once per (session, key): several reports of one run share a
-    model (a driver-side object; its input is recomputable lineage)."""
-    k = (id(df.sparkSession),) + tuple(key)
-    if k not in _FITTED:
-        _FITTED[k] = estimator.fit(df)
-    return _FITTED[k]
+    """Fit once per (session, key, input files): several reports of one run
+    share a model (a driver-side object; its input is recomputable lineage)."""
+    models = _FITTED.setdefault(df.sparkSession, {})
+    k = (tuple(key), input_version(df))
+    if k not in models:
+        models[k] = estimator.fit(df)
+    return models[k]
 
 
 def gbt(params: dict | None = None, seed: int = 42) -> GBTClassifier:
