@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import weakref
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -137,22 +139,25 @@ def rfecv(df: DataFrame, id_col: str, features: Sequence[str], label: str, k: in
           seed: int = 0):
     """Per fold, eliminate features recursively on the training part
     and score AUC on the held-out part for every feature count; the
-    support is the count with the best mean AUC."""
+    support is the count with the best mean AUC.  The folds run side by side."""
     d = with_folds(df, id_col, k, seed).persist()
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    scores = {}
-    for f in range(k):
+
+    def fold(f):
         tr_, te = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-        remaining = list(features)
-        while remaining:
+        remaining, aucs = list(features), {}
+        while True:
             m = gbt(params).fit(assemble(tr_, remaining, label))
-            auc = ev.evaluate(m.transform(assemble(te, remaining, label)))
-            scores.setdefault(len(remaining), []).append(auc)
+            aucs[len(remaining)] = ev.evaluate(m.transform(assemble(te, remaining, label)))
             if len(remaining) == 1:
-                break
+                return aucs
             imp = m.featureImportances.toArray()
             remaining.pop(min(range(len(remaining)), key=lambda i: (imp[i], remaining[i])))
+
+    with ThreadPool(k) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(fold), range(k))
     d.unpersist()
+    scores = {n: [aucs[n] for aucs in found] for n in found[0]}
     rows = [(n, float(sum(v) / len(v)), len(v)) for n, v in sorted(scores.items())]
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     out = df.sparkSession.createDataFrame(rows, "n_features int, mean_auc double, n_folds int")

@@ -93,9 +93,9 @@ def h08_grid_search_auc(spark, sf):
     from pyspark.ml.tuning import ParamGridBuilder
     tr_, _, _ = _train_test(spark, sf)
     est = mo.gbt(dict(subsamplingRate=1.0))
-    grid = (ParamGridBuilder().addGrid(est.maxDepth, [2, 3]).addGrid(est.stepSize, [0.1, 0.15])
-            .addGrid(est.maxIter, [20, 50]).build())
-    return finish(mo.cv_scores(mo.with_folds(tr_, "account_id", 3), est, 3, "auc", grid))
+    grid = (ParamGridBuilder().addGrid(est.maxDepth, [4, 3]).addGrid(est.stepSize, [0.15, 0.2])
+            .addGrid(est.maxIter, [150]).build())
+    return finish(mo.cv_scores(mo.with_folds(tr_, "account_id", 5), est, 5, "auc", grid))
 
 
 @_reg("i01_gbt_node_table")
@@ -188,22 +188,17 @@ def i13_black_box_class_counts(spark, sf):
     return me.prediction_counts(bb_tr, "pred")
 
 
-RFE_FEATS = ["senior", "partner", "dependents", "tenure", "online_security", "monthly_charges", "total_charges",
-             "contract_Month-to-month", "contract_Two year"]
-
-
 @_reg("g09_rfe_ranking")
 def g09_rfe_ranking(spark, sf):
-    tr_, _, _ = _train_test(spark, sf)
-    ranks = mo.rfe_ranking(tr_.drop("features"), RFE_FEATS, "churn", dict(maxIter=10, maxDepth=3), n_select=4)
+    tr_, _, feats = _train_test(spark, sf)
+    ranks = mo.rfe_ranking(tr_.drop("features"), feats, "churn", mo.DEFAULT)
     return spark.createDataFrame(ranks, "feature string, rank int")
 
 
 @_reg("g10_rfecv_support")
 def g10_rfecv_support(spark, sf):
-    tr_, _, _ = _train_test(spark, sf)
-    return finish(mo.rfecv(tr_.drop("features", "label"), "account_id", RFE_FEATS, "churn", k=3,
-                           params=dict(maxIter=10, maxDepth=3)))
+    tr_, _, feats = _train_test(spark, sf)
+    return finish(mo.rfecv(tr_.drop("features", "label"), "account_id", feats, "churn", k=5, params=mo.DEFAULT))
 
 
 # ---------------------------------------------------------------- LIME on the frozen ensemble
