@@ -119,13 +119,11 @@ def i03_i05_gbt_importances(spark, sf):
 
 @_reg("j07_shap_on_trained_gbt")
 def j07_shap_on_trained_gbt(spark, sf):
-    """SHAP summary (J7, J14) on a trained depth-3 GBT via its node table."""
-    d, feats = encoded_all(spark, sf)
-    a = mo.assemble(d, feats, "churn")
-    m = mo.gbt(dict(maxIter=20, maxDepth=3)).fit(a.where(F.col("split") == "train"))
+    """SHAP summary (J7, J14) of the tuned GBT on its training rows, via its node table."""
+    tr_, _, feats = _train_test(spark, sf)
+    m = _tuned(spark, sf, tr_)
     ens = tr.Ensemble.from_table(tr.node_table_from_gbt(m, feats, spark))
-    s = ex.shap_values(d.where(F.col("split") == "test"), ens, "account_id")
-    return finish(ex.shap_summary(s))
+    return finish(ex.shap_summary(ex.shap_values(tr_, ens, "account_id")))
 
 
 def _tuned(spark, sf, tr_):

@@ -1,7 +1,10 @@
 """Registered queries do the whole job: every feature, row, fold and setting."""
+import weakref
+
 import pytest
 
 import __spark_entry__ as E
+from tenura.operators import explain as ex
 from tenura.operators import models as mo
 from tenura.plans import ml_queries as ml
 from tests.conftest import SF001
@@ -45,3 +48,16 @@ def test_grid_search_has_the_reference_grid(spark, monkeypatch):
     E.queries()["h08_grid_search_auc"](spark, SF001)
     want = {(("maxDepth", d), ("maxIter", 150), ("stepSize", s)) for d in (4, 3) for s in (0.15, 0.2)}
     assert got == dict(k=5, metric="auc", folds=5, grid=want)
+
+
+def ids(df):
+    return {r["account_id"] for r in df.select("account_id").distinct().collect()}
+
+
+def test_shap_explains_the_tuned_model_on_the_training_rows(spark, asked, monkeypatch):
+    explained, real = [], ex.shap_values
+    monkeypatch.setattr(mo, "_FITTED", weakref.WeakKeyDictionary())  # the stump is not kept for others
+    monkeypatch.setattr(ex, "shap_values", lambda df, *a: (explained.append(df), real(df, *a))[1])
+    assert E.queries()["j07_shap_on_trained_gbt"](spark, SF001).count() == 1  # a stump's only feature
+    d = ml.encoded_all(spark, SF001)[0]
+    assert asked == [mo.TUNED] and ids(explained[0]) == ids(d.where("split = 'train'"))
