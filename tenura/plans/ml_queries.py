@@ -207,11 +207,12 @@ LIME_CAT = ["senior", "partner", "dependents", "online_security", "contract_Mont
 LIME_FEATS = LIME_NUM + LIME_CAT
 
 
-def _lime(spark, sf, top_k=None):
+def _lime(spark, sf, parts, top_k=None):
+    """Explanations of the rows of ``parts`` of the split, with the rows."""
     d, _ = encoded_all(spark, sf)
     stats, _ = lime.background_stats(d.where(F.col("split") == "train"), LIME_NUM, LIME_CAT)
-    test = d.where(F.col("split") == "test")
-    return lime.explain(test, "account_id", ENS, LIME_FEATS, stats, n_samples=5000, seed=0, top_k=top_k), test
+    rows = d.where(F.col("split").isin(parts))
+    return lime.explain(rows, "account_id", ENS, LIME_FEATS, stats, n_samples=5000, seed=0, top_k=top_k), rows
 
 
 def _j01_sql():
@@ -240,32 +241,32 @@ def j01_lime_background(spark, sf):
 
 @_reg("j02_lime_weights")
 def j02_lime_weights(spark, sf):
-    e, _ = _lime(spark, sf)
+    e, _ = _lime(spark, sf, ["train", "test"])
     return finish(lime.weights_long(e, "account_id", LIME_FEATS))
 
 
 @_reg("j03_lime_top_k")
 def j03_lime_top_k(spark, sf):
-    e, _ = _lime(spark, sf, top_k=10)
+    e, _ = _lime(spark, sf, ["train", "test"], top_k=10)
     return finish(lime.weights_long(e, "account_id", LIME_FEATS, top_k=True))
 
 
 @_reg("j04_lime_local_vs_model")
 def j04_lime_local_vs_model(spark, sf):
-    e, test = _lime(spark, sf)
+    e, test = _lime(spark, sf, ["test"])
     return finish(e.join(test.select("account_id", "churn"), "account_id")
                   .select("account_id", "churn", "p_model", "local_pred", "intercept", "score"))
 
 
 @_reg("j05_lime_fidelity")
 def j05_lime_fidelity(spark, sf):
-    e, _ = _lime(spark, sf)
+    e, _ = _lime(spark, sf, ["test"])
     return finish(lime.fidelity(e))
 
 
 @_reg("j06_sp_lime")
 def j06_sp_lime(spark, sf):
-    e, _ = _lime(spark, sf, top_k=10)
+    e, _ = _lime(spark, sf, ["train"], top_k=10)
     return lime.submodular_pick(e, "account_id", LIME_FEATS, budget=5)
 
 

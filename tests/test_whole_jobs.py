@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from tenura.operators import explain as ex
+from tenura.operators import lime
 from tenura.operators import models as mo
 from tenura.plans import ml_queries as ml
 from tests.conftest import SF001
@@ -61,3 +62,27 @@ def test_shap_explains_the_tuned_model_on_the_training_rows(spark, asked, monkey
     assert E.queries()["j07_shap_on_trained_gbt"](spark, SF001).count() == 1  # a stump's only feature
     d = ml.encoded_all(spark, SF001)[0]
     assert asked == [mo.TUNED] and ids(explained[0]) == ids(d.where("split = 'train'"))
+
+
+@pytest.fixture
+def few_samples(monkeypatch):
+    """The rows that LIME was given; each has 20 samples in place of 5000."""
+    seen, real = [], lime.explain
+
+    def explain(rows, *a, n_samples, **k):
+        seen.append(rows)
+        return real(rows, *a, n_samples=20, **k)
+    monkeypatch.setattr(lime, "explain", explain)
+    return seen
+
+
+@pytest.mark.parametrize("name", ["j02_lime_weights", "j03_lime_top_k"])
+def test_lime_explains_both_parts_of_the_split(spark, few_samples, name):
+    out = E.queries()[name](spark, SF001)
+    assert ids(out) == ids(ml.encoded_all(spark, SF001)[0])
+
+
+def test_sp_lime_picks_from_the_training_rows(spark, few_samples):
+    out = E.queries()["j06_sp_lime"](spark, SF001)
+    train = ids(ml.encoded_all(spark, SF001)[0].where("split = 'train'"))
+    assert ids(few_samples[0]) == train and out.count() == 5 and ids(out) <= train
