@@ -43,16 +43,21 @@ MOST_VALUES = 1 << 25
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): a signed 64-bit fingerprint for every row."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("fp"))
+    return _fingerprinted(d, f"doc_id {dict(d.dtypes)['doc_id']}, fp bigint", shingle)
+
+
+def _fingerprinted(d: DataFrame, schema, shingle: int) -> DataFrame:
+    """``d`` with the texts of its last column replaced by their fingerprints."""
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(batch.num_columns - 1))
             raw = data.tobytes()
             fps = np.fromiter((_fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())),
                               np.uint64, len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], batch.schema.names)
 
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fp bigint")
+    return d.mapInArrow(run, schema)
 
 
 def _fingerprint(raw: bytes, shingle: int) -> int:
@@ -213,12 +218,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
              radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest id of every group, with its own columns;
-    of rows that repeat an id one stays, and rows without an id all stay."""
-    found = near_duplicates(docs, doc_id, text, shingle, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(free_name(docs, "__kept")))
-    one = docs.join(kept, docs[doc_id] == kept[kept.columns[0]], "left_semi").dropDuplicates([doc_id])
-    return one.union(docs.where(F.col(doc_id).isNull()))
+    """One row of every group of near copies, with its own columns: that of the
+    smallest id, of its fingerprints the smallest, and of rows alike in both the
+    first by their text and then their JSON.  Groups are those of the texts, also
+    where an id stands on several; rows without an id all stay."""
+    fp, row = free_name(docs, "__fp"), free_name(docs, "__row")
+    schema = docs.withColumn(fp, F.lit(None).cast("bigint")).schema
+    marked = _fingerprinted(docs.withColumn(fp, F.col(text).cast("string")).where(F.col(doc_id).isNotNull()), schema, shingle)
+    nodes = stored(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("id")), "nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    classes = nodes.join(found, nodes["fp"] == found["node"], "left").select("id", "fp", F.coalesce("component", "fp").alias("class"))
+    kept = classes.groupBy("class").agg(F.min(F.struct("id", "fp")).alias("first")).select("first.id", F.col("first.fp").alias(row))
+    chosen = marked.join(kept, (marked[doc_id] == kept["id"]) & (marked[fp] == kept[row]), "left_semi")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = chosen.groupBy(doc_id, fp).agg(F.min_by(own, F.struct(F.col(text).cast("string"), F.to_json(own))).alias(row))
+    return one.select(f"{row}.*").union(docs.where(F.col(doc_id).isNull()))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

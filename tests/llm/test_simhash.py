@@ -88,3 +88,11 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 9]
 
 
+def test_keep_one_of_an_id_on_several_texts(spark):
+    """Id 5 stands on a copy of document 3 and on a text of its own, id 7 on two texts and on one text with two notes."""
+    rows = [(3, "a b c d e", "x"), (5, "a b c d e", "y"), (5, "quite other words stand here", "z"),
+            (7, "one more text of some words", "v"), (7, "one more text of some words", "u"), (7, "nothing like the others at all", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    want = [rows[0], rows[2], rows[4], rows[5]]
+    assert sorted(map(tuple, S.keep_one(df).collect())) == sorted(want)
+    assert sorted(map(tuple, S.keep_one(df.orderBy("note").repartition(3)).collect())) == sorted(want)
