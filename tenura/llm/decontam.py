@@ -7,8 +7,9 @@ word by word.  Documents are only scanned: no shuffle, and a task holds one
 Arrow batch and the tables of one block of items.
 
 Null texts have no words, and an item without words is never found.  Repeated
-document rows are judged alike; a repeated item id counts once.  Long texts are
-searched whole.  An empty benchmark finds nothing.
+document rows are judged alike; a repeated item id counts once.  Items without an
+id are searched too: their words are hits, and together they are one item, which
+the list of ids leaves out.  Long texts are searched whole.  An empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ WINDOW = 13
 SHARE = 20
 #: Items handled in one pass over the documents; a larger benchmark takes more passes.
 ITEMS_PER_PASS = 20_000
+#: Words of the items of one pass; a single longer item is a pass of its own.
+WORDS_PER_PASS = 400_000
 #: Words of two neighbours form a block of the shift table.
 BLOCK = 2
 
@@ -76,26 +79,40 @@ def searchers(items) -> list[Searcher]:
     by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
         words = words_of(text)
-        if words and item is not None:
+        if words:
             m = min(WINDOW, len(words))
             for i in range(len(words) - m + 1):
                 by_length[m][tuple(words[i:i + m])].add(item)
-    return [Searcher(m, {w: sorted(found) for w, found in windows.items()}) for m, windows in sorted(by_length.items())]
+    return [Searcher(m, {w: _sorted(found) for w, found in windows.items()}) for m, windows in sorted(by_length.items())]
+
+
+def _sorted(items) -> list:
+    """Ids in order, null (which joins of ids leave out) last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str):
-    """The items in blocks of at most ITEMS_PER_PASS, one block at the driver at a time."""
+    """The items in blocks of at most ITEMS_PER_PASS and WORDS_PER_PASS, one part at the driver at a time."""
     items = benchmark.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).dropDuplicates()
-    n = max(1, -(-items.count() // ITEMS_PER_PASS))
+    # a word takes a byte and a separator, so a text has at most half as many words as bytes
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t") + 1).alias("bytes")).first()
+    n = max(1, -(-total["n"] // ITEMS_PER_PASS), -(-(total["bytes"] or 0) // (2 * WORDS_PER_PASS)))
     if n == 1:
         yield items.collect()
         return
-    # twice as many parts as needed by the mean, and each is split again by its own count
-    parts = items.withColumn("p", F.pmod(F.xxhash64("i"), F.lit(2 * n)))
+    # twice as many parts as needed by the mean, and each is split again by its own counts
+    parts = items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(2 * n)))
     for p in range(2 * n):
-        part = parts.where(F.col("p") == p).select("i", "t").collect()
-        for k in range(0, len(part), ITEMS_PER_PASS):
-            yield part[k:k + ITEMS_PER_PASS]
+        block, held = [], 0
+        for row in parts.where(F.col("p") == p).select("i", "t").collect():
+            words = len(words_of(row["t"]))
+            if block and (len(block) == ITEMS_PER_PASS or held + words > WORDS_PER_PASS):
+                yield block
+                block, held = [], 0
+            block.append(row)
+            held += words
+        if block:
+            yield block
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text",
@@ -128,7 +145,7 @@ def _search(tables, text: str, found: str):
                     for start, ids in s.search(words):
                         hit[start:start + s.length] = True
                         items.update(ids)
-                results.append({"n_words": len(words), "places": np.flatnonzero(hit), "items": sorted(items)})
+                results.append({"n_words": len(words), "places": np.flatnonzero(hit), "items": _sorted(items)})
             yield batch.set_column(at, pa.field(found, kind), pa.array(results, kind))
     return run
 

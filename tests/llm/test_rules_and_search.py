@@ -93,6 +93,22 @@ def test_search(spark, monkeypatch, per_pass):
     assert result(d, i) == sorted((k, *brute_found(t, items)) for k, t in docs)
 
 
+def test_items_without_an_id_are_searched(spark):
+    d = spark.createDataFrame([(1, "x a b c y"), (2, "a b c d e"), (3, "z")], "doc_id int, text string")
+    i = spark.createDataFrame([(None, "A b C"), (7, "d e")], "item_id int, text string")
+    none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+    assert result(d, i) == [(1, 5, 3, 1, none, True), (2, 5, 5, 2, seven, True), (3, 1, 0, 0, none, False)]
+
+
+def test_passes_are_cut_by_words(spark, monkeypatch):
+    monkeypatch.setattr(D, "WORDS_PER_PASS", 40)
+    i = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(30 if k % 3 else 50))) for k in range(9)],
+                              "item_id int, text string")
+    blocks = [[(r["i"], len(D.words_of(r["t"]))) for r in b] for b in D._passes(i, "item_id", "text")]
+    assert sorted(k for b in blocks for k, _ in b) == list(range(9))
+    assert all(len(b) == 1 or sum(n for _, n in b) <= 40 for b in blocks)
+
+
 def test_empty_sides_and_own_columns(spark):
     d = spark.createDataFrame([(1, "a b c", 5, "q")], "doc_id int, text string, item_id int, __found string")
     none = spark.createDataFrame([], "item_id int, text string")
