@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tenura.llm import (chat, decontam, html, packing, quality, simhash, substrings, tokencounts, tokenfile, toxicity)
+from tenura.llm import (alignment, chat, decontam, html, packing, quality, simhash, substrings, tokencounts, tokenfile, toxicity)
 
-MODULES = [substrings, tokenfile, packing, tokencounts, simhash, toxicity, html, chat, quality, decontam]
+MODULES = [substrings, tokenfile, packing, tokencounts, simhash, toxicity, html, chat, quality, decontam,
+           alignment]
 
 
 def queries() -> dict:
