@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tenura.llm import (alignment, chat, decontam, html, packing, quality, simhash, substrings, tokencounts, tokenfile, toxicity,
-                        vectorcodes)
+from tenura.llm import (alignment, chat, decontam, html, minhash, packing, quality, simhash, substrings, tokencounts, tokenfile,
+                        toxicity, vectorcodes)
 
 MODULES = [substrings, tokenfile, packing, tokencounts, simhash, toxicity, html, chat, quality, decontam,
-           alignment, vectorcodes]
+           alignment, minhash, vectorcodes]
 
 
 def queries() -> dict:
