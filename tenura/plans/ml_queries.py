@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tenura.operators import boosting as bo
 from tenura.operators import explain as ex
 from tenura.operators import lime
 from tenura.operators import metrics as me
@@ -14,14 +15,14 @@ from tenura.operators import smote
 from tenura.operators import trees as tr
 from tenura.operators.features import hash_split, panel_features
 from tenura.plans.common import finish
+from tenura.plans.sqltext import PANEL_LEVELS
 from tenura.sources.panels import account_panel, clean_panel
 
 QUERIES = {}
 SQL = {}
 
-# Category levels of the panel.
-PANEL_LEVELS = {"payment_method": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
-                "internet_service": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+# The reference's default booster.
+BOOSTER = dict(trees=100, depth=3, rate=0.1)
 
 
 def _reg(name):
@@ -84,18 +85,15 @@ def h04_h17_named_importance(spark, sf):
 
 @_reg("h07_cv_accuracy")
 def h07_cv_accuracy(spark, sf):
-    tr_, _, _ = _train_test(spark, sf)
-    return finish(mo.cv_scores(mo.with_folds(tr_, "account_id", 10), mo.gbt(mo.DEFAULT), 10, "accuracy"))
+    tr_, _, feats = _train_test(spark, sf)
+    return finish(bo.cross_validate(bo.with_folds(tr_, "account_id", 10), feats, "churn", [BOOSTER], 10, "accuracy"))
 
 
 @_reg("h08_grid_search_auc")
 def h08_grid_search_auc(spark, sf):
-    from pyspark.ml.tuning import ParamGridBuilder
-    tr_, _, _ = _train_test(spark, sf)
-    est = mo.gbt(dict(subsamplingRate=1.0))
-    grid = (ParamGridBuilder().addGrid(est.maxDepth, [4, 3]).addGrid(est.stepSize, [0.15, 0.2])
-            .addGrid(est.maxIter, [150]).build())
-    return finish(mo.cv_scores(mo.with_folds(tr_, "account_id", 5), est, 5, "auc", grid))
+    tr_, _, feats = _train_test(spark, sf)
+    grid = [dict(trees=150, depth=d, rate=r) for d in (4, 3) for r in (0.15, 0.2)]
+    return finish(bo.cross_validate(bo.with_folds(tr_, "account_id", 5), feats, "churn", grid, 5, "auc"))
 
 
 @_reg("i01_gbt_node_table")
@@ -189,18 +187,17 @@ def i13_black_box_class_counts(spark, sf):
 @_reg("g09_rfe_ranking")
 def g09_rfe_ranking(spark, sf):
     tr_, _, feats = _train_test(spark, sf)
-    ranks = mo.rfe_ranking(tr_.drop("features"), feats, "churn", mo.DEFAULT)
+    ranks = bo.rfe(tr_, feats, "churn", BOOSTER)
     return spark.createDataFrame(ranks, "feature string, rank int")
 
 
 @_reg("g10_rfecv_support")
 def g10_rfecv_support(spark, sf):
     tr_, _, feats = _train_test(spark, sf)
-    return finish(mo.rfecv(tr_.drop("features", "label"), "account_id", feats, "churn", k=5, params=mo.DEFAULT))
+    return finish(bo.rfecv(bo.with_folds(tr_, "account_id", 5), feats, "churn", 5, BOOSTER))
 
 
-# ---------------------------------------------------------------- LIME on the frozen ensemble
-ENS = tr.Ensemble(tr.FROZEN_NODES)
+# ---------------------------------------------------------------- LIME on the tuned booster
 LIME_NUM = ["tenure", "monthly_charges", "total_charges"]
 LIME_CAT = ["senior", "partner", "dependents", "online_security", "contract_Month-to-month", "contract_One year", "contract_Two year",
             *[f"{c}_{v}" for c in ("payment_method", "internet_service") for v in PANEL_LEVELS[c]]]
@@ -208,11 +205,13 @@ LIME_FEATS = LIME_NUM + LIME_CAT
 
 
 def _lime(spark, sf, parts, top_k=None):
-    """Explanations of the rows of ``parts`` of the split, with the rows."""
-    d, _ = encoded_all(spark, sf)
+    """Explanations of the tuned booster on the rows of ``parts`` of the split, with the rows."""
+    d, feats = encoded_all(spark, sf)
+    m = _tuned(spark, sf, _train_test(spark, sf)[0])
+    ens = tr.Ensemble.from_table(tr.node_table_from_gbt(m, feats, spark))
     stats, _ = lime.background_stats(d.where(F.col("split") == "train"), LIME_NUM, LIME_CAT)
     rows = d.where(F.col("split").isin(parts))
-    return lime.explain(rows, "account_id", ENS, LIME_FEATS, stats, n_samples=5000, seed=0, top_k=top_k), rows
+    return lime.explain(rows, "account_id", ens, LIME_FEATS, stats, n_samples=5000, seed=0, top_k=top_k), rows
 
 
 def _j01_sql():

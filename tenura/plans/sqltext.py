@@ -5,6 +5,10 @@ The panel text is the FIXTURES.md definition; every oracle query starts
 cents on purpose.  Doubles are rounded to 6 places on both sides.
 """
 
+# Category levels of the panel.
+PANEL_LEVELS = {"payment_method": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+                "internet_service": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+
 PANEL = """
 _mx AS (SELECT MAX(o_orderdate) AS t_end FROM orders),
 _po AS (SELECT o_custkey, MIN(o_orderdate) AS t0, MAX(o_orderdate) AS t1, COUNT(*) AS n_orders,
@@ -47,6 +51,7 @@ enc AS (SELECT account_id, CAST(senior AS DOUBLE) AS senior,
   CAST(CASE WHEN churn = 'No' THEN 0 WHEN churn = 'Yes' THEN 1 END AS INTEGER) AS churn,
   CAST(contract = 'Month-to-month' AS DOUBLE) AS "contract_Month-to-month", CAST(contract = 'One year' AS DOUBLE) AS "contract_One year",
   CAST(contract = 'Two year' AS DOUBLE) AS "contract_Two year",
+""" + "\n".join(f"""  CAST({c} = '{v}' AS DOUBLE) AS "{c}_{v}",""" for c, levels in PANEL_LEVELS.items() for v in levels) + """
   CASE WHEN CAST(('0x' || substr(md5(CAST(account_id AS VARCHAR) || '|' || '42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2
        THEN 'test' ELSE 'train' END AS split
   FROM cpanel)

@@ -4,6 +4,7 @@ import weakref
 import pytest
 
 import __spark_entry__ as E
+from tenura.operators import boosting as bo
 from tenura.operators import explain as ex
 from tenura.operators import lime
 from tenura.operators import models as mo
@@ -23,32 +24,43 @@ def asked(monkeypatch):
     return seen
 
 
-def test_rfe_ranks_every_feature(spark, asked):
+@pytest.fixture
+def grown(monkeypatch):
+    """(trees, depth, rate, left out fold) of the boosters asked for; stumps are grown in their place."""
+    seen, real = [], bo.fit
+
+    def stump(data, boosters):
+        asked = [(b.trees, b.depth, b.rate, b.left_out) for b in boosters]
+        seen.extend(asked)
+        for b in boosters:
+            b.trees = b.depth = 1
+        state = real(data, boosters)
+        for b, (trees, depth, *_) in zip(boosters, asked):
+            b.trees, b.depth = trees, depth
+        return state
+    monkeypatch.setattr(bo, "fit", stump)
+    return seen
+
+
+def test_rfe_ranks_every_feature(spark, grown):
     feats = ml.encoded_all(spark, SF001)[1]
     ranks = {r["feature"]: r["rank"] for r in E.queries()["g09_rfe_ranking"](spark, SF001).collect()}
     assert set(ranks) == set(feats) and sorted(ranks.values()) == list(range(1, len(feats) + 1))
-    assert asked == [mo.DEFAULT] * (len(feats) - 1)
+    assert grown == [(100, 3, 0.1, None)] * (len(feats) - 1)
 
 
-def test_rfecv_scores_every_count_in_five_folds(spark, asked):
+def test_rfecv_scores_every_count_in_five_folds(spark, grown):
     feats = ml.encoded_all(spark, SF001)[1]
     rows = E.queries()["g10_rfecv_support"](spark, SF001).collect()
     assert sorted((r["n_features"], r["n_folds"]) for r in rows) == [(n, 5) for n in range(1, len(feats) + 1)]
     assert sum(r["is_support"] for r in rows) == 1
-    assert asked == [mo.DEFAULT] * (5 * len(feats))
-
+    assert grown == [(100, 3, 0.1, f) for _ in feats for f in range(5)]
 
-def test_grid_search_has_the_reference_grid(spark, monkeypatch):
-    got = {}
 
-    def search(df, est, k, metric, grid):
-        got.update(k=k, metric=metric, folds=df.select("fold").distinct().count(),
-                   grid={tuple(sorted((p.name, v) for p, v in g.items())) for g in grid})
-        return df.sparkSession.createDataFrame([(1.0,)], "mean_score double")
-    monkeypatch.setattr(mo, "cv_scores", search)
-    E.queries()["h08_grid_search_auc"](spark, SF001)
-    want = {(("maxDepth", d), ("maxIter", 150), ("stepSize", s)) for d in (4, 3) for s in (0.15, 0.2)}
-    assert got == dict(k=5, metric="auc", folds=5, grid=want)
+def test_grid_search_has_the_reference_grid(spark, grown):
+    rows = E.queries()["h08_grid_search_auc"](spark, SF001).collect()
+    assert set(grown) == {(150, d, s, f) for d in (4, 3) for s in (0.15, 0.2) for f in range(5)} and len(grown) == 20
+    assert len(rows) == 4 and sum(r["is_best"] for r in rows) == 1
 
 
 def ids(df):
@@ -77,12 +89,14 @@ def few_samples(monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["j02_lime_weights", "j03_lime_top_k"])
-def test_lime_explains_both_parts_of_the_split(spark, few_samples, name):
+def test_lime_explains_both_parts_of_the_split(spark, few_samples, asked, name, monkeypatch):
+    monkeypatch.setattr(mo, "_FITTED", weakref.WeakKeyDictionary())
     out = E.queries()[name](spark, SF001)
     assert ids(out) == ids(ml.encoded_all(spark, SF001)[0])
 
 
-def test_sp_lime_picks_from_the_training_rows(spark, few_samples):
+def test_sp_lime_picks_from_the_training_rows(spark, few_samples, asked, monkeypatch):
+    monkeypatch.setattr(mo, "_FITTED", weakref.WeakKeyDictionary())
     out = E.queries()["j06_sp_lime"](spark, SF001)
     train = ids(ml.encoded_all(spark, SF001)[0].where("split = 'train'"))
     assert ids(few_samples[0]) == train and out.count() == 5 and ids(out) <= train
