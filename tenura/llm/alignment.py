@@ -37,7 +37,7 @@ PIECES = "piece_bpe_32k.model"
 #: Pairs whose counts are broadcast (12 bytes each).
 HEAVY = 1 << 17
 #: Bytes of text aligned at a time (or one longer text).
-LOT_BYTES = 8 << 20
+LOT_BYTES = 5 << 19
 
 
 class SpacedPieces:
