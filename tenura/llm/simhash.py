@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tenura.llm.graph import components
 from tenura.llm.scratch import free_name, stored
-from tenura.llm.texts import utf8
+from tenura.llm.texts import mix, utf8
 
 SHINGLE = 4
 RADIUS = 4
@@ -39,6 +39,8 @@ SEED = 42
 VALUES_PER_BLOCK = 1 << 20
 #: A block of more ball values than this is dealt in parts.
 MOST_VALUES = 1 << 25
+#: Values that a task holds at a time (some 60 bytes each while they are put in order).
+VALUES_AT_ONCE = 1 << 20
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -135,35 +137,29 @@ def _block_links(fp, node, used, block, lead, half, radius, shared):
         at = np.uint64((block << more | s) << low)
         flips = used + np.bitwise_count(((fp >> np.uint64(low)) ^ np.uint64(s)) & np.uint64((1 << more) - 1))
         inside = (fp & np.uint64((1 << low) - 1)) | at
-        value, owner = [], []
-        for j in range(half + 1):
-            rows = np.flatnonzero(flips == j)
-            for m in tail[:half - j + 1]:
-                value.append((inside[rows][:, None] ^ m).ravel())
-                owner.append(np.repeat(rows, len(m)))
-        value, owner = np.concatenate(value), np.concatenate(owner)
-        if not shared:
-            # most values occur once: only those met again are put in order with their owners
-            ordered = np.sort(value)
-            again = ordered[1:][ordered[1:] == ordered[:-1]]
-            if not len(again):
+        for value, owner in _lots(inside, flips, tail, half):
+            if not shared:
+                # most values occur once: only those met again are put in order with their owners
+                ordered = np.sort(value)
+                again = ordered[1:][ordered[1:] == ordered[:-1]]
+                if not len(again):
+                    continue
+                place = np.searchsorted(again, value)
+                place[place == len(again)] = 0
+                met = again[place] == value
+                value, owner = value[met], owner[met]
+            if not len(value):
                 continue
-            place = np.searchsorted(again, value)
-            place[place == len(again)] = 0
-            met = again[place] == value
-            value, owner = value[met], owner[met]
-        if not len(value):
-            continue
-        order = np.lexsort((node[owner], value))
-        value, owner = value[order], owner[order]
-        first = np.concatenate(([True], value[1:] != value[:-1]))
-        root = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        if shared:
-            values.append((node[root[first]], value[first].view(np.int64)))
-        key = np.unique(owner[~first].astype(np.int64) << 32 | root[~first])
-        a, b = key >> 32, key & 0xFFFFFFFF
-        close = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        pairs.append((a[close], b[close]))
+            order = np.lexsort((node[owner], value))
+            value, owner = value[order], owner[order]
+            first = np.concatenate(([True], value[1:] != value[:-1]))
+            root = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            if shared:
+                values.append((node[root[first]], value[first].view(np.int64)))
+            key = np.unique(owner[~first].astype(np.int64) << 32 | root[~first])
+            a, b = key >> 32, key & 0xFFFFFFFF
+            close = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            pairs.append((a[close], b[close]))
     a, b = (np.concatenate(x) if pairs else np.zeros(0, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
     a, b = _forest(node, a, b)
     roots, kept = (np.concatenate(x) if values else np.zeros(0, np.int64) for x in (zip(*values) if values else ((), ())))
@@ -172,6 +168,29 @@ def _block_links(fp, node, used, block, lead, half, radius, shared):
             pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(kept, pa.int64())]))
 
 
+def _lots(inside, flips, tail, half):
+    """The ball values and their owners, in lots of bounded size; a value's owners
+    are all in one lot.  Close fingerprints share all leading bits, so lots go by
+    a hash of the value: each lot goes over all values and keeps its own."""
+    sets = [(np.flatnonzero(flips == j), m) for j in range(half + 1) for m in tail[:half - j + 1]]
+    lots = max(1, ceil(sum(len(rows) * len(m) for rows, m in sets) / VALUES_AT_ONCE))
+    for lot in range(lots):
+        value, owner = [], []
+        for rows, m in sets:
+            step = max(1, VALUES_AT_ONCE // 4 // len(m)) if len(m) else 1
+            for i in range(0, len(rows) if len(m) else 0, step):
+                some = rows[i:i + step]
+                v = (inside[some][:, None] ^ m).ravel()
+                o = np.repeat(some.astype(np.int32), len(m))
+                if lots > 1:
+                    own = mix(v) % np.uint64(lots) == np.uint64(lot)
+                    v, o = v[own], o[own]
+                value.append(v)
+                owner.append(o)
+        if value:
+            yield np.concatenate(value), np.concatenate(owner)
+
+
 def _forest(node, a, b):
     """Links of each node that has some to the smallest node of its tree."""
     rank = np.empty(len(node), np.int64)
