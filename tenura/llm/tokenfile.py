@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenura.llm.scratch import shared_path
-from tenura.llm.tokens import encoder, vocabulary
+from tenura.llm.tokens import lots, piece_encoder, vocabulary
 
 END = 2
 #: Writer options: stripes of 16 MB, an index entry each 1,000 rows, 1 % false positives.
@@ -38,15 +38,17 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, doc_id: s
     dealt = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        segment, before, own = TaskContext.get().partitionId(), 0, encoder(vocab)
+        segment, before, own = TaskContext.get().partitionId(), 0, piece_encoder(vocab)
         for batch in batches:
-            for lot in _lots(batch):
-                ids = [np.append(own.ids(t), END).astype(np.int32) for t in lot.column(1).to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
+            for i, j in lots(batch.column(1)):
+                lot = batch.slice(i, j - i)
+                ids, bounds = own.ids([t or "" for t in lot.column(1).to_pylist()])
+                n = np.diff(bounds) + 1
                 ends = np.cumsum(n)
+                whole = np.insert(ids, bounds[1:], END).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     lot.column(0), pa.array(np.full(len(n), segment, np.int32)), pa.array(before + ends - n), pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.concatenate(ids)))],
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(whole))],
                     ["doc_id", "segment", "before", "n_tokens", "ids"])
                 before += int(ends[-1])
 
@@ -55,12 +57,6 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, doc_id: s
      .write.options(**LAYOUT).orc(path))
 
 
-def _lots(batch, rows: int = 512):
-    """A batch in lots of bounded rows."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def read_tokens(spark: SparkSession, path: str, doc_id_type: str = "bigint") -> DataFrame:
     """The rows of written files; filters on doc_id reach the ORC indexes."""
     return spark.read.schema(f"doc_id {doc_id_type}, segment int, before bigint, n_tokens bigint, ids array<int>").orc(path)
