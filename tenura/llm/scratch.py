@@ -20,11 +20,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tenura-llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while tables are written: some megabytes of text for a Python worker and its executor.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(BATCH[0])
+    spark.conf.set(*BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH[0], before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -241,17 +241,24 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     smallest id, of its fingerprints the smallest, and of rows alike in both the
     first by their text and then their JSON.  Groups are those of the texts, also
     where an id stands on several; rows without an id all stay."""
-    fp, row = free_name(docs, "__fp"), free_name(docs, "__row")
-    schema = docs.withColumn(fp, F.lit(None).cast("bigint")).schema
-    marked = _fingerprinted(docs.withColumn(fp, F.col(text).cast("string")).where(F.col(doc_id).isNotNull()), schema, shingle)
-    nodes = stored(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("id")), "nodes")
+    d = docs.where(F.col(doc_id).isNotNull())
+    narrow = d.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("own"), F.col(text).cast("string").alias("fp"))
+    narrow = stored(_fingerprinted(narrow, f"id {dict(docs.dtypes)[doc_id]}, own bigint, fp bigint", shingle), "fingerprints")
+    nodes = stored(narrow.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
     classes = nodes.join(found, nodes["fp"] == found["node"], "left").select("id", "fp", F.coalesce("component", "fp").alias("class"))
-    kept = classes.groupBy("class").agg(F.min(F.struct("id", "fp")).alias("first")).select("first.id", F.col("first.fp").alias(row))
-    chosen = marked.join(kept, (marked[doc_id] == kept["id"]) & (marked[fp] == kept[row]), "left_semi")
+    kept = classes.groupBy("class").agg(F.min(F.struct("id", "fp")).alias("first")).select("first.id", "first.fp")
+    picked = narrow.join(kept, ["id", "fp"], "left_semi").groupBy("id", "fp", "own").agg(F.count(F.lit(1)).alias("rows"))
+    rows = picked.groupBy("id", "fp").agg(F.sum("rows").alias("all"))
+    names = [free_name(docs, n) for n in ("__id", "__own", "__fp", "__all")]
+    picked = stored(picked.join(rows, ["id", "fp"]).select("id", "own", "fp", "all"), "kept").toDF(*names)
+    # whole rows are read once; only where an id has several rows of its fingerprint is there a choice
+    chosen = d.join(picked, (d[doc_id] == picked[names[0]]) & (F.xxhash64(d[text].cast("string")) == picked[names[1]]))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = chosen.groupBy(doc_id, fp).agg(F.min_by(own, F.struct(F.col(text).cast("string"), F.to_json(own))).alias(row))
-    return one.select(f"{row}.*").union(docs.where(F.col(doc_id).isNull()))
+    several = (chosen.where(F.col(names[3]) > 1).groupBy(names[0], names[2])
+               .agg(F.min_by(own, F.struct(F.col(text).cast("string"), F.to_json(own))).alias(names[1])).select(f"{names[1]}.*"))
+    return (chosen.where(F.col(names[3]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]).union(several)
+            .union(docs.where(F.col(doc_id).isNull())))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
