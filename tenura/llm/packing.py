@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenura.llm.scratch import stored
-from tenura.llm.tokens import encoder, vocabulary
+from tenura.llm.tokens import lots, piece_encoder, vocabulary
 
 CAPACITY = 1024
 END = 2
@@ -46,21 +46,24 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocab: str | None = None,
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids
 
     def run(batches):
-        part, own, seen = TaskContext.get().partitionId(), encoder(vocab), Counter()
+        part, own, seen = TaskContext.get().partitionId(), piece_encoder(vocab), Counter()
+        kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
         for batch in batches:
-            rows = []
-            for k, t in enumerate(batch.column(1)):
-                ids = np.append(own.ids(t.as_py()), END).astype("<u4")
-                bounds = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    own_ids = ids[a:b]
-                    row = (k, piece, a, b - a, zlib.crc32(own_ids.tobytes()), part, seen[b - a])
-                    rows.append((*row, own_ids.view(np.int32)) if with_ids else row)
-                    seen[b - a] += 1
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds[1:]))], names)
+            for i, j in lots(batch.column(1)):
+                lot = batch.slice(i, j - i)
+                flat, ends = own.ids([t or "" for t in lot.column(1).to_pylist()])
+                rows = []
+                for k, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    ids = np.append(flat[x:y], END).astype("<u4")
+                    bounds = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+                    for piece, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                        own_ids = ids[a:b]
+                        row = (k, piece, a, b - a, zlib.crc32(own_ids.tobytes()), part, seen[b - a])
+                        rows.append((*row, own_ids.view(np.int32)) if with_ids else row)
+                        seen[b - a] += 1
+                columns = list(zip(*rows)) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays(
+                    [lot.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds[1:]))], names)
 
     kind = dict(d.dtypes)["doc_id"]
     return d.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
