@@ -40,8 +40,8 @@ BANDS, ROWS = 64, 8
 BINS = BANDS * ROWS
 #: Bands whose stars are tried first; the others mostly find one component then.
 FIRST_BANDS = 8
-#: Centres of a bucket in each later round.
-CENTRES = 64
+#: Centres of a bucket in each later round, at most.
+CENTRES = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -201,6 +201,10 @@ def similar_links(nodes: DataFrame, sets, similar: int = SIMILAR) -> DataFrame:
     tested = stored(_pairs(_centres(first), first, similar), "candidates")
     links = stored(confirmed(tested, sets, similar), "links")
     members = stored(_labelled(members, links), "members")
+    new = stored(_pairs(_centres(members), members, similar).join(tested, ["a", "b"], "left_anti"), "candidates")
+    links = stored(links.union(confirmed(new, sets, similar)), "links")
+    tested = stored(tested.union(new), "tested")
+    members = stored(_labelled(members, links), "members")
     while True:
         size = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
         open_ = (size.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label"))["label"].alias("top"))
