@@ -1,4 +1,4 @@
-"""Many boosters in one pass.
+"""Many boosters in one pass.
 
 Features are binned once.  All boosters of a search (settings, folds and
 feature subsets) then grow side by side: one pass over the data a tree level
@@ -26,11 +26,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.functions.ordinal import global_prefix_sums
 from tenura.operators.features import hash_fraction
+from tenura.operators.metrics import threshold_bands, threshold_counts
 from tenura.session import cut_lineage, ensure_checkpoint_dir
 
 #: Split points tried for a feature, at most; fewer where it has fewer values.
@@ -40,6 +41,28 @@ BLOCK = 1 << 16
 CHECKPOINT = 25
 
 
+@dataclass(frozen=True)
+class Draw:
+    """Rows left out at random in one trial; draws of different trials are
+    independent, so a row can be left out of several."""
+    trial: int
+    share: float
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """Whether the row of each 64-bit key is drawn (splitmix64 of key and trial)."""
+        z = key.astype(np.int64).view(np.uint64) + np.uint64((self.trial + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53 < self.share
+
+
+def _left_out(fold: np.ndarray, left_out: int | Draw | None) -> np.ndarray:
+    """Whether each row is left out; ``fold`` holds folds, or keys for draws."""
+    if left_out is None:
+        return np.zeros(len(fold), bool)
+    return left_out.of(fold) if isinstance(left_out, Draw) else fold == left_out
+
+
 @dataclass
 class Booster:
     """Settings of one booster, the fold it leaves out, and its trees."""
@@ -49,7 +72,7 @@ class Booster:
     penalty: float = 1.0
     child_weight: float = 1.0
     features: Sequence[int] | None = None  # places of the features it may use; None: all
-    left_out: int | None = None  # rows of this fold are not trained on
+    left_out: int | Draw | None = None  # rows of this fold or draw are not trained on
     grown: list = field(default_factory=list, repr=False)
 
     def gains(self, n_features: int) -> np.ndarray:
@@ -113,12 +136,13 @@ class Binned:
         return np.concatenate(([0], np.cumsum([len(e) + 1 for e in self.edges])))
 
 
-def binned(df: DataFrame, features: Sequence[str], label: str, fold: str | None = None, most: int = EDGES) -> Binned:
-    """``df`` with every feature as the number of split points below its value."""
+def binned(df: DataFrame, features: Sequence[str], label: str, fold: str | Column | None = None, most: int = EDGES) -> Binned:
+    """``df`` with every feature as the number of split points below its value;
+    ``fold`` has the rows' folds, or their keys for draws."""
     edges = split_points(df, features, most)
     kind = np.uint8 if all(len(e) < 256 for e in edges) else np.int32
     d = df.select(*[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)],
-                  F.col(f"`{label}`").cast("double").alias("y"), (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold"))
+                  F.col(f"`{label}`").cast("double").alias("y"), (F.lit(-1) if fold is None else F.col(fold) if isinstance(fold, str) else fold).cast("long").alias("fold"))
 
     def pack(batches):
         for batch in batches:
@@ -147,7 +171,7 @@ def _sums(states: Iterator, growing, level: int, offsets: np.ndarray) -> Iterato
             if tree is None:
                 continue
             node = tree.nodes(bins, level) - first
-            rows = np.flatnonzero((node >= 0) & (fold != left_out) if left_out is not None else node >= 0)
+            rows = np.flatnonzero((node >= 0) & ~_left_out(fold, left_out))
             p = 1 / (1 + np.exp(-margin[rows, k]))
             at = (cells[rows] + node[rows, None] * width).ravel()
             for which, w in enumerate((p - y[rows], p * (1 - p))):
@@ -157,27 +181,30 @@ def _sums(states: Iterator, growing, level: int, offsets: np.ndarray) -> Iterato
 
 def _split(booster: Booster, tree: _Tree, level: int, sums: np.ndarray, offsets: np.ndarray) -> None:
     """Best split of every node of a level; nodes without one are leaves."""
-    allowed = np.zeros(len(offsets) - 1, bool)
-    allowed[list(booster.features) if booster.features is not None else slice(None)] = True
+    own = np.arange(len(offsets) - 1) if booster.features is None else np.sort(np.asarray(booster.features, int))
     first, lam = (1 << level) - 1, booster.penalty
+    # the split points of all features side by side, short features padded at their end
+    points = np.diff(offsets)[own] - 1
+    at = np.arange(max(points, default=0))
+    inside = at < points[:, None]
+    cells = np.where(inside, offsets[own][:, None] + at, 0)
     for i in range(1 << level):
         node = first + i
         if not tree.used[node]:
             continue
         best = 0.0, -1, 0
         g, h = sums[i, offsets[0]:offsets[1]].sum(0)
-        for f in np.flatnonzero(allowed).tolist():
-            left = np.cumsum(sums[i, offsets[f]:offsets[f + 1]], 0)[:-1]
-            if not len(left):
-                continue
-            gl, hl = left.T
+        if cells.size:
+            gl, hl = np.moveaxis(np.cumsum(sums[i][cells], 1), 2, 0)
             gr, hr = g - gl, h - hl
-            gain = (gl ** 2 / (hl + lam) + gr ** 2 / (hr + lam) - g ** 2 / (h + lam)) / 2
-            # sums of floats differ in their last digits from run to run: gains alike to 9 digits are ties
-            gain = np.where((hl >= booster.child_weight) & (hr >= booster.child_weight), np.round(gain, 9), -np.inf)
-            at = int(gain.argmax())
-            if gain[at] > best[0]:
-                best = float(gain[at]), f, at
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = (gl ** 2 / (hl + lam) + gr ** 2 / (hr + lam) - g ** 2 / (h + lam)) / 2
+            # sums of floats differ in their last digits from run to run: gains alike to 9 digits are ties,
+            # and the first feature and the lowest point of them wins
+            gain = np.where(inside & (hl >= booster.child_weight) & (hr >= booster.child_weight), np.round(gain, 9), -np.inf)
+            f, point = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[f, point] > 0:
+                best = float(gain[f, point]), int(own[f]), int(point)
         tree.cover[node] = h
         tree.value[node] = -booster.rate * g / (h + lam)
         if best[1] < 0:
@@ -231,12 +258,12 @@ def fit(data: Binned, boosters: Sequence[Booster]):
 
 
 def held_out(data: Binned, state, boosters: Sequence[Booster]) -> DataFrame:
-    """(model, y, p): every booster's probabilities on the fold that it left out."""
+    """(model, y, p): every booster's probabilities on the rows that it left out."""
     left_out = [b.left_out for b in boosters]
 
     def pack(s):
         _, y, fold, margin = s
-        rows, model = np.nonzero(fold[:, None] == np.array([-2 if f is None else f for f in left_out]))
+        rows, model = np.nonzero(np.stack([_left_out(fold, f) for f in left_out], 1))
         return (pickle.dumps((model.astype(np.int32), y[rows].astype(np.int32), 1 / (1 + np.exp(-margin[rows, model])))),)
 
     def unpack(batches):
@@ -284,6 +311,25 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, settings:
     return cut_lineage(out.withColumn("is_best", F.col("params") == best))
 
 
+def threshold_sweep(df: DataFrame, id_col: str, features: Sequence[str], label: str, settings: dict, trials: int = 50,
+                    share: float = 0.1, steps: int = 50) -> DataFrame:
+    """H15 with refits: every trial leaves out its own random ``share`` of the
+    rows, fits its own booster on the rest and scores what it left out; all
+    trials grow side by side.  Returns ``metrics.threshold_bands`` of them.
+
+    A row's draws follow from its id alone: rows of one id go together, and a
+    repeated run draws alike.  A trial that leaves out no row has no curve."""
+    data = binned(df, features, label, F.xxhash64(F.col(f"`{id_col}`")))
+    boosters = [Booster(**settings, left_out=Draw(t, share)) for t in range(trials)]
+    state = fit(data, boosters)
+    scores = held_out(data, state, boosters).withColumnRenamed("model", "trial")
+    # trials x (steps + 1) counts at most; written, as the margins go
+    counts = cut_lineage(threshold_counts(scores, "trial", "y", "p", steps))
+    state.unpersist()
+    data.blocks.unpersist()
+    return threshold_bands(counts, steps)
+
+
 def _drop_least(booster: Booster, names: Sequence[str]) -> int:
     """The feature of least gain leaves the booster's own; ties by name."""
     gains = booster.gains(len(names))

@@ -113,9 +113,19 @@ def threshold_sweep(df: DataFrame, id_col: str, label: str, score: str, trials:
     r = df.select(id_col, label, score, tr).where(hash_fraction(F.concat_ws("|", F.col(id_col).cast("string"),
                                                                               F.col("trial").cast("string")), seed)
                                                    < test_fraction)
+    return threshold_bands(threshold_counts(r, "trial", label, score, steps), steps)
+
+
+def threshold_counts(df: DataFrame, trial: str, label: str, score: str, steps: int) -> DataFrame:
+    """(trial, bk, pos, all): rows of each trial by the highest threshold bk/steps that their score reaches."""
     b = F.least(F.floor(F.col(score) * steps), F.lit(steps)).cast("int")
-    g = r.groupBy("trial", b.alias("bk")).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                              F.count(F.lit(1)).alias("all"))
+    return df.groupBy(F.col(trial).alias("trial"), b.alias("bk")).agg(F.count_if(F.col(label) == 1).alias("pos"),
+                                                                      F.count(F.lit(1)).alias("all"))
+
+
+def threshold_bands(g: DataFrame, steps: int) -> DataFrame:
+    """Per threshold k/steps the median and 10/90 band over the trials of
+    ``threshold_counts``: precision, recall, F1 and queue rate."""
     th = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")
     tot = g.groupBy("trial").agg(F.sum("pos").alias("P"), F.sum("all").alias("N"))
     # counts with bucket >= k for each threshold k (buckets and thresholds both bounded by steps)

@@ -96,6 +96,13 @@ def h08_grid_search_auc(spark, sf):
     return finish(bo.cross_validate(bo.with_folds(tr_, "account_id", 5), feats, "churn", grid, 5, "auc"))
 
 
+@_reg("h15_threshold_sweep_refits")
+def h15_threshold_sweep_refits(spark, sf):
+    """50 trials, each with a tenth of the training rows left out and its own default booster."""
+    tr_, _, feats = _train_test(spark, sf)
+    return finish(bo.threshold_sweep(tr_, "account_id", feats, "churn", BOOSTER, trials=50, share=0.1, steps=50))
+
+
 @_reg("i01_gbt_node_table")
 def i01_gbt_node_table(spark, sf):
     tr_, _, feats = _train_test(spark, sf)

@@ -95,3 +95,35 @@ def test_nulls_and_one_class(spark):
     assert len(b.grown) == 2 and all(t.feature[0] == -1 for t in b.grown)
     with pytest.raises(Exception, match="null"):
         bo.binned(df.withColumn("y", F.lit(None).cast("int")), ["a"], "y").blocks.count()
+
+
+def test_sweep_refits_every_trial(spark, table):
+    df, x, y = table
+    trials, share, steps = 6, 0.3, 10
+    got = {round(r["threshold"], 6): r for r in bo.threshold_sweep(df, "id", NAMES, "y", dict(trees=3, depth=2, rate=0.3),
+                                                                  trials, share, steps).collect()}
+    rows = df.select("id", F.xxhash64("id").alias("key")).orderBy("id").collect()
+    key = np.array([r["key"] for r in rows])
+    edges = bo.split_points(df, NAMES)
+    curves, drawn = [], []
+    for t in range(trials):
+        out = bo.Draw(t, share).of(key)
+        drawn.append(out)
+        margin, _ = plain(x, [None if o else v for o, v in zip(out.tolist(), y.tolist())], edges, 3, 2, 0.3, range(3))
+        p, truth = 1 / (1 + np.exp(-margin[out])), y[out]
+        curve = []
+        for k in range(steps + 1):
+            flag = np.minimum(np.floor(p * steps), steps) >= k
+            prec = truth[flag].mean() if flag.any() else 0.0
+            rec = truth[flag].sum() / truth.sum()
+            curve.append((prec, rec, 2 * prec * rec / (prec + rec) if prec + rec else 0.0, flag.mean()))
+        curves.append(curve)
+    curves = np.array(curves)
+    assert len(got) == steps + 1
+    for k in range(steps + 1):
+        r = got[round(k / steps, 6)]
+        for j, c in enumerate(("precision", "recall", "f1", "queue_rate")):
+            for q, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90")):
+                assert r[f"{c}_{n}"] == pytest.approx(np.quantile(curves[:, k, j], q)), (k, c, n)
+    drawn = np.array(drawn)
+    assert abs(drawn.mean() - share) < 0.05 and len({d.tobytes() for d in drawn}) == trials and (drawn.sum(0) > 1).any()

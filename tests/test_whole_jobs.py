@@ -100,3 +100,9 @@ def test_sp_lime_picks_from_the_training_rows(spark, few_samples, asked, monkeyp
     out = E.queries()["j06_sp_lime"](spark, SF001)
     train = ids(ml.encoded_all(spark, SF001)[0].where("split = 'train'"))
     assert ids(few_samples[0]) == train and out.count() == 5 and ids(out) <= train
+
+
+def test_threshold_sweep_refits_fifty_trials(spark, grown):
+    rows = E.queries()["h15_threshold_sweep_refits"](spark, SF001).collect()
+    assert len(rows) == 51 and len(grown) == 50
+    assert {g[:3] for g in grown} == {(100, 3, 0.1)} and {g[3] for g in grown} == {bo.Draw(t, 0.1) for t in range(50)}
