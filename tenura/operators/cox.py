@@ -1,27 +1,15 @@
 """Cox proportional hazards (K19-K41) on Spark.
 
-Fit: Newton-Raphson on the driver over a p-vector; every iteration is
-ONE aggregate over the (cached) subject table:
-
-1. rows -> one row per (stratum, time) with weighted sums
-   S0 = sum w, S1 = sum w x, S2 = sum w x x' (upper triangle) for the
-   rows leaving at that time, and the same sums over its events
-   (partial aggregation: a hot stratum is combined map-side);
-2. risk-set sums = reverse running sums over the *distinct times* of a
-   stratum (a window over the small aggregate, never over subjects);
-   counting-process rows (start, stop] add at ``stop`` and leave at
-   ``start``, so the risk set at t is adds(stop >= t) - removes(start >= t);
-3. Efron terms per event time need only six scalar sums over the tied
-   events (in closed form when there are many), combined with the vectors;
-4. one final sum -> (log-likelihood, gradient, Hessian) to the driver.
-
-Only p + p(p+1)/2 numbers per iteration reach the driver; beta goes back
-as a one-row table, so the lineage never grows between iterations.
+Fit: Newton-Raphson on the driver over a p-vector.  The rows are sorted by
+(stratum, time) once; every iteration is two narrow passes over the cached
+blocks (``risksets``), whose risk-set sums carry over partitions.  Efron terms
+of a time need only sums over its tied events (closed forms when there are
+many), combined with the vectors.  Only p + p(p+1)/2 numbers an iteration, and
+a few such vectors a partition, reach the driver.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -31,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tenura.functions.ordinal import global_prefix_sums, global_row_index
 from tenura.functions.stats import Z_95, chi2_sf_df1, efron_sums_sql
+from tenura.operators import risksets
 from tenura.session import cut_lineage
 
 UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
@@ -59,94 +48,20 @@ class CoxFit:
         return np.sqrt(np.diag(self.cov))
 
 
-def _pairs(p):
-    return [(i, j) for i in range(p) for j in range(i, p)]
-
-
-def _q(c: str) -> str:
-    return f"`{c}`"
-
-
-def _iteration_sql(view: str, p: int, strata: Sequence[str], beta_view: str, has_start: bool, ties: str) -> str:
-    """One Newton iteration as a single SQL statement over the cached
-    working view: per-(stratum, time) sums, risk-set running sums over the
-    distinct times, Efron scalars, and the final (ll, gradient, Hessian) sums.
-    Built as text so the whole plan is one call, however many sums it has."""
-    pr = _pairs(p)
-    g = "".join(f"{_q(x)}, " for x in strata)
-    part = f"PARTITION BY {', '.join(_q(x) for x in strata)} " if strata else ""
-    # beta comes from a one-row table joined on a constant key, not from literals,
-    # so the generated code is the same in every iteration (no recompilation)
-    xb = " + ".join(f"_x{j} * _bv.b{j}" for j in range(p)) or "CAST(0 AS DOUBLE)"
-    start_col = ", _s" if has_start else ""
-
-    def sums(prefix, cond):
-        w = "_w" if cond is None else f"CASE WHEN {cond} THEN _w ELSE CAST(0 AS DOUBLE) END"
-        out = [f"SUM({w}) AS {prefix}0"]
-        out += [f"SUM({w} * _x{j}) AS {prefix}1_{j}" for j in range(p)]
-        out += [f"SUM({w} * _x{i} * _x{j}) AS {prefix}2_{i}_{j}" for i, j in pr]
-        return out
-
-    rcols = ["a0"] + [f"a1_{j}" for j in range(p)] + [f"a2_{i}_{j}" for i, j in pr]
-    bcols = ["b0"] + [f"b1_{j}" for j in range(p)] + [f"b2_{i}_{j}" for i, j in pr]
-    evsum = ["CAST(SUM(CASE WHEN _e = 1 THEN 1 ELSE 0 END) AS BIGINT) AS d",
-             "SUM(CASE WHEN _e = 1 THEN _xb ELSE CAST(0 AS DOUBLE) END) AS xbd"]
-    evsum += [f"SUM(CASE WHEN _e = 1 THEN _x{j} ELSE CAST(0 AS DOUBLE) END) AS xd_{j}" for j in range(p)]
-    adds = (f"SELECT {g}_t AS t, {', '.join(sums('a', None) + sums('b', '_e = 1') + evsum)} "
-            f"FROM _base GROUP BY {g}_t")
-    ctes = [f"_base AS (SELECT {g}_t, _e{start_col}, {', '.join(f'_x{j}' for j in range(p))}, ({xb}) AS _xb, "
-            f"exp({xb}) AS _w FROM {view} _wv JOIN {beta_view} _bv ON _wv._k = _bv._k)", f"_adds AS ({adds})"]
-    if has_start:
-        ctes.append(f"_rem0 AS (SELECT {g}_s, {', '.join(sums('a', None))} FROM _base GROUP BY {g}_s)")
-        rem_sql = (f"SELECT {g}_s AS t, " + ", ".join(f"-{c} AS {c}" for c in rcols) + ", "
-                   + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in bcols) + ", CAST(0 AS BIGINT) AS d, "
-                   + "CAST(0 AS DOUBLE) AS xbd, " + ", ".join(f"CAST(0 AS DOUBLE) AS xd_{j}" for j in range(p))
-                   + " FROM _rem0")
-        allc = rcols + bcols + ["d", "xbd"] + [f"xd_{j}" for j in range(p)]
-        ctes.append(f"_un AS (SELECT {g}t, {', '.join(allc)} FROM _adds UNION ALL {rem_sql})")
-        ctes.append(f"_tt0 AS (SELECT {g}t, {', '.join(f'SUM({c}) AS {c}' for c in allc)} FROM _un GROUP BY {g}t)")
-        src = "_tt0"
-    else:
-        src = "_adds"
-    win = f"({part}ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    risk = [f"SUM({c}) OVER {win} AS R{c[1:]}" for c in rcols]
-    keep = ["d", "xbd"] + [f"xd_{j}" for j in range(p)] + bcols
-    ctes.append(f"_tt AS (SELECT {g}t, {', '.join(keep)}, {', '.join(risk)} FROM {src})")
-    if ties == "breslow":
-        sc = ("CAST(d AS DOUBLE) / R0 AS ef_a, CAST(0 AS DOUBLE) AS ef_b, CAST(d AS DOUBLE) / (R0 * R0) AS ef_c, "
-              "CAST(0 AS DOUBLE) AS ef_d, CAST(0 AS DOUBLE) AS ef_e, CAST(d AS DOUBLE) * ln(R0) AS ef_l")
-        ctes.append(f"_ef AS (SELECT *, {sc} FROM _tt WHERE d > 0)")
-    else:
-        ctes.append(f"_ef0 AS (SELECT *, {efron_sums_sql('R0', 'b0', 'd')} AS _s FROM _tt WHERE d > 0)")
-        ctes.append("_ef AS (SELECT *, _s.A AS ef_a, _s.B AS ef_b, _s.C AS ef_c, _s.D AS ef_d, _s.E AS ef_e, "
-                    "_s.L AS ef_l FROM _ef0)")
-    aggs = ["SUM(xbd - ef_l) AS ll"]
-    aggs += [f"SUM(xd_{j} - (R1_{j} * ef_a - b1_{j} * ef_b)) AS g{j}" for j in range(p)]
-    for i, j in pr:
-        outer = f"(R1_{i} * R1_{j} * ef_c - (R1_{i} * b1_{j} + b1_{i} * R1_{j}) * ef_d + b1_{i} * b1_{j} * ef_e)"
-        aggs.append(f"SUM(-((R2_{i}_{j} * ef_a - b2_{i}_{j} * ef_b) - {outer})) AS h{i}_{j}")
-    return "WITH " + ",\n".join(ctes) + "\nSELECT " + ", ".join(aggs) + " FROM _ef"
-
-
-def _loglik_grad_hess(spark, view: str, p: int, strata, beta, has_start: bool, ties: str):
-    bv = f"{view}_beta"
-    fields = ", ".join(["_k int"] + [f"b{j} double" for j in range(p)])
-    spark.createDataFrame([tuple([1] + [float(b) for b in beta])], fields).createOrReplaceTempView(bv)
-    row = spark.sql(_iteration_sql(view, p, strata, bv, has_start, ties)).first()
-    g = np.array([row[f"g{j}"] or 0.0 for j in range(p)])
-    H = np.zeros((p, p))
-    for i, j in _pairs(p):
-        H[i, j] = H[j, i] = row[f"h{i}_{j}"] or 0.0
-    return float(row["ll"] or 0.0), g, H
-
-
 def prepare(df: DataFrame, duration: str, event: str, covariates: Sequence[str], strata: Sequence[str] = (),
             start: str | None = None, standardize: bool = True):
-    """Standardised working table (cached) and the scaling used."""
+    """Standardised working table and the scaling used.  A null (or NaN) time,
+    event or covariate is an error, as no risk set could hold its row."""
     xs = [F.col(f"`{c}`").cast("double") for c in covariates]
+    names = [duration, event, *covariates, *([start] if start else [])]
+    needed = [F.col(f"`{c}`") for c in names]
     st = df.agg(*[F.avg(x).alias(f"m{j}") for j, x in enumerate(xs)],
                 *[F.stddev_samp(x).alias(f"s{j}") for j, x in enumerate(xs)],
-                F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("ne")).first()
+                F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("ne"),
+                *[F.count_if(c.isNull() | F.isnan(c.cast("double"))).alias(f"null{j}") for j, c in enumerate(needed)]).first()
+    for j, name in enumerate(names):
+        if st[f"null{j}"]:
+            raise ValueError(f"{name} has {st[f'null{j}']} nulls")
     p = len(covariates)
     means = np.array([st[f"m{j}"] for j in range(p)], dtype=float)
     sds = np.array([(st[f"s{j}"] or 1.0) if standardize else 1.0 for j in range(p)], dtype=float)
@@ -156,9 +71,7 @@ def prepare(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     if start:
         cols.append(F.col(start).cast("double").alias("_s"))
     cols += [((x - F.lit(means[j])) / F.lit(sds[j])).alias(f"_x{j}") for j, x in enumerate(xs)]
-    cols.append(F.lit(1).alias("_k"))
-    work = df.select(*cols).persist()
-    return work, means, sds, int(st["n"]), int(st["ne"])
+    return df.select(*cols), means, sds, int(st["n"]), int(st["ne"])
 
 
 def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str], strata: Sequence[str] = (),
@@ -167,13 +80,10 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     covariates, strata = list(covariates), list(strata)
     p = len(covariates)
     work, means, sds, n, ne = prepare(df, duration, event, covariates, strata, start)
-    spark = df.sparkSession
-    view = f"_tenura_cox_{uuid.uuid4().hex}"
-    work.createOrReplaceTempView(view)
-    has_start = start is not None
+    blocks = risksets.sorted_blocks(work, "_t", "_e", [f"_x{j}" for j in range(p)], strata, "_s" if start else None)
 
     def evaluate(b):
-        return _loglik_grad_hess(spark, view, p, strata, b, has_start, ties)
+        return risksets.evaluate(blocks, b, ties)
     try:
         beta = np.zeros(p)
         ll, g, H = evaluate(beta)
@@ -204,9 +114,7 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
         cov_o = cov_std / np.outer(sds, sds)
         return CoxFit(covariates, strata, beta_o, cov_o, ll, ll0, means, it, n, ne, ties, duration, event, start, hist)
     finally:
-        spark.catalog.dropTempView(view)
-        spark.catalog.dropTempView(f"{view}_beta")
-        work.unpersist()
+        blocks.unpersist()
 
 
 def summary(fit: CoxFit, spark, confidence_z: float = Z_95) -> DataFrame:
