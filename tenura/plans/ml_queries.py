@@ -11,6 +11,7 @@ from tenura.operators import explain as ex
 from tenura.operators import lime
 from tenura.operators import metrics as me
 from tenura.operators import models as mo
+from tenura.operators import pathshap
 from tenura.operators import smote
 from tenura.operators import trees as tr
 from tenura.operators.features import hash_split, panel_features
@@ -124,11 +125,11 @@ def i03_i05_gbt_importances(spark, sf):
 
 @_reg("j07_shap_on_trained_gbt")
 def j07_shap_on_trained_gbt(spark, sf):
-    """SHAP summary (J7, J14) of the tuned GBT on its training rows, via its node table."""
+    """SHAP summary (J7, J14) of the tuned GBT on its training rows, from the paths of its node table."""
     tr_, _, feats = _train_test(spark, sf)
     m = _tuned(spark, sf, tr_)
     ens = tr.Ensemble.from_table(tr.node_table_from_gbt(m, feats, spark))
-    return finish(ex.shap_summary(ex.shap_values(tr_, ens, "account_id")))
+    return finish(ex.shap_summary(pathshap.shap_values(tr_, ens, "account_id")))
 
 
 def _tuned(spark, sf, tr_):

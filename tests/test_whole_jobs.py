@@ -5,9 +5,9 @@ import pytest
 
 import __spark_entry__ as E
 from tenura.operators import boosting as bo
-from tenura.operators import explain as ex
 from tenura.operators import lime
 from tenura.operators import models as mo
+from tenura.operators import pathshap
 from tenura.plans import ml_queries as ml
 from tests.conftest import SF001
 
@@ -68,9 +68,9 @@ def ids(df):
 
 
 def test_shap_explains_the_tuned_model_on_the_training_rows(spark, asked, monkeypatch):
-    explained, real = [], ex.shap_values
+    explained, real = [], pathshap.shap_values
     monkeypatch.setattr(mo, "_FITTED", weakref.WeakKeyDictionary())  # the stump is not kept for others
-    monkeypatch.setattr(ex, "shap_values", lambda df, *a: (explained.append(df), real(df, *a))[1])
+    monkeypatch.setattr(pathshap, "shap_values", lambda df, *a: (explained.append(df), real(df, *a))[1])
     assert E.queries()["j07_shap_on_trained_gbt"](spark, SF001).count() == 1  # a stump's only feature
     d = ml.encoded_all(spark, SF001)[0]
     assert asked == [mo.TUNED] and ids(explained[0]) == ids(d.where("split = 'train'"))
