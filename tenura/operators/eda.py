@@ -7,6 +7,7 @@ over the *grouped* rows (small), never over raw rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -130,6 +131,17 @@ def binned_pairs(df: DataFrame, x: str, y: str, wx: float, wy: float, group: str
                       (F.floor(F.col(y) / wy) * wy).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def binned_scatter_matrix(df: DataFrame, widths: dict[str, float], group: str) -> DataFrame:
+    """(x, y, group, bx, by, n) of every pair of the columns of ``widths``
+    (their bin widths), in one aggregate; a row with a null in a pair counts
+    under the null bin."""
+    bins = {c: F.floor(F.col(f"`{c}`") / w) * F.lit(float(w)) for c, w in widths.items()}
+    pairs = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), bins[x].alias("bx"), bins[y].alias("by"))
+             for x, y in itertools.combinations(widths, 2)]
+    return (df.select(F.col(f"`{group}`").alias("group"), F.explode(F.array(*pairs)).alias("p"))
+            .groupBy("p.x", "p.y", "group", "p.bx", "p.by").agg(F.count(F.lit(1)).alias("n")))
+
+
 def binary_ones_zeros(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> DataFrame:
     """Ones and zeros per binary (0/1) feature for one class."""
     if where is not None:
@@ -171,12 +183,13 @@ def first_appearance_codes(df: DataFrame, cols: Sequence[str], order_key: str) -
 
 
 def factorized_correlation(df: DataFrame, cols: Sequence[str], order_key: str) -> DataFrame:
-    """Pearson r of first-appearance codes.  The (variable, value)
-    code table is small per column and joined back per column."""
-    codes = first_appearance_codes(df, cols, order_key)
-    out = df.select(order_key, *cols)
-    for c in cols:
-        m = codes.where(F.col("variable") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_k_{c}"))
-        out = out.join(m, out[c].cast("string").eqNullSafe(m[f"_v_{c}"]), "left")
-    coded = out.select(*[F.col(f"_k_{c}").cast("double").alias(c) for c in cols])
-    return correlation_matrix(coded, cols)
+    """Pearson r of first-appearance codes, any number of columns.  All
+    columns meet their codes in one join of (variable, value), rows come
+    together again by the order key, and one aggregate has all products.  The
+    order key is unique; a null is a value like any other."""
+    codes = first_appearance_codes(df, cols, order_key).select(F.col("variable").alias("_var"), F.col("value").alias("_val"), "code")
+    long = _melt(df, cols, [order_key])
+    met = long.join(codes, (long["variable"] == codes["_var"]) & long["value"].eqNullSafe(codes["_val"]))
+    coded = met.groupBy(order_key).agg(*[F.max(F.when(F.col("variable") == c, F.col("code"))).cast("double").alias(f"_k{i}")
+                                         for i, c in enumerate(cols)])
+    return correlation_matrix(coded.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(cols)]), cols)

@@ -307,6 +307,20 @@ def strongest_interaction(shap_long: DataFrame, data: DataFrame, id_col: str, fe
                                           for i, z in enumerate(others)])).alias("s")).select("s.*")
 
 
+def strongest_dependence(shap_long: DataFrame, data: DataFrame, id_col: str, feature: str,
+                         others: Sequence[str], n_bins: int = 10) -> DataFrame:
+    """(id, x, phi, other, z): the dependence rows of a feature with the
+    value of the candidate of highest ``strongest_interaction`` score, by name
+    among scores alike to 9 digits.  The choice is a scalar subquery of the
+    same plan, and its value is looked up by name, so no trip to the driver."""
+    scores = strongest_interaction(shap_long, data, id_col, feature, others, n_bins)
+    best = scores.select(F.min_by("other", F.struct(-F.round("score", 9), F.col("other")))).scalar()
+    values = F.create_map(*[v for z in others for v in (F.lit(z), F.col(f"`{z}`").cast("double"))])
+    rows = dependence(shap_long, id_col, feature).join(data.select(id_col, values.alias("_values")), id_col)
+    return (rows.withColumn("other", best)
+            .select(id_col, "x", "phi", "other", F.element_at("_values", F.col("other")).alias("z")))
+
+
 def shap_summary(shap_long: DataFrame) -> DataFrame:
     """Per feature sum and mean |phi|, rank, and phi quartiles."""
     from tenura.functions.ordinal import exact_quantiles

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tenura.operators import clean as cl
@@ -348,6 +350,16 @@ def e11_binned_pairs(spark, sf):
     return finish(eda.binned_pairs(clean_panel(account_panel(spark, sf)), "tenure", "monthly_charges", 12.0, 100000.0, "churn"))
 
 
+SCATTER = {"tenure": 12.0, "monthly_charges": 100000.0, "total_charges": 500000.0}
+
+
+@_reg("e11_scatter_matrix", " UNION ALL ".join(
+    f"""SELECT '{x}' AS x, '{y}' AS y, churn AS "group", floor({x} / {SCATTER[x]}) * {SCATTER[x]} AS bx, floor({y} / {SCATTER[y]}) * {SCATTER[y]} AS by,
+  COUNT(*) AS n FROM cpanel GROUP BY 3, 4, 5""" for x, y in combinations(SCATTER, 2)))
+def e11_scatter_matrix(spark, sf):
+    return finish(eda.binned_scatter_matrix(clean_panel(account_panel(spark, sf)), SCATTER, "churn"))
+
+
 @_reg("e12_binary_ones_zeros", """WITH _e AS (SELECT senior, CASE WHEN partner = 'Yes' THEN 1 ELSE 0 END AS partner,
   CASE WHEN dependents = 'Yes' THEN 1 ELSE 0 END AS dependents FROM cpanel WHERE churn = 'Yes'),
 _m AS (SELECT 'senior' AS variable, senior AS value FROM _e UNION ALL SELECT 'partner', partner FROM _e
@@ -379,13 +391,22 @@ def e13_correlation_matrix(spark, sf):
 
 
 FACT_COLS = ["contract", "internet_service", "payment_method", "partner"]
+ALL_COLS = [*FACT_COLS, "senior", "dependents", "tenure", "online_security", "monthly_charges", "total_charges", "churn"]
+
+
+def _fact_sql(cols):
+    return "WITH " + ", ".join(
+        f"_c{i} AS (SELECT {c} AS value, DENSE_RANK() OVER (ORDER BY MIN(account_id)) - 1 AS code FROM cpanel GROUP BY {c})"
+        for i, c in enumerate(cols)) + ", _k AS (SELECT " + ", ".join(
+        f"(SELECT code FROM _c{i} WHERE _c{i}.value = p.{c}) AS {c}" for i, c in enumerate(cols)) + " FROM cpanel p) " + _corr_sql(cols, "_k")
+
+
+@_reg("e14_factorized_correlation_all", _fact_sql(ALL_COLS))
+def e14_factorized_correlation_all(spark, sf):
+    return finish(eda.factorized_correlation(clean_panel(account_panel(spark, sf)), ALL_COLS, "account_id"))
 
 
-@_reg("e14_factorized_correlation", "WITH " + ", ".join(
-    f"_c{i} AS (SELECT {c} AS value, DENSE_RANK() OVER (ORDER BY MIN(account_id)) - 1 AS code FROM cpanel GROUP BY {c})"
-    for i, c in enumerate(FACT_COLS)) + ", _k AS (SELECT " + ", ".join(
-    f"(SELECT code FROM _c{i} WHERE _c{i}.value = p.{c}) AS {c}" for i, c in enumerate(FACT_COLS)) + " FROM cpanel p) " +
-    _corr_sql(FACT_COLS, "_k"))
+@_reg("e14_factorized_correlation", _fact_sql(FACT_COLS))
 def e14_factorized_correlation(spark, sf):
     return finish(eda.factorized_correlation(clean_panel(account_panel(spark, sf)), FACT_COLS, "account_id"))
 

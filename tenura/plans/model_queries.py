@@ -249,7 +249,7 @@ def i05_importance_cover(spark, sf):
 PERM_FEATS = FEATS
 
 
-def _perm_sql(repeats=5, seed=0):
+def _perm_sql(repeats=5, seed=0, src="enc"):
     fr = ", ".join("('{}', {}, {}, {})".format(f, r, *ex.shuffle_seeds(f, r, seed)) for f in PERM_FEATS for r in range(repeats))
     dv = "CASE m.f " + " ".join(f"WHEN '{f}' THEN CAST(d.{DREF(f)} AS DOUBLE)" for f in PERM_FEATS) + " END"
 
@@ -257,13 +257,13 @@ def _perm_sql(repeats=5, seed=0):
         return f"(CASE WHEN f = '{f}' THEN dv ELSE {DREF(f)} END)" if f in PERM_FEATS else DREF(f)
     m = ENS.margin_sql(ref)
     return f"""WITH _fr AS (SELECT * FROM (VALUES {fr}) v(f, r, h, g)),
-_base AS (SELECT *, ROW_NUMBER() OVER (ORDER BY account_id) - 1 AS k, COUNT(*) OVER () AS n FROM enc),
-_n AS (SELECT COUNT(*) AS n FROM enc),
+_base AS (SELECT *, ROW_NUMBER() OVER (ORDER BY account_id) - 1 AS k, COUNT(*) OVER () AS n FROM {src}),
+_n AS (SELECT COUNT(*) AS n FROM {src}),
 _move AS (SELECT f, r, n, ANY_VALUE(g) % n AS b, MIN(x) AS a FROM (SELECT f, r, g, n, UNNEST(range(h % n, h % n + 1000)) AS x FROM _fr, _n)
           WHERE gcd(x, n) = 1 GROUP BY f, r, n),
 _p AS (SELECT t.*, m.f, m.r, {dv} AS dv FROM _base t CROSS JOIN _move m JOIN _base d ON d.k = (m.a * t.k + m.b) % m.n),
 _acc AS (SELECT f, r, AVG(CAST(CAST(1.0 / (1.0 + exp(-{m})) >= 0.5 AS INTEGER) = churn AS DOUBLE)) AS acc FROM _p GROUP BY f, r),
-_b AS (SELECT AVG(CAST(CAST(1.0 / (1.0 + exp(-{MARGIN_SQL})) >= 0.5 AS INTEGER) = churn AS DOUBLE)) AS base_acc FROM enc)
+_b AS (SELECT AVG(CAST(CAST(1.0 / (1.0 + exp(-{MARGIN_SQL})) >= 0.5 AS INTEGER) = churn AS DOUBLE)) AS base_acc FROM {src})
 SELECT f AS feature, round(AVG(base_acc - acc), 6) AS importance_mean, round(STDDEV_POP(base_acc - acc), 6) AS importance_std
 FROM _acc, _b GROUP BY f"""
 
@@ -273,6 +273,18 @@ def i06_permutation_importance(spark, sf):
     return finish(ex.permutation_importance(encoded(spark, sf), ENS, "account_id", "churn", PERM_FEATS, repeats=5, seed=0))
 
 
+@_reg("i06_permutation_train_test", " UNION ALL ".join(
+    f"SELECT '{part}' AS part, * FROM ({_perm_sql(src=f"(SELECT * FROM enc WHERE split = '{part}')")})" for part in ("train", "test")))
+def i06_permutation_train_test(spark, sf):
+    """I6 on the training and on the test rows, each permuted among themselves."""
+    d, out = encoded(spark, sf), None
+    for part in ("train", "test"):
+        t = ex.permutation_importance(d.where(F.col("split") == part), ENS, "account_id", "churn", PERM_FEATS, repeats=5, seed=0)
+        t = t.select(F.lit(part).alias("part"), "*")
+        out = t if out is None else out.unionByName(t)
+    return finish(out)
+
+
 # ---------------------------------------------------------------- I7/I8 H statistic
 def _h_sql(pairs):
     singles = sorted({f for p in pairs for f in p})
@@ -495,14 +507,24 @@ def j12_dependence_tenure(spark, sf):
 J13_OTHERS = [f for f in FEATS if f != "tenure"]
 
 
-@_reg("j13_strongest_interaction", SHAP_SQL + """, _d AS (SELECT s.account_id, s.value AS x, s.phi FROM _s s WHERE feature = 'tenure'),
+_J13_SQL = SHAP_SQL + """, _d AS (SELECT s.account_id, s.value AS x, s.phi FROM _s s WHERE feature = 'tenure'),
 _n AS (SELECT COUNT(*) AS n FROM _d),
 _b AS (SELECT d.*, CAST(floor((SELECT COUNT(*) FROM _d d2 WHERE d2.x < d.x) * 10 / CAST((SELECT n FROM _n) AS DOUBLE)) AS INTEGER) AS bin FROM _d d),
 _j AS (SELECT b.*, e.* EXCLUDE (account_id) FROM _b b JOIN enc e ON b.account_id = e.account_id),
 _r AS (SELECT bin, """ + ", ".join(
     f"CASE WHEN stddev_pop(phi) * stddev_pop(CAST({DREF(z)} AS DOUBLE)) > 0 THEN covar_pop(phi, CAST({DREF(z)} AS DOUBLE)) "
-    f"/ (stddev_pop(phi) * stddev_pop(CAST({DREF(z)} AS DOUBLE))) END AS r{i}" for i, z in enumerate(J13_OTHERS)) + """ FROM _j GROUP BY bin)
-""" + " UNION ALL ".join(f"SELECT '{z}' AS other, round(SUM(COALESCE(abs(r{i}), 0.0)), 6) AS score FROM _r" for i, z in enumerate(J13_OTHERS)))
+    f"/ (stddev_pop(phi) * stddev_pop(CAST({DREF(z)} AS DOUBLE))) END AS r{i}" for i, z in enumerate(J13_OTHERS)) + """ FROM _j GROUP BY bin),
+_sc AS (""" + " UNION ALL ".join(f"SELECT '{z}' AS other, SUM(COALESCE(abs(r{i}), 0.0)) AS score FROM _r" for i, z in enumerate(J13_OTHERS)) + ")\n"
+
+
+@_reg("j13_dependence_on_strongest", _J13_SQL + """, _best AS (SELECT other FROM _sc ORDER BY round(score, 9) DESC, other LIMIT 1)
+SELECT account_id, round(x, 6) AS x, round(phi, 6) AS phi, other,
+  round(CASE other """ + " ".join(f"WHEN '{z}' THEN CAST({DREF(z)} AS DOUBLE)" for z in J13_OTHERS) + """ END, 6) AS z FROM _j, _best""")
+def j13_dependence_on_strongest(spark, sf):
+    return finish(ex.strongest_dependence(shap_long(spark, sf), encoded(spark, sf), "account_id", "tenure", J13_OTHERS))
+
+
+@_reg("j13_strongest_interaction", _J13_SQL + "SELECT other, round(score, 6) AS score FROM _sc")
 def j13_strongest_interaction(spark, sf):
     return finish(ex.strongest_interaction(shap_long(spark, sf), encoded(spark, sf), "account_id", "tenure", J13_OTHERS))
 

@@ -79,6 +79,17 @@ def test_stratified_matches_bruteforce(small):
     assert abs(fit.loglik - ll) < 1e-6
 
 
+def test_many_strata_columns_are_one_stratum_each_combination(small):
+    from pyspark.sql import functions as F
+    df, X, T, E, g = small
+    df = df.withColumn("odd", F.col("id") % 2).withColumn("third", F.when(F.col("id") % 3 > 0, F.col("id") % 3))  # a null level
+    fit = cox.cox_fit(df, "t", "e", ["x1", "x2"], strata=["g", "odd", "third"])
+    i = np.arange(len(T))
+    b, ll = brute_fit(X, T, E, g * 6 + i % 2 * 3 + i % 3)
+    assert np.allclose(fit.beta, b, atol=1e-5)
+    assert abs(fit.loglik - ll) < 1e-6
+
+
 def test_counting_process_equals_plain(small, spark):
     """Episodic (start, stop] rows with constant covariates give the same fit."""
     df, *_ = small
