@@ -18,12 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.functions.ordinal import global_prefix_sums, global_row_index
+from tenura.functions.scans import BLOCK, in_blocks, running
 from tenura.functions.stats import Z_95, chi2_sf_df1, efron_sums_sql
 from tenura.operators import risksets
 from tenura.session import cut_lineage
 
-UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
-
 
 @dataclass
 class CoxFit:
@@ -160,94 +159,156 @@ def baseline_hazard(df: DataFrame, duration: str, event: str, covariates, beta,
     w = F.exp(linear_predictor(covariates, beta, means))
     tt = df.groupBy(*strata, F.col(duration).alias("t")).agg(
         F.count_if(F.col(event) == 1).alias("d"), F.sum(w).alias("w"))
-    part = Window.partitionBy(*strata) if strata else Window.partitionBy()
-    r0 = F.sum("w").over(part.orderBy(F.desc("t")).rowsBetween(UNB_PRE, 0))
-    h = tt.select(*strata, "t", "d", (F.col("d") / r0).alias("h0"))
-    cum = F.sum("h0").over(part.orderBy("t").rowsBetween(UNB_PRE, 0))
-    return h.select(*strata, "t", "d", "h0", cum.alias("cum_h0"), F.exp(-cum).alias("s0"))
-
+    tt, block = in_blocks(cut_lineage(tt), "t")
+    h = running(tt, strata, "t", block, {"r0": "w"}, descending=True).select(
+        *strata, *block, "t", "d", (F.col("d") / F.col("r0")).alias("h0"))
+    h = running(h, strata, "t", block, {"cum_h0": "h0"})
+    return h.select(*strata, "t", "d", "h0", "cum_h0", F.exp(-F.col("cum_h0")).alias("s0"))
 
-def _curve_arrays(base: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Baseline per stratum as sorted arrays (bounded by distinct times)."""
-    return base.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct("t", "cum_h0"))).alias("_curve"))
 
-
-def _attach_curve(subj: DataFrame, base: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Attach the stratum's baseline array to each subject: equi-join on
-    the strata (small side, one row per stratum), or a scalar subquery
-    when there are no strata."""
-    arr = _curve_arrays(base, strata)
-    if strata:
-        return subj.join(arr, list(strata))
-    return subj.withColumn("_curve", arr.select("_curve").scalar())
+@dataclass
+class _Curves:
+    """Baselines cut into blocks of times: ``blocks`` (strata..., _blk, _curve)
+    holds the sorted (t, cum_h0) of one block, ``directory`` (strata..., _dir)
+    the first time and last hazard of each block of a stratum.  A lookup finds
+    the block in the directory and joins just that block; short baselines are
+    one block, without a directory or a block column."""
+    blocks: DataFrame
+    directory: DataFrame | None
+    strata: list[str]
+    base: DataFrame
+
+    @classmethod
+    def of(cls, base: DataFrame, strata: Sequence[str]) -> _Curves:
+        base, block = in_blocks(cut_lineage(base.select(*strata, "t", "cum_h0")), "t")
+        blocks = base.groupBy(*strata, *block).agg(F.array_sort(F.collect_list(F.struct("t", "cum_h0"))).alias("_curve"))
+        directory = None
+        if block:
+            ends = base.groupBy(*strata, *block).agg(F.min("t").alias("t"), F.max("cum_h0").alias("h"))
+            directory = ends.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct(BLOCK, "t", "h"))).alias("_dir"))
+        return cls(blocks, directory, list(strata), base)
+
+    def _attach(self, subj: DataFrame, side: DataFrame, name: str) -> DataFrame:
+        """One row per stratum beside its subjects; without strata it is a scalar."""
+        return subj.join(side, self.strata) if self.strata else subj.withColumn(name, side.select(name).scalar())
+
+    def every(self, subj: DataFrame) -> DataFrame:
+        """Each subject beside each block of its baseline."""
+        if self.directory is None:
+            return self._attach(subj, self.blocks, "_curve")
+        own = self._attach(subj, self.directory, "_dir").withColumn(BLOCK, F.explode(F.transform("_dir", lambda d: d[BLOCK]))).drop("_dir")
+        return own.join(self.blocks, [*self.strata, BLOCK])
+
+    def _one(self, subj: DataFrame, block) -> DataFrame:
+        """Each subject beside the block that ``block`` picks from its directory (null if none)."""
+        if self.directory is None:
+            return self._attach(subj, self.blocks, "_curve")
+        own = self._attach(subj, self.directory, "_dir").withColumn(BLOCK, block(F.col("_dir"))[BLOCK]).drop("_dir")
+        return own.join(self.blocks, [*self.strata, BLOCK], "left").drop(BLOCK)
+
+    def hazard_at(self, subj: DataFrame, time: str, name: str) -> DataFrame:
+        """Adds the cumulative hazard as-of ``time`` (0 before the first time)."""
+        def last(a):
+            return F.try_element_at(F.filter(a, lambda s: s["t"] <= F.col(time)), F.lit(-1))
+        return self._one(subj, last).withColumn(name, F.coalesce(last(F.col("_curve"))["cum_h0"], F.lit(0.0))).drop("_curve")
+
+    def first_time(self, subj: DataFrame, reached, name: str) -> DataFrame:
+        """Adds the first time whose cumulative hazard has ``reached`` what it must (null = never);
+        hazards only grow, so a block's last one tells whether the time is in it or before."""
+        j = self._one(subj, lambda a: F.get(F.filter(a, lambda d: reached(d["h"])), F.lit(0)))
+        return j.withColumn(name, F.get(F.filter(F.col("_curve"), lambda s: reached(s["cum_h0"])), F.lit(0))["t"]).drop("_curve")
 
 
 def subject_curves(df: DataFrame, id_col: str, covariates, beta, means, base: DataFrame,
                    strata: Sequence[str] = (), times: Sequence[float] | None = None) -> DataFrame:
     """Per subject and time, cumulative hazard H0(t) * ph and
     survival exp(-that).  With ``times`` the baseline is looked up as-of
-    (last baseline time <= requested time)."""
+    (last baseline time <= requested time), once for each stratum."""
     ph = F.exp(linear_predictor(covariates, beta, means))
     subj = df.select(id_col, *strata, ph.alias("ph"))
-    j = _attach_curve(subj, base, strata)
     if times is None:
-        j = j.select(id_col, *strata, "ph", F.explode("_curve").alias("_c")).select(
+        j = _Curves.of(base, strata).every(subj).select(id_col, *strata, "ph", F.explode("_curve").alias("_c")).select(
             id_col, *strata, "ph", F.col("_c.t").alias("t"), F.col("_c.cum_h0").alias("_h"))
-        return j.select(id_col, *strata, "t", (F.col("_h") * F.col("ph")).alias("cum_hazard"),
-                        F.exp(-F.col("_h") * F.col("ph")).alias("survival"))
-    tl = F.explode(F.array(*[F.lit(float(t)) for t in times])).alias("t")
-    j = j.select("*", tl)
-    h_at = F.aggregate(F.col("_curve"), F.lit(0.0),
-                       lambda acc, s: F.when(s["t"] <= F.col("t"), s["cum_h0"]).otherwise(acc))
-    return j.select(id_col, *strata, "t", (h_at * F.col("ph")).alias("cum_hazard"),
-                    F.exp(-h_at * F.col("ph")).alias("survival"))
+    else:
+        # hazards only grow, so the last one up to a time is the largest
+        at = base.groupBy(*strata).agg(F.array(*[
+            F.struct(F.lit(float(t)).alias("t"), F.coalesce(F.max(F.when(F.col("t") <= t, F.col("cum_h0"))), F.lit(0.0)).alias("_h"))
+            for t in times]).alias("_at"))
+        j = subj.join(at, list(strata)) if strata else subj.withColumn("_at", at.select("_at").scalar())
+        j = j.select(id_col, *strata, "ph", F.inline("_at"))
+    return j.select(id_col, *strata, "t", (F.col("_h") * F.col("ph")).alias("cum_hazard"),
+                    F.exp(-F.col("_h") * F.col("ph")).alias("survival"))
 
 
 def expected_lifetime(df: DataFrame, id_col: str, covariates, beta, means, base: DataFrame,
                       strata: Sequence[str] = ()) -> DataFrame:
     """Trapezoid area under each subject's survival curve over the
-    baseline time grid (computed on the row with array functions; the
-    grid is per stratum and bounded by distinct times)."""
+    baseline time grid, block by block (array functions); a block begins at the
+    last point of the one before.  ``id_col`` is unique."""
     ph = F.exp(linear_predictor(covariates, beta, means))
-    j = _attach_curve(df.select(id_col, *strata, ph.alias("ph")), base, strata)
+    curves = _Curves.of(base, strata)
+    j = curves.every(df.select(id_col, *strata, ph.alias("ph")))
     c = F.col("_curve")
+    if curves.directory is not None:
+        before = curves.base.groupBy(*strata, BLOCK).agg(F.max_by(F.struct("t", "cum_h0"), "t").alias("_end"))
+        before = before.select(*strata, BLOCK, F.lag("_end").over(Window.partitionBy(*strata).orderBy(BLOCK)).alias("_end"))
+        j = j.join(before, [*strata, BLOCK])
+        j = j.withColumn("_curve", F.when(F.col("_end").isNull(), c).otherwise(F.concat(F.array("_end"), c)))
     n = F.size(c)
     area = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0.0),
                        lambda acc, i: acc + F.when(n > 1, (c[i]["t"] - c[i - 1]["t"]) *
                                                    (F.exp(-c[i]["cum_h0"] * F.col("ph")) + F.exp(-c[i - 1]["cum_h0"] * F.col("ph"))) / 2)
                        .otherwise(F.lit(0.0)))
-    return j.select(id_col, *strata, area.alias("expected_lifetime"))
+    j = j.select(id_col, *strata, area.alias("expected_lifetime"))
+    if curves.directory is not None:
+        j = j.groupBy(id_col, *strata).agg(F.sum("expected_lifetime").alias("expected_lifetime"))
+    return j
 
 
 def percentile_lifetime(df: DataFrame, id_col: str, covariates, beta, means, base: DataFrame,
                         strata: Sequence[str] = (), p: float = 0.5) -> DataFrame:
     """First baseline time where the subject's survival <= p (null = never)."""
     ph = F.exp(linear_predictor(covariates, beta, means))
-    j = _attach_curve(df.select(id_col, *strata, ph.alias("ph")), base, strata)
-    hit = F.filter(F.col("_curve"), lambda s: F.exp(-s["cum_h0"] * F.col("ph")) <= F.lit(p))
-    return j.select(id_col, *strata, F.when(F.size(hit) > 0, hit[0]["t"]).alias(f"t_{int(round(p * 100))}"))
+    name = f"t_{int(round(p * 100))}"
+    j = _Curves.of(base, strata).first_time(df.select(id_col, *strata, ph.alias("_ph")),
+                                            lambda h: F.exp(-h * F.col("_ph")) <= F.lit(p), name)
+    return j.select(id_col, *strata, name)
+
+
+def _censored(df: DataFrame, id_col: str, duration: str, event: str, covariates, beta, means, curves: _Curves) -> DataFrame:
+    """Censored subjects: hazard ratio and own baseline hazard as-of their duration."""
+    ph = F.exp(linear_predictor(covariates, beta, means))
+    subj = df.where(F.col(event) == 0).select(id_col, *curves.strata, F.col(duration).cast("double").alias("_T"), ph.alias("_ph"))
+    return curves.hazard_at(subj, "_T", "_h_own")
+
+
+def _conditional(h):
+    """min(1, S(t) / S(T)) of a censored subject at the cumulative baseline hazard ``h``."""
+    return F.least(F.lit(1.0), F.exp(-h * F.col("_ph")) / F.exp(-F.col("_h_own") * F.col("_ph")))
 
 
 def conditional_survival(df: DataFrame, id_col: str, duration: str, event: str, covariates, beta, means,
                          base: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
     """For censored subjects, S(t) and min(1, S(t) / S(T_i)) where
     S(T_i) is the subject's own curve as-of its duration."""
-    cens = df.where(F.col(event) == 0)
-    ph = F.exp(linear_predictor(covariates, beta, means))
-    subj = cens.select(id_col, *strata, F.col(duration).cast("double").alias("_T"), ph.alias("ph"))
-    j = _attach_curve(subj, base, strata)
-    h_own = F.aggregate(F.col("_curve"), F.lit(0.0), lambda acc, s: F.when(s["t"] <= F.col("_T"), s["cum_h0"]).otherwise(acc))
-    j = j.select("*", h_own.alias("_h_own"), F.explode("_curve").alias("_c"))
-    s = F.exp(-F.col("_c.cum_h0") * F.col("ph"))
-    s_own = F.exp(-F.col("_h_own") * F.col("ph"))
-    return j.select(id_col, *strata, F.col("_c.t").alias("t"), s.alias("survival"),
-                    F.least(F.lit(1.0), s / s_own).alias("survival_cond"))
-
-
-def conditional_quantiles(cond: DataFrame, id_col: str, levels=(0.5, 0.75)) -> DataFrame:
-    """First time the conditional curve is <= each level (null = never)."""
-    return cond.groupBy(id_col).agg(*[F.min(F.when(F.col("survival_cond") <= lv, F.col("t"))).alias(f"t_{int(lv * 100)}")
-                                      for lv in levels])
+    curves = _Curves.of(base, strata)
+    j = curves.every(_censored(df, id_col, duration, event, covariates, beta, means, curves))
+    j = j.select("*", F.explode("_curve").alias("_c"))
+    h = F.col("_c.cum_h0")
+    return j.select(id_col, *strata, F.col("_c.t").alias("t"), F.exp(-h * F.col("_ph")).alias("survival"),
+                    _conditional(h).alias("survival_cond"))
+
+
+def conditional_quantiles(df: DataFrame, id_col: str, duration: str, event: str, covariates, beta, means,
+                          base: DataFrame, strata: Sequence[str] = (), levels=(0.5, 0.75)) -> DataFrame:
+    """For censored subjects, the first time whose conditional survival
+    (K29) is <= each level (null = never); looked up, without their curves."""
+    curves = _Curves.of(base, strata)
+    j = _censored(df, id_col, duration, event, covariates, beta, means, curves)
+    names = [f"t_{int(lv * 100)}" for lv in levels]
+    for lv, name in zip(levels, names, strict=True):
+        j = curves.first_time(j, lambda h, lv=lv: _conditional(h) <= F.lit(lv), name)
+    return j.select(id_col, *names)
 
 
 def covariate_profiles(base: DataFrame, covariates, beta, means, column: str, values: Sequence[float],
@@ -309,10 +370,8 @@ def _risk_means(df: DataFrame, duration: str, event: str, covariates, beta, mean
     tt = df.groupBy(*strata, F.col(duration).cast("double").alias("t")).agg(
         F.count_if(F.col(event) == 1).alias("d"), F.sum(w).alias("w0"), F.sum(ev).alias("b0"),
         *[F.sum(w * x).alias(f"w1_{j}") for j, x in enumerate(xs)], *[F.sum(ev * x).alias(f"b1_{j}") for j, x in enumerate(xs)])
-    part = Window.partitionBy(*strata) if strata else Window.partitionBy()
-    down = part.orderBy(F.desc("t")).rowsBetween(UNB_PRE, 0)
-    r = tt.select(*strata, "t", "d", "b0", *[f"b1_{j}" for j in p], F.sum("w0").over(down).alias("R0"),
-                  *[F.sum(f"w1_{j}").over(down).alias(f"R1_{j}") for j in p])
+    tt, block = in_blocks(cut_lineage(tt), "t")
+    r = running(tt, strata, "t", block, {"R0": "w0"} | {f"R1_{j}": f"w1_{j}" for j in p}, descending=True)
     if ties == "efron":
         sums = F.expr(efron_sums_sql("R0", "b0", "d"))
     else:
@@ -322,12 +381,11 @@ def _risk_means(df: DataFrame, duration: str, event: str, covariates, beta, mean
     r = r.withColumn("_s", sums)
     A, B, C, D, E = (F.col("_s")[k] for k in "ABCDE")
     R1, b1 = [F.col(f"R1_{j}") for j in p], [F.col(f"b1_{j}") for j in p]
-    r = r.select(*strata, "t", A.alias("h"), (A - B).alias("he"),
+    r = r.select(*strata, *block, "t", A.alias("h"), (A - B).alias("he"),
                  *[F.when(F.col("d") > 0, (R1[j] * A - b1[j] * B) / F.col("d")).alias(f"xbar_{j}") for j in p],
                  *[(R1[j] * C - b1[j] * D).alias(f"hm_{j}") for j in p],
                  *[(R1[j] * (C - D) - b1[j] * (D - E)).alias(f"hme_{j}") for j in p])
-    up = part.orderBy("t").rowsBetween(UNB_PRE, 0)
-    return r.select("*", F.sum("h").over(up).alias("C0"), *[F.sum(f"hm_{j}").over(up).alias(f"C1_{j}") for j in p])
+    return running(r, strata, "t", block, {"C0": "h"} | {f"C1_{j}": f"hm_{j}" for j in p}).drop(*block)
 
 
 def martingale_residuals(df: DataFrame, id_col: str, duration: str, event: str, covariates, beta, means,

@@ -99,9 +99,13 @@ def centered_ice(df: DataFrame, ens: Ensemble, id_col: str, feature: str, grid:
     """I16: subtract, per curve, its value at the grid point whose
     quantile position is nearest q (first such point on ties)."""
     anchor = float(min(grid, key=lambda v: (abs(sum(x < v for x in grid) / len(grid) - q), v)))
-    c = ice(df, ens, id_col, feature, grid)
-    at = F.max(F.when(F.col("grid") == F.lit(anchor), F.col("yhat"))).over(Window.partitionBy(id_col))
-    return c.select(id_col, "grid", "yhat", (F.col("yhat") - at).alias("yhat_c"))
+    # the anchor's value is one more prediction of the row itself, so no curve is gathered
+    at = _p(margin_with(ens, lambda f: "`_at`" if f == feature else spark_ref(f)))
+    r = df.withColumn("_at", F.lit(anchor)).select("*", at.alias("_y_at"))
+    g = F.explode(F.array(*[F.lit(float(v)) for v in grid])).alias("_g")
+    y = _p(margin_with(ens, lambda f: "`_g`" if f == feature else spark_ref(f)))
+    c = r.select("*", g).select(id_col, F.col("_g").alias("grid"), y.alias("yhat"), "_y_at")
+    return c.select(id_col, "grid", "yhat", (F.col("yhat") - F.col("_y_at")).alias("yhat_c"))
 
 
 def sample_curves(curves: DataFrame, id_col: str, fraction: float, seed: int = 0) -> DataFrame:

@@ -1,9 +1,9 @@
 """Non-parametric and simple parametric survival.
 
 Plan rule: subjects are aggregated to one row per (group..., t) first
-(partial aggregation, so a hot group is combined map-side); every window
-then runs over distinct times only.  The number of distinct times is the
-size of the time grid (months here), not the number of subjects.
+(partial aggregation, so a hot group is combined map-side).  That table is
+written once; running sums and products go over it in blocks of times
+(``functions/scans``), so times as fine as seconds spread over tasks.
 """
 
 from __future__ import annotations
@@ -13,14 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenura.functions.scans import in_blocks, running
 from tenura.functions.stats import chi2_sf, chi2_sf_df1, tie_sum_sql, z_quantile
-
-UNB_PRE = Window.unboundedPreceding
-UNB_FOL = Window.unboundedFollowing
-
-
-def _w(groups: Sequence[str]):
-    return Window.partitionBy(*groups).orderBy("t") if groups else Window.orderBy("t")
+from tenura.session import cut_lineage
 
 
 def time_counts(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (),
@@ -62,30 +57,37 @@ def event_table_from_counts(tc: DataFrame, groups: Sequence[str] = (), add_origi
                                                       F.lit(0).cast("long").alias("observed"))
         tc = tc.unionByName(origin).groupBy(*groups, "t").agg(
             F.sum("removed").alias("removed"), F.sum("observed").alias("observed"))
-    w = _w(groups)
-    at_risk = F.sum("removed").over(w.rowsBetween(0, UNB_FOL))
-    total = F.sum("removed").over(w.rowsBetween(UNB_PRE, UNB_FOL))
-    first_t = F.min("t").over(w.rowsBetween(UNB_PRE, UNB_FOL))
-    return tc.select(*groups, "t", "removed", "observed",
-                     (F.col("removed") - F.col("observed")).alias("censored"),
-                     F.when(F.col("t") == first_t, total).otherwise(F.lit(0).cast("long")).alias("entrance"),
-                     at_risk.alias("at_risk"))
+    return _event_table(tc, groups)[0].select(*groups, "t", "removed", "observed", "censored", "entrance", "at_risk")
+
+
+def _event_table(tc: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The event table of written counts with its block column, if it has one."""
+    tc, block = in_blocks(cut_lineage(tc), "t")
+    # the first time of a group is the last one from the end
+    r = running(tc.withColumn("_one", F.lit(1)), groups, "t", block, {"at_risk": "removed", "_no": "_one"},
+                totals={"_total": F.col("removed"), "_n": F.lit(1)}, descending=True)
+    return r.select(*groups, *block, "t", "removed", "observed", (F.col("removed") - F.col("observed")).alias("censored"),
+                    F.when(F.col("_no") == F.col("_n"), F.col("_total")).otherwise(F.lit(0).cast("long")).alias("entrance"),
+                    "at_risk"), block
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, groups: Sequence[str] = (),
                  confidence: float = 0.95) -> DataFrame:
     """K1/K2/K7/K8: product-limit curve with Greenwood log(-log) band."""
-    return km_from_event_table(event_table(df, duration, event, groups), groups, confidence)
+    ev, block = _event_table(time_counts(df, duration, event, groups, origin=True), groups)
+    return _product_limit(ev, block, groups, confidence)
 
 
 def km_from_event_table(ev: DataFrame, groups: Sequence[str] = (), confidence: float = 0.95) -> DataFrame:
     """Product-limit curve and band from an event table."""
+    return _product_limit(*in_blocks(cut_lineage(ev), "t"), groups, confidence)
+
+
+def _product_limit(ev: DataFrame, block: Sequence[str], groups: Sequence[str], confidence: float) -> DataFrame:
     z = z_quantile(confidence)
-    cum = _w(groups).rowsBetween(UNB_PRE, 0)
     n, d = F.col("at_risk"), F.col("observed")
-    s = F.product(F.lit(1.0) - d / n).over(cum)
-    gw = F.sum(F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0))).over(cum)
-    out = ev.select(*groups, "t", "at_risk", "observed", "censored", s.alias("survival"), gw.alias("greenwood"))
+    ev = ev.withColumn("_gw", F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0)))
+    out = running(ev, groups, "t", block, {"greenwood": "_gw"}, {"survival": F.lit(1.0) - d / n})
     ln_s = F.log(F.col("survival"))
     theta = F.lit(z) * F.sqrt(F.col("greenwood")) / ln_s
     valid = (F.col("survival") > 0) & (F.col("survival") < 1)
@@ -134,12 +136,10 @@ def nelson_aalen(df: DataFrame, duration: str, event: str, groups: Sequence[str]
                  confidence: float = 0.95) -> DataFrame:
     """Tie-corrected cumulative hazard and log-transformed band."""
     z = z_quantile(confidence)
-    ev = event_table(df, duration, event, groups)
-    inc = ev.select(*groups, "t", "at_risk", "observed", F.expr(tie_sum_sql("at_risk", "observed", 1)).alias("dh"),
+    ev, block = _event_table(time_counts(df, duration, event, groups, origin=True), groups)
+    inc = ev.select(*groups, *block, "t", "at_risk", "observed", F.expr(tie_sum_sql("at_risk", "observed", 1)).alias("dh"),
                     F.expr(tie_sum_sql("at_risk", "observed", 2)).alias("dv"))
-    cum = _w(groups).rowsBetween(UNB_PRE, 0)
-    out = inc.select(*groups, "t", "at_risk", "observed", "dh",
-                     F.sum("dh").over(cum).alias("cum_hazard"), F.sum("dv").over(cum).alias("variance"))
+    out = running(inc, groups, "t", block, {"cum_hazard": "dh", "variance": "dv"})
     h = F.col("cum_hazard")
     band = F.lit(z) * F.sqrt(F.col("variance")) / h
     return out.select(*groups, "t", "at_risk", "observed", "dh", "cum_hazard", "variance",
@@ -173,14 +173,14 @@ def logrank_two_sample(df: DataFrame, duration: str, event: str, group_a: Column
                        confidence: float = 0.95) -> DataFrame:
     """Two-sample log-rank; group A = rows where ``group_a`` is true.
 
-    One groupBy(t) with conditional counts, one window over distinct
-    times, one final aggregate.  ``hazard_ratio`` uses the signed root z;
+    One groupBy(t) with conditional counts, running sums over blocks of
+    distinct times, one final aggregate.  ``hazard_ratio`` uses the signed root z;
     ``hazard_ratio_chi2_form`` reproduces the reference's use of chi2."""
     tc = df.groupBy(F.col(duration).alias("t")).agg(
         F.count(F.lit(1)).alias("r"), F.sum(F.col(event).cast("long")).alias("d"),
         F.count_if(group_a).alias("r1"), F.sum(F.when(group_a, F.col(event)).otherwise(0).cast("long")).alias("d1"))
-    w = Window.orderBy("t").rowsBetween(0, UNB_FOL)
-    per_t = tc.select("t", "d", "d1", F.sum("r").over(w).alias("n"), F.sum("r1").over(w).alias("n1"))
+    tc, block = in_blocks(cut_lineage(tc), "t")
+    per_t = running(tc, [], "t", block, {"n": "r", "n1": "r1"}, descending=True)
     n, d, n1, d1 = (F.col(c).cast("double") for c in ("n", "d", "n1", "d1"))
     e1 = d * n1 / n
     v = F.when(n > 1, d * (n1 / n) * (F.lit(1.0) - n1 / n) * (n - d) / (n - 1)).otherwise(F.lit(0.0))
@@ -212,12 +212,9 @@ def logrank_k_sample(df: DataFrame, duration: str, event: str, group: str) -> Da
     codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(lv)], tc.select(group, F.lit(0).alias("_g")).schema)
     wide = (tc.join(codes, group).groupBy("t").pivot("_g", list(range(k)))
             .agg(F.sum("removed").alias("r"), F.sum("observed").alias("d")).fillna(0))
-    w = Window.orderBy("t").rowsBetween(0, UNB_FOL)
-    cols = [F.col("t")]
-    for i in range(k):
-        cols += [F.col(f"{i}_d").cast("double").alias(f"d{i}"),
-                 F.sum(F.col(f"{i}_r")).over(w).cast("double").alias(f"n{i}")]
-    per = wide.select(*cols)
+    wide, block = in_blocks(cut_lineage(wide), "t")
+    per = running(wide, [], "t", block, {f"_n{i}": f"{i}_r" for i in range(k)}, descending=True).select(
+        *[F.col(f"{i}_d").cast("double").alias(f"d{i}") for i in range(k)], *[F.col(f"_n{i}").cast("double").alias(f"n{i}") for i in range(k)])
     n = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
     d = sum((F.col(f"d{i}") for i in range(k)), F.lit(0.0))
     per = per.select("*", n.alias("n"), d.alias("d"))

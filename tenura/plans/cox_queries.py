@@ -102,6 +102,15 @@ def k25_subject_curves(spark, sf):
     return finish(cox.subject_curves(d, "account_id", COVS, BETA, m, base, ["contract"]))
 
 
+@_reg("f08_curves_by_subject", "WITH " + _base_sql(["contract"]) + """
+SELECT p.account_id, b.t, round(exp(-b.cum_h0 * p.ph), 6) AS survival
+FROM _ph p JOIN _base b ON p.contract = b.contract ORDER BY p.account_id, b.t""")
+def f08_curves_by_subject(spark, sf):
+    d, m, base = _baseline(spark, sf, ["contract"])
+    c = cox.subject_curves(d, "account_id", COVS, BETA, m, base, ["contract"])
+    return finish(c.select("account_id", "t", "survival").orderBy("account_id", "t"))
+
+
 TIMES = [6.0, 12.0, 24.0, 36.0, 48.0, 60.0, 72.0]
 
 
@@ -162,8 +171,7 @@ SELECT account_id, MIN(CASE WHEN survival_cond <= 0.5 THEN t END) AS t_50, MIN(C
 FROM _cs GROUP BY account_id""")
 def k30_conditional_quantiles(spark, sf):
     d, m, base = _baseline(spark, sf, ["contract"])
-    c = cox.conditional_survival(d, "account_id", "tenure", "event", COVS, BETA, m, base, ["contract"])
-    return cox.conditional_quantiles(c, "account_id", (0.5, 0.75))
+    return cox.conditional_quantiles(d, "account_id", "tenure", "event", COVS, BETA, m, base, ["contract"], (0.5, 0.75))
 
 
 # ---------------------------------------------------------------- K31
