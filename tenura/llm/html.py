@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.llm.scratch import free_name
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -55,11 +56,12 @@ NEIGHBOUR, KIN = 1.0, 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "article", "bad", "good", "link")
+    __slots__ = ("tag", "parent", "depth", "article", "bad", "good", "link", "block")
 
     def __init__(self, tag, parent, attributes):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.block = parent.block if tag in INLINE else self
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         self.bad = bool(parent and parent.bad) or tag in BOILERPLATE
         self.good = bool(parent and parent.good)
@@ -147,9 +149,7 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
                 node = _Node(tag, node, m[3])
                 opened[tag] = opened.get(tag, 0) + 1
         if block:
-            home = node
-            while home.tag in INLINE:
-                home = home.parent
+            home = node.block
     flush()
     return out
 
@@ -183,37 +183,67 @@ def _distance(a: _Node, b: _Node) -> int:
 
 def minimum_cut(evidence: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """Source side of the minimum cut: nodes with source capacity ``e`` (or sink
-    capacity ``-e``) and symmetric edges.  Shortest augmenting paths."""
-    n = len(evidence)
+    capacity ``-e``) and symmetric edges.  Blocking flows: each phase levels
+    the nodes from the source and fills all shortest paths in one walk, so long
+    pages take a few passes over their edges instead of a search a path."""
+    n, tiny = len(evidence), 1e-9
     rest = list(evidence)  # what is left of a node's terminal: source above zero, sink below
-    residual: list[dict[int, float]] = [{} for _ in range(n)]
+    ends: list[int] = []   # an edge's arcs 2k and 2k + 1 are each other's reverse
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in range(n)]
     for (a, b), c in edges.items():
-        residual[a][b] = residual[a].get(b, 0.0) + c
-        residual[b][a] = residual[b].get(a, 0.0) + c
-    tiny = 1e-9
+        arcs[a].append(len(ends))
+        arcs[b].append(len(ends) + 1)
+        ends += (b, a)
+        room += (c, c)
     while True:
-        before = {i: -1 for i in range(n) if rest[i] > tiny}
-        queue, end = deque(before), -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, c in residual[i].items():
-                if c > tiny and j not in before:
-                    before[j] = i
-                    if rest[j] < -tiny:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return [i in before for i in range(n)]
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min([rest[path[-1]], -rest[end], *(residual[b][a] for a, b in zip(path, path[1:]))])
-        rest[path[-1]] -= flow
-        rest[end] += flow
-        for a, b in zip(path, path[1:]):
-            residual[b][a] -= flow
-            residual[a][b] = residual[a].get(b, 0.0) + flow
+        sources = [i for i in range(n) if rest[i] > tiny]
+        level = [-1] * n
+        for i in sources:
+            level[i] = 0
+        front, depth, met = sources, 0, False
+        while front and not met:
+            depth += 1
+            reached = []
+            for i in front:
+                for e in arcs[i]:
+                    j = ends[e]
+                    if level[j] < 0 and room[e] > tiny:
+                        level[j] = depth
+                        reached.append(j)
+                        met = met or rest[j] < -tiny
+            front = reached
+        if not met:
+            return [x >= 0 for x in level]
+        tried = [0] * n  # arcs of a node that lead no further in this phase
+        for source in sources:
+            node, path = source, []
+            while rest[source] > tiny:
+                if rest[node] < -tiny:
+                    flow = min(rest[source], -rest[node], min(room[e] for e in path))
+                    rest[source] -= flow
+                    rest[node] += flow
+                    full = len(path)
+                    for k, e in enumerate(path):
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                        if room[e] <= tiny and k < full:
+                            full = k
+                    if full < len(path):  # go on from where the path is full
+                        node = ends[path[full] ^ 1]
+                        del path[full:]
+                    continue
+                own = arcs[node]
+                while tried[node] < len(own) and not (room[own[tried[node]]] > tiny and level[ends[own[tried[node]]]] == level[node] + 1):
+                    tried[node] += 1
+                if tried[node] < len(own):
+                    path.append(own[tried[node]])
+                    node = ends[path[-1]]
+                elif path:
+                    node = ends[path.pop() ^ 1]
+                    tried[node] += 1
+                else:
+                    break
 
 
 def main_text(page: str | None) -> str:
@@ -239,7 +269,9 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "main_text") -> DataFrame:
-    """``pages`` without the ``html`` column, with the main text as ``text``."""
+    """``pages`` without the ``html`` column, with the main text as ``text``
+    (lengthened by ``_`` where another column has that name)."""
+    text = free_name(pages.drop(html), text)
     at = pages.columns.index(html)
     d = pages.withColumn(html, F.col(html).cast("string"))
     rest = [c for c in pages.columns if c != html]
