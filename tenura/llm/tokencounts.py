@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.scratch import stored
+from tenura.llm.scratch import free_name, stored
 from tenura.llm.tokens import SPACES, encoder, vocabulary
 
 #: Pre-token pieces of a fresh leaf.
@@ -82,30 +82,38 @@ def _heap(leaves: Sequence[int]) -> np.ndarray:
 
 
 def edit(text: str, tree: Tree, edits: Sequence[tuple[int, int, str]], own) -> tuple[str, int]:
-    """Apply (place, length, replacement) edits; the text after, and the tokens encoded anew."""
+    """Apply (place, length, replacement) edits; the text after, and the tokens
+    encoded anew.  The text is taken apart into its leaves once and put
+    together once, so an edit costs what the leaves it touches hold."""
+    ends = np.cumsum(tree.chars[tree.width:]).tolist()
+    leaves = [text[a:b] for a, b in zip([0, *ends], ends)]
     encoded = 0
+
+    def beside(leaf: int, step: int) -> int | None:
+        """The next leaf that is not empty."""
+        leaf += step
+        while 0 <= leaf < len(leaves):
+            if leaves[leaf]:
+                return leaf
+            leaf += step
+        return None
+
     for place, length, new in sorted(edits, reverse=True):  # from the end, so that places stay true
         first, begin = tree.leaf(place)
-        last, end = tree.leaf(max(place, place + length - 1))
-        end += int(tree.chars[tree.width + last])
-        if place == begin and first:  # what goes before is context of an insertion at a cut
-            while first and (place == begin or not tree.chars[tree.width + first]):
-                first -= 1
-                begin -= int(tree.chars[tree.width + first])
-                if tree.chars[tree.width + first]:
-                    break
-        region = text[begin:place] + new + text[place + length:end]
+        last, _ = tree.leaf(max(place, place + length - 1))
+        if place == begin:  # what goes before is context of an insertion at a cut
+            before = beside(first, -1)
+            if before is not None:
+                first, begin = before, begin - len(leaves[before])
+        region = "".join(leaves[first:last + 1])
+        region = region[:place - begin] + new + region[place - begin + length:]
         # a cut is good between a character that is no space and one that is
-        while end < len(text) and (not region or _SPACE.match(region[-1]) or not _SPACE.match(text[end])):
-            last += 1
-            more = int(tree.chars[tree.width + last])
-            region += text[end:end + more]
-            end += more
-        while begin and (not region or not _SPACE.match(region[0]) or _SPACE.match(text[begin - 1])):
-            first -= 1
-            more = int(tree.chars[tree.width + first])
-            region = text[begin - more:begin] + region
-            begin -= more
+        while (after := beside(last, 1)) is not None and (
+                not region or _SPACE.match(region[-1]) or not _SPACE.match(leaves[after][0])):
+            region, last = region + leaves[after], after
+        while (before := beside(first, -1)) is not None and (
+                not region or not _SPACE.match(region[0]) or _SPACE.match(leaves[before][-1])):
+            region, first = leaves[before] + region, before
         pieces = _PIECE.findall(region)
         per = -(-len(pieces) // (last - first + 1)) if pieces else 1
         for k, leaf in enumerate(range(first, last + 1)):
@@ -113,25 +121,32 @@ def edit(text: str, tree: Tree, edits: Sequence[tuple[int, int, str]], own) -> t
             n = len(own.ids(part))
             encoded += n
             tree.put(leaf, len(part), n)
-        text = text[:begin] + region + text[end:]
-    return text, encoded
+            leaves[leaf] = part
+    return "".join(leaves), encoded
+
+
+def tree_names(docs: DataFrame) -> tuple[str, str]:
+    """The columns that ``count`` adds: __chars and __tokens, lengthened by
+    ``_`` where ``docs`` has such columns."""
+    return free_name(docs, "__chars"), free_name(docs, "__tokens")
 
 
 def count(docs: DataFrame, text: str = "text", vocab: str | None = None) -> DataFrame:
-    """``docs`` with the trees as columns __chars and __tokens; the whole text's
-    tokens are the root, __tokens[1]."""
+    """``docs`` with the trees as columns (``tree_names``); the whole text's
+    tokens are the root, the second entry of the tokens' column."""
     vocab = vocab or vocabulary()
     at = docs.columns.index(text)
+    names = tree_names(docs)
 
     def run(batches):
         own = encoder(vocab)
         for batch in batches:
             trees = [Tree.of(t.as_py() or "", own) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(_lists([getattr(t, k) for t in trees]) for k in ("chars", "tokens"))],
-                                             [*batch.schema.names, "__chars", "__tokens"])
+                                             [*batch.schema.names, *names])
 
     empty = F.lit(None).cast("array<int>")
-    return docs.mapInArrow(run, docs.withColumns({"__chars": empty, "__tokens": empty}).schema)
+    return docs.mapInArrow(run, docs.withColumns(dict.fromkeys(names, empty)).schema)
 
 
 def _lists(heaps) -> pa.Array:
@@ -139,14 +154,18 @@ def _lists(heaps) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*heaps, np.zeros(0, np.int64)]).astype(np.int32)))
 
 
-def apply_edits(counted: DataFrame, find, text: str = "text", vocab: str | None = None) -> DataFrame:
+def apply_edits(counted: DataFrame, find, text: str = "text", vocab: str | None = None,
+                tree: Sequence[str] = ("__chars", "__tokens")) -> DataFrame:
     """``counted`` documents after one round of edits, with their trees, and
-    columns __edits and __encoded (edits made, tokens encoded anew).
+    columns __edits and __encoded (edits made, tokens encoded anew; lengthened
+    by ``_`` where there are such columns).
 
-    ``find`` gives the edits (place, length, replacement) of a text."""
+    ``find`` gives the edits (place, length, replacement) of a text, ``tree``
+    names the columns that ``count`` added."""
     vocab = vocab or vocabulary()
     names = counted.columns
-    at, chars, tokens = (names.index(c) for c in (text, "__chars", "__tokens"))
+    at, chars, tokens = (names.index(c) for c in (text, *tree))
+    added = [free_name(counted, c) for c in ("__edits", "__encoded")]
 
     def run(batches):
         own = encoder(vocab)
@@ -154,22 +173,22 @@ def apply_edits(counted: DataFrame, find, text: str = "text", vocab: str | None
             texts, trees, made, encoded = [], [], [], []
             for t, c, k in zip(batch.column(at), batch.column(chars), batch.column(tokens), strict=True):
                 t, n = t.as_py(), 0
-                tree = Tree(*(x.values.to_numpy().astype(np.int64) for x in (c, k)))
+                heaps = Tree(*(x.values.to_numpy().astype(np.int64) for x in (c, k)))
                 edits = list(find(t or ""))
                 if edits:
-                    t, n = edit(t or "", tree, edits, own)
+                    t, n = edit(t or "", heaps, edits, own)
                 texts.append(t)
-                trees.append(tree)
+                trees.append(heaps)
                 made.append(len(edits))
                 encoded.append(n)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             columns[chars], columns[tokens] = (_lists([getattr(x, k) for x in trees]) for k in ("chars", "tokens"))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.int64()), pa.array(encoded, pa.int64())],
-                                             [*names, "__edits", "__encoded"])
+                                             [*names, *added])
 
     n = F.lit(0).cast("long")
-    return counted.mapInArrow(run, counted.withColumns({"__edits": n, "__encoded": n}).schema)
+    return counted.mapInArrow(run, counted.withColumns(dict.fromkeys(added, n)).schema)
 
 
 class Redact:
