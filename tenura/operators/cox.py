@@ -23,6 +23,9 @@ from tenura.functions.stats import Z_95, chi2_sf_df1, efron_sums_sql
 from tenura.operators import risksets
 from tenura.session import cut_lineage
 
+#: Share of a log-likelihood that rounding can change.
+RISE = 1e-12
+
 
 @dataclass
 class CoxFit:
@@ -97,7 +100,9 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             new = beta - step
             ll_new, g_new, H_new = evaluate(new)
             halv = 0
-            while ll_new < ll - 1e-12 and halv < 30:
+            # sums of many rows differ in their last digits: less than RISE of the whole is no fall;
+            # a step so long that its sums overflow has no likelihood at all
+            while not ll_new >= ll - RISE * abs(ll) and halv < 30:
                 step = step / 2
                 new = beta - step
                 ll_new, g_new, H_new = evaluate(new)

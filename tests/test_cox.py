@@ -225,3 +225,26 @@ def test_tie_sums_in_closed_form(spark):
                      F.expr(stats.efron_sums_sql("CAST(n AS DOUBLE)", "CAST(d AS DOUBLE)", "d")).alias("e")).first()
     assert got["a"] == pytest.approx(np.log(1.5), rel=1e-8) and got["b"] == pytest.approx(1 / 2e9 - 1 / 3e9, rel=1e-8)
     assert got["e"]["A"] == pytest.approx(np.log(1.5), rel=1e-8)
+
+
+def _concave(calls, noise):
+    """A log-likelihood 1000 b - exp(b), null where it overflows, with wrong last digits."""
+    def evaluate(blocks, beta, ties):
+        b = float(beta[0])
+        calls.append(b)
+        if b > 50:
+            return float("nan"), np.full(1, np.nan), np.full((1, 1), np.nan)
+        ll = 1000 * b - np.exp(b) - 5e4 - noise * len(calls)
+        return ll, np.array([1000 - np.exp(b)]), np.array([[-np.exp(b)]])
+    return evaluate
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-9])
+def test_fit_halves_steps_that_overflow_and_ignores_rounding(spark, monkeypatch, noise):
+    calls = []
+    monkeypatch.setattr(cox.risksets, "evaluate", _concave(calls, noise))
+    df = spark.createDataFrame([(1.0, 1, 0.0), (2.0, 1, 1.0)], "t double, e int, x double")
+    f = cox.cox_fit(df, "t", "e", ["x"])
+    assert f.beta[0] * np.sqrt(0.5) == pytest.approx(np.log(1000))  # beta is of the standardised x
+    assert np.isfinite(f.loglik) and max(calls) > 50
+    assert len(calls) <= 4 + 5 + f.n_iter  # the overflow's halvings, and none for the last digits
