@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from tenura.functions.ordinal import global_prefix_sums
 from tenura.operators.features import hash_fraction
 from tenura.operators.metrics import threshold_bands, threshold_counts
-from tenura.session import cut_lineage, ensure_checkpoint_dir
+from tenura.session import cut_lineage, ensure_checkpoint_dir, spread
 
 #: Split points tried for a feature, at most; fewer where it has fewer values.
 EDGES = 63
 #: Rows of a block.
 BLOCK = 1 << 16
 CHECKPOINT = 25
+#: Rows for which a pass of their own pays a task.
+TASK_ROWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -138,11 +140,13 @@ class Binned:
 
 def binned(df: DataFrame, features: Sequence[str], label: str, fold: str | Column | None = None, most: int = EDGES) -> Binned:
     """``df`` with every feature as the number of split points below its value;
-    ``fold`` has the rows' folds, or their keys for draws."""
+    ``fold`` has the rows' folds, or their keys for draws.  Rows are dealt over
+    the slots by a hash of all that a block keeps of them."""
     edges = split_points(df, features, most)
     kind = np.uint8 if all(len(e) < 256 for e in edges) else np.int32
     d = df.select(*[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)],
                   F.col(f"`{label}`").cast("double").alias("y"), (F.lit(-1) if fold is None else F.col(fold) if isinstance(fold, str) else fold).cast("long").alias("fold"))
+    d = spread(d.withColumn("place", F.xxhash64(*d.columns)), "place", TASK_ROWS).drop("place")
 
     def pack(batches):
         for batch in batches:
@@ -252,6 +256,10 @@ def fit(data: Binned, boosters: Sequence[Booster]):
         for b, tree in zip(boosters, trees):
             if tree is not None:
                 b.grown.append(tree)
+        if t == max(b.trees for b in boosters):
+            # the last margins are made while those before are there: else each of the steps since
+            # the last checkpoint runs again, with a Python worker of its own in every task
+            state.count()
         if t:
             old.unpersist()
     return state

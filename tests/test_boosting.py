@@ -127,3 +127,30 @@ def test_sweep_refits_every_trial(spark, table):
                 assert r[f"{c}_{n}"] == pytest.approx(np.quantile(curves[:, k, j], q)), (k, c, n)
     drawn = np.array(drawn)
     assert abs(drawn.mean() - share) < 0.05 and len({d.tobytes() for d in drawn}) == trials and (drawn.sum(0) > 1).any()
+
+
+def test_last_margins_are_made_once(spark, table):
+    """The margins that ``fit`` returns are stored, not left to a chain of steps since the last checkpoint."""
+    d, x, _ = table
+    data = bo.binned(d, NAMES, "y", "fold")
+    state = bo.fit(data, [bo.Booster(4, 2, left_out=0), bo.Booster(3, 2)])
+    stored = {i.id(): i.numCachedPartitions() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+    assert stored.get(state.id()) == state.getNumPartitions()
+    assert sum(len(s[1]) for s in state.collect()) == len(x)
+
+
+def test_rows_for_many_tasks_are_dealt_over_slots(spark, monkeypatch):
+    from tenura.session import spread
+    d = spark.range(1000).coalesce(1)
+    got = spread(d, "id", 200).rdd.glom().map(lambda p: [r[0] for r in p]).collect()
+    assert len(got) == min(spark.sparkContext.defaultParallelism, 5) and all(p == sorted(p) for p in got)
+    assert sorted(sum(got, [])) == list(range(1000))
+    assert spread(d, "id", 1000) is d
+    plain = bo.binned(d.select("id", (F.col("id") % 2).alias("y")), ["id"], "y")
+    monkeypatch.setattr(bo, "TASK_ROWS", 200)
+    dealt = bo.binned(d.select("id", (F.col("id") % 2).alias("y")), ["id"], "y")
+    assert plain.blocks.getNumPartitions() == 1 < dealt.blocks.getNumPartitions()
+    a, b = bo.Booster(5, 2), bo.Booster(5, 2)
+    bo.fit(plain, [a])
+    bo.fit(dealt, [b])
+    assert np.allclose(a.gains(1), b.gains(1))
