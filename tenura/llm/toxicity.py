@@ -10,16 +10,19 @@ Thresholds are calibrated by language on rows left out of the fit; the language
 is guessed from the text's own function words, and the threshold is shifted to
 a score of 0.5.  Score inputs are the text's words alone.
 
-The fit sees a bounded sample of labelled rows (``SAMPLE`` of each label, in
-hash order, shorter than ``LONGEST`` characters); scoring is one scan over all
-whole texts with the weights, a fixed-size array, broadcast.  A null or empty
-text has no words and gets the score of the bias.  Labels that are null, or
-that belong to no document, are ignored; without both labels every score is
-the share of toxic rows (0 where there is none).
+The fit sees every labelled row that may be learnt from.  Rows are dealt into
+lots of about ``LOT`` by a hash; in each epoch every lot goes on from the common
+weights, and the lots' moves are averaged (an embedding's over the lots that moved
+it), so one lot is a plain fit.  Log odds and calibration are sums over all lots.
+Scoring is one scan over all whole texts with the weights, a fixed-size array,
+broadcast.  A null or empty text has no words and gets the score of the bias.
+Labels that are null, or that belong to no document, are ignored; without both
+labels every score is the share of toxic rows (0 where there is none).
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.llm.scratch import stored
 from tenura.llm.texts import chunks, mix, span_names, utf8, word_spans
 
-#: Labelled rows fitted, at most so many of each label, and their longest text.
-SAMPLE, LONGEST = 2500, 60_000
+#: Labelled rows of a lot, about.
+LOT = 4096
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 12, (1, 2, 3)
 #: Leading bytes of a word that have embeddings of their own; 0 is the whole word.
 STEMS = (0, 4, 5, 6)
@@ -41,6 +45,8 @@ SEEN, SHRINK = 5, 5.0
 ALARM = 3.0
 #: One labelled row in FOLDS of the fit's own rows calibrates thresholds.
 FOLDS = 4
+#: Margins are counted in cells of 1 / CELLS from -EDGE to EDGE, where scores end.
+CELLS, EDGE = 1000, 30
 
 #: Function words that tell the languages apart.
 LANGUAGES = {
@@ -131,23 +137,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margins - self.thresholds[language], -30, 30).astype(float)))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, language: np.ndarray, calibrates: np.ndarray) -> Model:
-    """Fit to rows of feature buckets; the marked rows calibrate thresholds."""
+def _seen(rows, label, calibrates):
+    """Sums over rows: (rows of each label, fitted rows of each label, fitted rows of each label with each bucket)."""
+    every, n, seen = np.zeros(2, np.int64), np.zeros(2, np.int64), np.zeros((2, BUCKETS + 1))
+    for r, y, held in zip(rows, np.asarray(label).tolist(), calibrates):
+        every[y] += 1
+        if not held:
+            n[y] += 1
+            seen[y][np.unique(r)] += 1
+    return every, n, seen
+
+
+def _start(every, n, seen) -> tuple[Model, np.ndarray]:
+    """The model before its fit, and the buckets that are too rare to learn."""
     rng = np.random.default_rng(17)
-    share = float(label.mean()) if len(label) else 0.0
     embed = (rng.standard_normal((BUCKETS + 1, DIM)) * 0.05).astype(np.float32)
     filters = [(rng.standard_normal((w, DIM, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
     m = Model(embed, filters, np.zeros((len(WIDTHS), FILTERS), np.float32),
               np.full(len(WIDTHS) * FILTERS, 0.05, np.float32), -1.0, np.zeros(len(LANGUAGES), np.float32))
-    own = np.flatnonzero(~calibrates)
-    if len(set(label[own].tolist())) < 2:
-        m.constant = share
-        return m
+    if not n.all():
+        m.constant = float(every[1] / every.sum()) if every.sum() else 0.0
+        return m, np.ones(BUCKETS + 1, bool)
     # log odds of each bucket's presence start the first dimension
-    seen = np.zeros((2, BUCKETS + 1))
-    for r in own:
-        seen[int(label[r])][np.unique(rows[r])] += 1
-    n = [max(1, int((label[own] == y).sum())) for y in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds *= seen.sum(0) / (seen.sum(0) + SHRINK)
     embed[:, 0] = np.clip(odds, -4, 4) / 4
@@ -157,16 +168,69 @@ def fit(rows: list[np.ndarray], label: np.ndarray, language: np.ndarray, calibra
     embed[rare] = 0
     for f in filters:
         f[:, 0] = np.abs(f[:, 0]) + 0.3
-    size = np.full(BUCKETS + 1, 0.1, np.float32)  # AdaGrad's sums, one for each embedding
-    sums = [np.full_like(f, 0.1) for f in filters], np.full_like(m.bias, 0.1), np.full_like(m.weights, 0.1)
-    weight = {0: 0.5 * len(own) / n[0], 1: 0.5 * len(own) / n[1]}
-    for _ in range(EPOCHS):
-        for r in rng.permutation(own).tolist():
-            _step(m, rows[r], int(label[r]), weight[int(label[r])], size, sums, rare)
-    _calibrate(m, rows, label, language, calibrates)
+    return m, rare
+
+
+def _sizes(m: Model) -> list[np.ndarray]:
+    """AdaGrad's sums: one for each embedding, then those of filters, bias and weights."""
+    return [np.full(BUCKETS + 1, 0.1, np.float32), *(np.full_like(x, 0.1) for x in (*m.filters, m.bias, m.weights))]
+
+
+def _moves(m: Model, sizes, rare, weight, rows, label, calibrates, seed) -> list[np.ndarray]:
+    """One epoch over a lot's fitted rows from the given weights: what it moves,
+    times its rows where lots share all of a value, in the order of ``_moved``."""
+    own = np.flatnonzero(~np.asarray(calibrates, bool))
+    new = Model(m.embed.copy(), [f.copy() for f in m.filters], m.bias.copy(), m.weights.copy(), m.offset, m.thresholds)
+    size, *sums = (x.copy() for x in sizes)
+    for r in np.random.default_rng(seed).permutation(own).tolist():
+        _step(new, rows[r], int(label[r]), weight[int(label[r])], size, (sums[:-2], sums[-2], sums[-1]), rare)
+    pairs = [*zip(new.filters, m.filters), (new.bias, m.bias), (new.weights, m.weights), (new.offset, m.offset), *zip(sums, sizes[1:])]
+    return [np.array(len(own)), (size != sizes[0]).astype(np.int32), new.embed - m.embed, size - sizes[0],
+            *(np.asarray(x - y, float) * len(own) for x, y in pairs)]
+
+
+def _moved(m: Model, sizes, moves) -> None:
+    """Add the lots' average moves to the weights."""
+    n, lots, embed, size, *rest = moves
+    n, lots = max(int(n), 1), np.maximum(lots, 1).astype(np.float32)
+    m.embed += embed / lots[:, None]
+    sizes[0] += size / lots
+    k = len(m.filters)
+    for value, move in zip((*m.filters, m.bias, m.weights), rest):
+        value += (move / n).astype(np.float32)
+    m.offset += float(rest[k + 2] / n)
+    for value, move in zip(sizes[1:], rest[k + 3:]):
+        value += (move / n).astype(np.float32)
+
+
+def _cells(m: Model, rows, label, language, calibrates) -> np.ndarray:
+    """Calibrating rows by language, label and cell of their margin."""
+    counts = np.zeros((len(LANGUAGES), 2, 2 * EDGE * CELLS + 1), np.int64)
+    for r in np.flatnonzero(calibrates):
+        z = float(m.margins(rows[r], np.array([0, len(rows[r])]))[0])
+        counts[language[r], int(label[r]), int(round((min(max(z, -EDGE), EDGE) + EDGE) * CELLS))] += 1
+    return counts
+
+
+def _fit(lots) -> Model:
+    """Fit to lots; ``lots(f)`` has the added arrays of f(lot number, rows, label, language, calibrates) of all lots."""
+    every, n, seen = lots(lambda lot, rows, label, language, held: _seen(rows, label, held))
+    m, rare = _start(every, n, seen)
+    if m.constant is not None:
+        return m
+    sizes, weight = _sizes(m), (0.5 * n.sum() / n).tolist()
+    for epoch in range(EPOCHS):
+        _moved(m, sizes, lots(lambda lot, rows, label, language, held: _moves(m, sizes, rare, weight, rows, label, held, [17, epoch, lot])))
+    (counts,) = lots(lambda lot, rows, label, language, held: [_cells(m, rows, label, language, held)])
+    _calibrate(m, counts)
     return m
 
 
+def fit(rows: list[np.ndarray], label: np.ndarray, language: np.ndarray, calibrates: np.ndarray) -> Model:
+    """Fit to rows of feature buckets as one lot; the marked rows calibrate thresholds."""
+    return _fit(lambda f: f(0, rows, label, language, calibrates))
+
+
 def _step(m: Model, buckets, y, weight, size, sums, rare):
     """One AdaGrad step on one row."""
     if not len(buckets):
@@ -209,61 +273,96 @@ def _step(m: Model, buckets, y, weight, size, sums, rare):
     m.embed[moved] -= RATE * total / np.sqrt(size[moved])[:, None]
 
 
-def _calibrate(m: Model, rows, label, language, calibrates):
-    """Thresholds that err least on the rows left out: one over all, and one for
-    each language that has enough of them, halfway between the labels' margins."""
-    held = np.flatnonzero(calibrates)
-    if not len(held):
-        return
-    margin = np.array([float(m.margins(rows[r], np.array([0, len(rows[r])]))[0]) for r in held])
-    truth = label[held].astype(bool)
-
-    def best(z, y):
-        cuts = np.unique(z)
-        cuts = np.concatenate(([cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]))
-        wrong = [(y & (z < c)).sum() / max(1, y.sum()) + ALARM * (~y & (z >= c)).sum() / max(1, (~y).sum()) for c in cuts]
-        lowest = np.flatnonzero(np.array(wrong) <= min(wrong) + 1e-9)
+def _calibrate(m: Model, counts: np.ndarray):
+    """Thresholds that err least on the rows left out (counts by language, label and cell):
+    one over all, and one for each language that has enough of them, halfway between the labels' margins."""
+    def best(n):
+        at = np.flatnonzero(n.sum(0))
+        z = at / CELLS - EDGE
+        cuts = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
+        below = np.concatenate(([[0], [0]], np.cumsum(n[:, at], 1)), 1)  # clean and toxic rows below each cut
+        wrong = below[1] / max(1, below[1, -1]) + ALARM * (below[0, -1] - below[0]) / max(1, below[0, -1])
+        lowest = np.flatnonzero(wrong <= wrong.min() + 1e-9)
         return float(cuts[lowest[len(lowest) // 2]])
 
-    if truth.any() and not truth.all():
-        m.thresholds[:] = best(margin, truth)
+    if counts.sum((0, 2)).all():
+        m.thresholds[:] = best(counts.sum(0))
         for k in range(len(LANGUAGES)):
-            own = language[held] == k
-            if truth[own].sum() >= 10 and (~truth[own]).sum() >= 10:
-                m.thresholds[k] = best(margin[own], truth[own])
+            if (counts[k].sum(1) >= 10).all():
+                m.thresholds[k] = best(counts[k])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``sample`` rows of each label that may be
-    learnt from: crc32(doc_id) mod 5 is not 0."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int | None = None, lots: int | None = None) -> DataFrame:
+    """(doc_id, text, toxic) of the rows that may be learnt from: crc32(doc_id) mod 5
+    is not 0.  With ``sample``, of at most so many ids of each label; with ``lots``,
+    in so many partitions by the id, which the join needs anyway."""
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-             .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-             .where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-             .withColumn("key", F.xxhash64("doc_id")))
-    # two bounded lists of ids, so the texts aren't shuffled for them
-    ids = [known.where(F.col("toxic") == y).orderBy("key").limit(sample).select("doc_id", "toxic") for y in (0, 1)]
-    d = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= LONGEST)
-    return d.join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Collect the bounded sample as feature buckets and fit."""
+             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+             .where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0))
+    if sample is not None:
+        parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id")).limit(sample) for y in (0, 1)]
+        known = parts[0].union(parts[1])
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if lots is not None:
+        d = d.where(F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0))
+        d, known = d.repartition(lots, "doc_id"), known.repartition(lots, "doc_id")
+    return d.join(known, "doc_id").select("doc_id", "text", "toxic")
+
+
+def _lots(rows: DataFrame) -> DataFrame:
+    """Training rows as pickled lots, written once: (number, buckets of each row,
+    label, language, calibrates).  A lot is a partition's rows by their id, or
+    2 LOT of them.  Buckets are kept in 16 bits, with a bit for those that are nothing."""
     def run(batches):
+        def done():
+            ids = np.array(doc, np.int64).astype(np.uint64)
+            block = int(ids[0]), kept, np.array(label), np.array(language), mix(ids) % np.uint64(FOLDS) == 0
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+        kept, label, language, doc = [], [], [], []
         for batch in batches:
             for i, first, buckets, lang in features(batch.column(1)):
                 n = len(lang)
-                flat = pa.array(buckets.ravel())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, n), batch.column(2).slice(i, n).cast(pa.int32()), pa.array(lang.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array((first * len(STEMS)).astype(np.int32)), flat)], ["doc_id", "toxic", "lang", "f"])
-
-    rows = (training_rows(docs, labels, sample).select("doc_id", "text", "toxic")
-            .mapInArrow(run, "doc_id bigint, toxic int, lang int, f array<int>").toArrow().combine_chunks())
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    found = [rows["f"][int(k)].values.to_numpy().reshape(-1, len(STEMS)) for k in order]
-    doc = rows["doc_id"].to_numpy()[order]
-    return fit(found, rows["toxic"].to_numpy()[order], rows["lang"].to_numpy()[order],
-               (mix(doc.astype(np.uint64)) % np.uint64(FOLDS)) == 0)
+                doc += batch.column(0).slice(i, n).to_pylist()
+                label += batch.column(2).slice(i, n).to_pylist()
+                language += lang.tolist()
+                for r in range(n):
+                    own = buckets[first[r]:first[r + 1]]
+                    kept.append((own.astype(np.uint16), np.packbits(own == BUCKETS)))
+                if len(kept) >= 2 * LOT:
+                    yield done()
+                    kept, label, language, doc = [], [], [], []
+        if kept:
+            yield done()
+
+    return stored(rows.sortWithinPartitions("doc_id", "text").mapInArrow(run, "block binary"), "training-lots")
+
+
+def _unpacked(block: bytes):
+    lot, kept, label, language, calibrates = pickle.loads(block)
+    rows = [np.where(np.unpackbits(none, count=b.size).astype(bool).reshape(b.shape), BUCKETS, b.astype(np.int32)) for b, none in kept]
+    return lot, rows, label, language, calibrates
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
+    """Fit to all rows that may be learnt from, lots side by side."""
+    n = training_rows(docs, labels, sample).count()
+    lots = _lots(training_rows(docs, labels, sample, max(1, -(-n // LOT)))).rdd
+
+    def added(f):
+        def part(blocks):
+            total = None
+            for block in blocks:
+                got = f(*_unpacked(block[0]))
+                total = got if total is None else [x + y for x, y in zip(total, got)]
+            if total is not None:
+                yield total
+
+        if lots.isEmpty():
+            return f(0, [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return lots.mapPartitions(part).treeReduce(lambda x, y: [a + b for a, b in zip(x, y)])
+
+    return _fit(added)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

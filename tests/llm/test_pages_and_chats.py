@@ -152,3 +152,20 @@ def test_scores_of_odd_tables(spark):
     some = spark.createDataFrame([(1, None), (9, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
     assert X.score(docs, X.train(docs, some)).count() == 5
     assert X.score(docs.limit(0), X.train(docs, some)).count() == 0
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """No row is left out for its length or its number; lots together count and learn as one does."""
+    rows = [(i, ("bad " if i % 3 == 0 else "good ") + f"w{i % 7} " * (25_000 if i == 1 else 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    learnt = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r["doc_id"] for r in X.training_rows(docs, labels).collect()) == learnt
+    seen, start = [], X._start
+    monkeypatch.setattr(X, "_start", lambda every, *rest: seen.append(every.tolist()) or start(every, *rest))
+    for lot in (4096, 40):
+        monkeypatch.setattr(X, "LOT", lot)
+        got = {r["doc_id"]: r["score"] for r in X.score(docs, X.train(docs, labels)).collect()}
+        assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(300))
+    toxic = sum(i % 3 == 0 for i in learnt)
+    assert seen == [[len(learnt) - toxic, toxic]] * 2
