@@ -220,17 +220,30 @@ def _split(booster: Booster, tree: _Tree, level: int, sums: np.ndarray, offsets:
             tree.value[child], tree.cover[child] = -booster.rate * a / (b + lam), b
 
 
-def fit(data: Binned, boosters: Sequence[Booster]):
+def fit(data: Binned, boosters: Sequence[Booster], resume: bool = False):
     """Grow all boosters; returns the blocks (bins, label, fold, margins), whose
-    margins have a column for each booster."""
+    margins have a column for each booster.  With ``resume`` the trees that
+    boosters have stay and count among theirs."""
     ensure_checkpoint_dir(data.spark)
     offsets, n = data.offsets, len(boosters)
-    for b in boosters:
-        b.grown = []
-    state = data.blocks.map(lambda s: (*s, np.zeros((len(s[1]), n))))
-    for t in range(max(b.trees for b in boosters) + 1):
-        last = [b.grown[t - 1] if 0 < t <= b.trees else None for b in boosters]
-        old, depth = state, [b.depth for b in boosters]
+    if not resume:
+        for b in boosters:
+            b.grown = []
+    begun, depth = [list(b.grown) for b in boosters], [b.depth for b in boosters]
+    steps = max(b.trees - len(have) for b, have in zip(boosters, begun))
+
+    def start(s):
+        bins, y, fold = s
+        margin = np.zeros((len(y), n))
+        for k, have in enumerate(begun):
+            for tree in have:
+                margin[:, k] += tree.value[tree.nodes(bins, depth[k])]
+        return bins, y, fold, margin
+
+    state = data.blocks.map(start)
+    for t in range(steps + 1):
+        last = [b.grown[-1] if 0 < t <= b.trees - len(have) else None for b, have in zip(boosters, begun)]
+        old = state
         if t:
             def add(s, last=last):
                 bins, y, fold, margin = s
@@ -243,7 +256,7 @@ def fit(data: Binned, boosters: Sequence[Booster]):
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         if t and t % CHECKPOINT == 0:
             state.checkpoint()
-        trees = [_Tree(b.depth) if t < b.trees else None for b in boosters]
+        trees = [_Tree(b.depth) if len(b.grown) < b.trees else None for b in boosters]
         for level in range(max(b.depth for b in boosters)):
             growing = [(tree if tree is not None and level < b.depth and tree.used[(1 << level) - 1:(2 << level) - 1].any() else None, b.left_out)
                        for b, tree in zip(boosters, trees)]
@@ -256,7 +269,7 @@ def fit(data: Binned, boosters: Sequence[Booster]):
         for b, tree in zip(boosters, trees):
             if tree is not None:
                 b.grown.append(tree)
-        if t == max(b.trees for b in boosters):
+        if t == steps:
             # the last margins are made while those before are there: else each of the steps since
             # the last checkpoint runs again, with a Python worker of its own in every task
             state.count()
@@ -339,10 +352,13 @@ def threshold_sweep(df: DataFrame, id_col: str, features: Sequence[str], label:
 
 
 def _drop_least(booster: Booster, names: Sequence[str]) -> int:
-    """The feature of least gain leaves the booster's own; ties by name."""
+    """The feature of least gain leaves the booster's own; ties by name.  The trees
+    before the first that splits on it stay: a fit without it grows the same."""
     gains = booster.gains(len(names))
     worst = min(booster.features, key=lambda f: (gains[f], names[f]))
     booster.features = [f for f in booster.features if f != worst]
+    same = next((i for i, t in enumerate(booster.grown) if (t.feature == worst).any()), len(booster.grown))
+    booster.grown = booster.grown[:same]
     return worst
 
 
@@ -352,7 +368,7 @@ def rfe(df: DataFrame, features: Sequence[str], label: str, settings: dict, n_se
     data, own = binned(df, features, label), Booster(**settings, features=list(range(len(features))))
     ranks = {}
     while len(own.features) > n_select:
-        state = fit(data, [own])
+        state = fit(data, [own], resume=True)
         state.unpersist()
         worst = _drop_least(own, features)
         ranks[features[worst]] = len(own.features) - n_select + 2
@@ -367,7 +383,7 @@ def rfecv(df: DataFrame, features: Sequence[str], label: str, k: int, settings:
     boosters = [Booster(**settings, features=list(range(len(features))), left_out=f) for f in range(k)]
     scores = []
     for n in range(len(features), 0, -1):
-        state = fit(data, boosters)
+        state = fit(data, boosters, resume=True)
         # the scores of each count are written, as the margins make way for the next count's
         scores.append(cut_lineage(held_out(data, state, boosters).withColumn("model", F.col("model") + n * k)))
         state.unpersist()

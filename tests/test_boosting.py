@@ -139,6 +139,44 @@ def test_last_margins_are_made_once(spark, table):
     assert sum(len(s[1]) for s in state.collect()) == len(x)
 
 
+def test_elimination_grows_only_trees_that_change(spark, table, monkeypatch):
+    """Trees before the first split on the feature that goes are kept; results are those of fits from the start."""
+    df, x, y = table
+    settings = dict(trees=6, depth=2)
+    passes, real = [], bo._split
+
+    def counted(booster, tree, level, sums, offsets):
+        passes.append(len(booster.features))
+        real(booster, tree, level, sums, offsets)
+
+    monkeypatch.setattr(bo, "_split", counted)
+    names = [*NAMES, "d"]  # d never splits, so the fit without it is there already
+    wide = df.withColumn("d", F.lit(1.0))
+    ranks = dict(bo.rfe(wide, names, "y", settings))
+    edges = bo.split_points(wide, names)
+    own, want = list(range(4)), {}
+    x4 = np.column_stack([x, np.ones(len(x))])
+    while len(own) > 1:
+        gains = plain(x4, y.tolist(), edges, 6, 2, 0.1, own)[1]
+        worst = min(own, key=lambda f: (gains[f], names[f]))
+        want[names[worst]] = len(own)
+        own.remove(worst)
+    assert ranks == want | {names[own[0]]: 1}
+    assert passes.count(4) == 12 and passes.count(3) == 0 and passes.count(2) <= 12
+    # a resumed fit has the trees and margins of a fit from the start
+    data = bo.binned(df, NAMES, "y", "fold")
+    a, b = (bo.Booster(12, 3, features=[0, 1, 2], left_out=1) for _ in range(2))
+    bo.fit(data, [a])
+    worst = bo._drop_least(a, NAMES)
+    kept = len(a.grown)
+    margins = bo.fit(data, [a], resume=True).collect()
+    b.features = [f for f in range(3) if f != worst]
+    plainly = bo.fit(data, [b]).collect()
+    assert 0 < kept < 12 == len(a.grown) == len(b.grown) and a.node_table(NAMES, data.edges) == b.node_table(NAMES, data.edges)
+    for s, t in zip(margins, plainly):
+        assert np.array_equal(s[3], t[3])
+
+
 def test_rows_for_many_tasks_are_dealt_over_slots(spark, monkeypatch):
     from tenura.session import spread
     d = spark.range(1000).coalesce(1)
