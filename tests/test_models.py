@@ -35,6 +35,22 @@ def test_surrogate_follows_the_black_box(planted):
     assert out.where("prediction <> pred").count() <= 6  # candidate splits are binned
 
 
+def test_input_of_fits_and_backgrounds_is_made_once(spark, planted):
+    """A fit and the many counts of a background read rows that were written, not the steps that make them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    d = planted.mapInArrow(count, planted.schema)
+    m = mo.fit(mo.gbt(dict(maxIter=2, maxDepth=2)), mo.assemble(d, ["strong", "weak"], "y"))
+    assert made.value == 300 and m.getNumTrees == 2
+    stats, _ = lime.background_stats(d, ["strong", "weak"], ["y"])
+    assert made.value == 600 and sum(share for _, share in stats["y"][2]) == pytest.approx(1)
+
+
 def test_vif_against_least_squares(planted):
     d = planted.withColumn("mixed", F.col("strong") + F.col("weak") * 0.5 + F.col("noise") * 0.1 + F.lit(0.2))
     cols = ["strong", "weak", "mixed"]
