@@ -22,19 +22,18 @@ def time_counts(df: DataFrame, duration: str, event: str, groups: Sequence[str]
                 origin: bool = False) -> DataFrame:
     """(groups..., t, removed, observed): one row per distinct time.
 
-    With ``origin`` every row also contributes a zero-count (group, t=0)
-    entry, so the origin row of each group comes out of the SAME
-    aggregation (partial aggregation folds those entries map-side)
-    instead of a second pass over the input."""
+    With ``origin`` the counts are written and each contributes a zero-count
+    (group, t=0) entry too, so every group has an origin row without a second
+    pass over the input."""
+    counts = df.groupBy(*groups, F.col(duration).alias("t")).agg(
+        F.count(F.lit(1)).alias("removed"),
+        F.sum(F.col(event).cast("long")).alias("observed"))
     if not origin:
-        return df.groupBy(*groups, F.col(duration).alias("t")).agg(
-            F.count(F.lit(1)).alias("removed"),
-            F.sum(F.col(event).cast("long")).alias("observed"))
-    t_type = df.schema[duration].dataType
+        return counts
     entries = F.explode(F.array(
-        F.struct(F.col(duration).alias("t"), F.lit(1).cast("long").alias("r"), F.col(event).cast("long").alias("o")),
-        F.struct(F.lit(0).cast(t_type).alias("t"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("o"))))
-    x = df.select(*groups, entries.alias("_x"))
+        F.struct("t", F.col("removed").alias("r"), F.col("observed").alias("o")),
+        F.struct(F.lit(0).cast(df.schema[duration].dataType).alias("t"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("o"))))
+    x = cut_lineage(counts).select(*groups, entries.alias("_x"))
     return x.groupBy(*groups, F.col("_x.t").alias("t")).agg(
         F.sum("_x.r").alias("removed"), F.sum("_x.o").alias("observed"))
 
@@ -45,24 +44,30 @@ def event_table(df: DataFrame, duration: str, event: str, groups: Sequence[str]
 
     A t=0 row is added per group when no subject has duration 0, so the
     table starts where the curve starts (S(0)=1)."""
-    return event_table_from_counts(time_counts(df, duration, event, groups, origin=add_origin), groups, False)
+    tc = time_counts(df, duration, event, groups, origin=add_origin)
+    return _event_columns(tc if add_origin else cut_lineage(tc), groups)
 
 
 def event_table_from_counts(tc: DataFrame, groups: Sequence[str] = (), add_origin: bool = True) -> DataFrame:
     """K4 from pre-aggregated (groups..., t, removed, observed) counts, e.g.
     the state table maintained by the streaming job."""
+    tc = cut_lineage(tc)
     if add_origin:
         origin = tc.select(*groups).distinct().select(*groups, F.lit(0).cast(tc.schema["t"].dataType).alias("t"),
                                                       F.lit(0).cast("long").alias("removed"),
                                                       F.lit(0).cast("long").alias("observed"))
         tc = tc.unionByName(origin).groupBy(*groups, "t").agg(
             F.sum("removed").alias("removed"), F.sum("observed").alias("observed"))
+    return _event_columns(tc, groups)
+
+
+def _event_columns(tc: DataFrame, groups: Sequence[str]) -> DataFrame:
     return _event_table(tc, groups)[0].select(*groups, "t", "removed", "observed", "censored", "entrance", "at_risk")
 
 
 def _event_table(tc: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """The event table of written counts with its block column, if it has one."""
-    tc, block = in_blocks(cut_lineage(tc), "t")
+    """The event table of counts that come from written ones, with its block column, if it has one."""
+    tc, block = in_blocks(tc, "t")
     # the first time of a group is the last one from the end
     r = running(tc.withColumn("_one", F.lit(1)), groups, "t", block, {"at_risk": "removed", "_no": "_one"},
                 totals={"_total": F.col("removed"), "_n": F.lit(1)}, descending=True)
