@@ -76,6 +76,7 @@ class Booster:
     features: Sequence[int] | None = None  # places of the features it may use; None: all
     left_out: int | Draw | None = None  # rows of this fold or draw are not trained on
     grown: list = field(default_factory=list, repr=False)
+    kept: list = field(default_factory=list, repr=False)  # the first trees, where they are known before a fit
 
     def gains(self, n_features: int) -> np.ndarray:
         """Sum of gains of each feature."""
@@ -220,16 +221,15 @@ def _split(booster: Booster, tree: _Tree, level: int, sums: np.ndarray, offsets:
             tree.value[child], tree.cover[child] = -booster.rate * a / (b + lam), b
 
 
-def fit(data: Binned, boosters: Sequence[Booster], resume: bool = False):
+def fit(data: Binned, boosters: Sequence[Booster]):
     """Grow all boosters; returns the blocks (bins, label, fold, margins), whose
-    margins have a column for each booster.  With ``resume`` the trees that
-    boosters have stay and count among theirs."""
+    margins have a column for each booster.  Trees that a booster has kept
+    count among its own."""
     ensure_checkpoint_dir(data.spark)
     offsets, n = data.offsets, len(boosters)
-    if not resume:
-        for b in boosters:
-            b.grown = []
-    begun, depth = [list(b.grown) for b in boosters], [b.depth for b in boosters]
+    for b in boosters:
+        b.grown = list(b.kept)
+    begun, depth = [list(b.kept) for b in boosters], [b.depth for b in boosters]
     steps = max(b.trees - len(have) for b, have in zip(boosters, begun))
 
     def start(s):
@@ -353,12 +353,12 @@ def threshold_sweep(df: DataFrame, id_col: str, features: Sequence[str], label:
 
 def _drop_least(booster: Booster, names: Sequence[str]) -> int:
     """The feature of least gain leaves the booster's own; ties by name.  The trees
-    before the first that splits on it stay: a fit without it grows the same."""
+    before the first that splits on it are kept: a fit without it grows the same."""
     gains = booster.gains(len(names))
     worst = min(booster.features, key=lambda f: (gains[f], names[f]))
     booster.features = [f for f in booster.features if f != worst]
     same = next((i for i, t in enumerate(booster.grown) if (t.feature == worst).any()), len(booster.grown))
-    booster.grown = booster.grown[:same]
+    booster.kept = booster.grown[:same]
     return worst
 
 
@@ -368,7 +368,7 @@ def rfe(df: DataFrame, features: Sequence[str], label: str, settings: dict, n_se
     data, own = binned(df, features, label), Booster(**settings, features=list(range(len(features))))
     ranks = {}
     while len(own.features) > n_select:
-        state = fit(data, [own], resume=True)
+        state = fit(data, [own])
         state.unpersist()
         worst = _drop_least(own, features)
         ranks[features[worst]] = len(own.features) - n_select + 2
@@ -383,7 +383,7 @@ def rfecv(df: DataFrame, features: Sequence[str], label: str, k: int, settings:
     boosters = [Booster(**settings, features=list(range(len(features))), left_out=f) for f in range(k)]
     scores = []
     for n in range(len(features), 0, -1):
-        state = fit(data, boosters, resume=True)
+        state = fit(data, boosters)
         # the scores of each count are written, as the margins make way for the next count's
         scores.append(cut_lineage(held_out(data, state, boosters).withColumn("model", F.col("model") + n * k)))
         state.unpersist()

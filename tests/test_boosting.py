@@ -163,13 +163,13 @@ def test_elimination_grows_only_trees_that_change(spark, table, monkeypatch):
         own.remove(worst)
     assert ranks == want | {names[own[0]]: 1}
     assert passes.count(4) == 12 and passes.count(3) == 0 and passes.count(2) <= 12
-    # a resumed fit has the trees and margins of a fit from the start
+    # a fit that keeps trees has the trees and margins of a fit from the start
     data = bo.binned(df, NAMES, "y", "fold")
     a, b = (bo.Booster(12, 3, features=[0, 1, 2], left_out=1) for _ in range(2))
     bo.fit(data, [a])
     worst = bo._drop_least(a, NAMES)
-    kept = len(a.grown)
-    margins = bo.fit(data, [a], resume=True).collect()
+    kept = len(a.kept)
+    margins = bo.fit(data, [a]).collect()
     b.features = [f for f in range(3) if f != worst]
     plainly = bo.fit(data, [b]).collect()
     assert 0 < kept < 12 == len(a.grown) == len(b.grown) and a.node_table(NAMES, data.edges) == b.node_table(NAMES, data.edges)
