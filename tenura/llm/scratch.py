@@ -8,6 +8,7 @@ lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,18 +22,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows of an Arrow batch while tables are written: some megabytes of text for a Python worker and its executor.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+BATCH = 2000
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    before = spark.conf.get(BATCH[0])
-    spark.conf.set(*BATCH)
-    try:
+    with batches_of(spark, BATCH):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH[0], before)
     return spark.read.schema(df.schema).parquet(path)
 
 

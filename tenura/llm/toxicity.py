@@ -22,15 +22,17 @@ labels every score is the share of toxic rows (0 where there is none).
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm.scratch import stored
+from tenura.llm.scratch import batches_of, stored
 from tenura.llm.texts import chunks, mix, span_names, utf8, word_spans
 
 #: Labelled rows of a lot, about.
@@ -344,23 +346,42 @@ def _unpacked(block: bytes):
     return lot, rows, label, language, calibrates
 
 
+def _partials(frame: DataFrame, get) -> DataFrame:
+    """(part, sums): for each partition the added arrays of get(block) of its blocks, pickled."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            for block in batch.column(batch.num_columns - 1):
+                got = get(block.as_py())
+                total = got if total is None else [x + y for x, y in zip(total, got)]
+        if total is not None:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(list(total))], pa.binary())], ["part", "sums"])
+
+    return frame.mapInArrow(run, "part int, sums binary")
+
+
+def _added(lots: DataFrame, f):
+    """The added arrays of f over all lots; null without lots.  All passes are
+    Arrow maps like the one that makes the lots, so they share its Python workers;
+    an executor needs no second set of them.  A lot is a batch of its own."""
+    parts = _partials(lots, lambda block: f(*_unpacked(block)))
+    few = math.isqrt(lots.rdd.getNumPartitions())
+    for n in ([few, 1] if few > 1 else [1]):
+        parts = _partials(parts.repartition(n, "part").sortWithinPartitions("part"), pickle.loads)
+    with batches_of(lots.sparkSession, 1):
+        found = parts.collect()
+    return pickle.loads(found[0]["sums"]) if found else None
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
     """Fit to all rows that may be learnt from, lots side by side."""
     n = training_rows(docs, labels, sample).count()
-    lots = _lots(training_rows(docs, labels, sample, max(1, -(-n // LOT)))).rdd
+    lots = _lots(training_rows(docs, labels, sample, max(1, -(-n // LOT))))
 
     def added(f):
-        def part(blocks):
-            total = None
-            for block in blocks:
-                got = f(*_unpacked(block[0]))
-                total = got if total is None else [x + y for x, y in zip(total, got)]
-            if total is not None:
-                yield total
-
-        if lots.isEmpty():
-            return f(0, [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        return lots.mapPartitions(part).treeReduce(lambda x, y: [a + b for a, b in zip(x, y)])
+        found = _added(lots, f)
+        return f(0, [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)) if found is None else found
 
     return _fit(added)
 
