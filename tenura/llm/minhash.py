@@ -7,7 +7,10 @@ densification, so equal choices meet whichever bins are empty).  The bins form
 bands, and documents that agree in a band share a bucket.
 
 Equal sets are one node.  A bucket links its nodes to a centre only: a star,
-not all pairs.  Candidates are confirmed on the full sets.  A star through one
+not all pairs.  A node also has the parities of its hashes in ``BITS`` cells: each
+shingle of only one of two sets flips one, so pairs with more different
+parities than similar sets can have are no candidates, and no link is lost by it.
+Candidates are confirmed on the full sets.  A star through one
 centre can miss links between its other nodes, so buckets whose nodes are not
 in one component by then go on: nodes outside the bucket's largest component
 are centres in turn, a bounded number a round, against the nodes of other
@@ -38,6 +41,9 @@ SIMILAR = 80
 #: Bands and bins in each; their product is a power of two.
 BANDS, ROWS = 64, 8
 BINS = BANDS * ROWS
+#: Parities of a set, in words of 64.
+BITS = 256
+WORDS = [f"bits{k}" for k in range(BITS // 64)]
 #: Bands whose stars are tried first; the others mostly find one component then.
 FIRST_BANDS = 8
 #: Centres of a bucket in each later round, at most.
@@ -51,6 +57,7 @@ _ORDER = np.argsort(_RANDOM.random((BINS, BINS)), axis=1).T.astype(np.int64).cop
 _SALT = _RANDOM.integers(1, 2**63, BINS, dtype=np.uint64)
 _BAND = _RANDOM.integers(1, 2**63, BANDS, dtype=np.uint64)
 _NAME = _RANDOM.integers(1, 2**63, 2, dtype=np.uint64)
+_CELL = _RANDOM.integers(1, 2**63, dtype=np.uint64)
 
 
 def shingles(column: pa.Array, width: int = SHINGLE):
@@ -96,9 +103,17 @@ def buckets(sig: np.ndarray) -> np.ndarray:
     return mix(cells.sum(2, dtype=np.uint64) ^ _BAND)
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands) of every row: the set's size, its name
-    in 128 bits, and its buckets (null for an empty set)."""
+def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parities (row, word) of the hashes of sets in BITS cells."""
+    n = len(bounds) - 1
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * BITS + (mix(h ^ _CELL) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(cell, minlength=n * BITS) % 2 == 1
+    return np.packbits(odd).view(np.int64).reshape(n, BITS // 64)
+
+
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, banded: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2) of every row: the set's size and its name in 128 bits;
+    with ``banded`` also bands, its buckets (null for an empty set), and its parities."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
@@ -114,15 +129,18 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
                     if len(own):
                         for k in range(2):
                             names[k, full] = np.add.reduceat(mix(own ^ _NAME[k]), some[:-1]).view(np.int64)
-                        bands = buckets(signatures(own, some))
-                    ends = np.concatenate(([0], np.cumsum(full))).astype(np.int32) * BANDS
-                    empty = pa.array(~full)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(i + x, len(n)), pa.array(n, pa.int64()), *(pa.array(names[k], mask=~full) for k in range(2)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)), mask=empty)],
-                        ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                    found = [batch.column(0).slice(i + x, len(n)), pa.array(n, pa.int64()), *(pa.array(names[k], mask=~full) for k in range(2))]
+                    if banded:
+                        if len(own):
+                            bands = buckets(signatures(own, some))
+                        ends = np.concatenate(([0], np.cumsum(full))).astype(np.int32) * BANDS
+                        found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)), mask=pa.array(~full)))
+                        found += [pa.array(b.copy()) for b in parities(own, part - part[0]).T]
+                    yield pa.RecordBatch.from_arrays(found, columns)
 
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    columns = ["doc_id", "n_shingles", "h1", "h2", *(["bands", *WORDS] if banded else [])]
+    kind = f"doc_id {dict(d.dtypes)['doc_id']}, n_shingles bigint, h1 bigint, h2 bigint"
+    return d.mapInArrow(run, kind + (", bands array<bigint>" + "".join(f", {b} bigint" for b in WORDS) if banded else ""))
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -166,8 +184,10 @@ def confirmed(edges: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
 
 def _pairs(centres: DataFrame, members: DataFrame, similar: int) -> DataFrame:
     """Distinct pairs (a, b) of centres (bucket, centre, size, group) and the
-    members of other components; sizes too far apart are no candidates."""
+    members of other components; sizes or parities too far apart are no candidates."""
     fit = (100 * F.least("n", "size") >= similar * F.greatest("n", "size")) & (F.col("group") != F.col("label"))
+    flips = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"c_{b}"))) for b in WORDS), F.lit(0))
+    fit = fit & ((100 + similar) * flips <= (100 - similar) * (F.col("n") + F.col("size")))
     return (members.join(centres, "bucket").where(fit)
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
@@ -177,7 +197,8 @@ def _centres(members: DataFrame, *by) -> DataFrame:
     # a bucket's name flips the nodes' bits, so each bucket has its own order of them
     least = (members.groupBy("bucket", *by).agg(F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("least"))
              .select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("centre")))
-    own = members.select("bucket", F.col("node").alias("centre"), F.col("n").alias("size"), F.col("label").alias("group"))
+    own = members.select("bucket", F.col("node").alias("centre"), F.col("n").alias("size"), F.col("label").alias("group"),
+                         *[F.col(b).alias(f"c_{b}") for b in WORDS])
     return least.join(own, ["bucket", "centre"])
 
 
@@ -185,16 +206,16 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the component of their node."""
     found = components(links).withColumnRenamed("component", "label")
     return (members.drop("label").join(found, "node", "left")
-            .select("bucket", "first_band", "node", "n", F.coalesce("label", "node").alias("label")))
+            .select("bucket", "first_band", "node", "n", *WORDS, F.coalesce("label", "node").alias("label")))
 
 
 def similar_links(nodes: DataFrame, sets, similar: int = SIMILAR) -> DataFrame:
-    """Links (a, b) that join all similar nodes (node, n, bands) that share a
+    """Links (a, b) that join all similar nodes (node, n, bands, parities) that share a
     bucket; ``sets(ids)`` gives the full sets of some nodes."""
     every = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     many = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    members = stored(every.join(many, "bucket", "left_semi")
-                     .select("bucket", (F.col("band") < FIRST_BANDS).alias("first_band"), "node", "n", F.col("node").alias("label")), "members")
+    members = stored(every.join(many, "bucket", "left_semi").join(nodes.select("node", *WORDS), "node")
+                     .select("bucket", (F.col("band") < FIRST_BANDS).alias("first_band"), "node", "n", *WORDS, F.col("node").alias("label")), "members")
     sets = stored(sets(members.select("node").distinct()), "full-sets")
     # stars of the first bands, then of all buckets that are not one component yet
     first = members.where("first_band")
@@ -226,9 +247,10 @@ def similar_links(nodes: DataFrame, sets, similar: int = SIMILAR) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE,
                     similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    rows = stored(sketches(docs, doc_id, text, width), "sketches")
-    nodes = stored(rows.where("n_shingles > 0").groupBy("h1", "h2")
-                   .agg(F.any_value("bands").alias("bands"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("first"))
+    # bands take most of a sketch: they are written for distinct sets only
+    rows = stored(sketches(docs, doc_id, text, width, banded=False), "sketches")
+    nodes = stored(sketches(docs, doc_id, text, width).where("n_shingles > 0").groupBy("h1", "h2")
+                   .agg(*[F.any_value(b).alias(b) for b in ("bands", *WORDS)], F.max("n_shingles").alias("n"), F.min("doc_id").alias("first"))
                    .where("first is not null").withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = similar_links(nodes, lambda ids: full_sets(docs, nodes.join(ids, "node", "left_semi"), doc_id, text, width), similar)
     found = stored(components(links), "components")

@@ -89,3 +89,28 @@ def test_signatures_agree_as_sets_do():
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs((sig[0] == sig[1]).mean() - j) < .12
         assert np.isin(sig[0], a).all()
+
+
+def test_parities_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (3, 90, 900):
+        h = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        for cut in (0, 1, n // 3, n):
+            a, b = h[:n], h[cut:n + cut]
+            x, y = M.parities(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])).view(np.uint8)
+            assert np.unpackbits(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_pairs_well_below_the_threshold_are_no_candidates(spark, monkeypatch):
+    tested, plain = [], M.confirmed
+    monkeypatch.setattr(M, "confirmed", lambda edges, *more: tested.append(edges) or plain(edges, *more))
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for d in range(60):  # five of 87 shingles are a text's own, so two texts share 0.63 to 0.65 of theirs
+        own = list(base)
+        for i in rng.sample(range(4, 86, 4), 5):
+            own[i] = f"own{d}"
+        rows.append((d, " ".join(own)))
+    assert got(frame(spark, rows)) == brute(rows)
+    assert sum(t.count() for t in tested) < 60 * 59 / 2 / 10
