@@ -101,8 +101,8 @@ def cox_fit(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             ll_new, g_new, H_new = evaluate(new)
             halv = 0
             # sums of many rows differ in their last digits: less than RISE of the whole is no fall;
-            # a step so long that its sums overflow has no likelihood at all
-            while not ll_new >= ll - RISE * abs(ll) and halv < 30:
+            # a step so long that its sums overflow has no likelihood, or no information
+            while not (ll_new >= ll - RISE * abs(ll) and np.isfinite(g_new).all() and np.isfinite(H_new).all()) and halv < 30:
                 step = step / 2
                 new = beta - step
                 ll_new, g_new, H_new = evaluate(new)

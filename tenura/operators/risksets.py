@@ -20,6 +20,7 @@ and leaves at its start.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -36,22 +37,49 @@ from tenura.session import cut_lineage
 BLOCK = 1 << 13
 #: Tied events that are summed one by one; the rest of a larger tie by quadrature.
 ONE_BY_ONE = 256
+#: Rows a run from which a matrix product each is cheaper than sums over rows of moments.
+LONG = 24
+#: Weights are exp(xb - scale); scales are multiples of this, so that they grow seldom.
+STEP = 64.0
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(12)
 
 
 @dataclass
 class Open:
-    """The time at which a walk stands: its stratum, risk-set sums, event sums."""
+    """The time at which a walk stands: its stratum, risk-set sums, event sums,
+    and the ``scale`` whose exponential the weights in both are divided by."""
     stratum: str
     time: float
     risk: np.ndarray
     events: np.ndarray
+    scale: float = 0.0
+
+    def at(self, scale: float) -> Open:
+        """This state with its weights divided by another exponential."""
+        return Open(self.stratum, self.time, *_rescaled(self.risk, self.events, self.scale - scale), scale)
 
     def after(self, before: Open | None) -> Open:
         """This state, reached from rows that begin where ``before`` stands."""
-        same = before is not None and before.stratum == self.stratum
-        return Open(self.stratum, self.time, self.risk + before.risk if same else self.risk,
-                    self.events + before.events if same and before.time == self.time else self.events)
+        if before is None or before.stratum != self.stratum:
+            return self
+        scale = max(self.scale, before.scale)
+        own, old = self.at(scale), before.at(scale)
+        return Open(self.stratum, self.time, own.risk + old.risk, own.events + old.events if old.time == own.time else own.events, scale)
+
+
+def _rescaled(risk: np.ndarray, events: np.ndarray, by: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums whose weights are multiplied by exp(``by``)."""
+    if by == 0:
+        return risk, events
+    m, events = len(risk), events.copy()
+    events[:m] *= math.exp(by)
+    events[m + 1] += by * events[m]
+    return risk * math.exp(by), events
+
+
+def _scale(xb: np.ndarray) -> np.ndarray:
+    """The multiple of ``STEP`` above each value: weights exp(xb - scale) are 1 at most, the largest exp(-STEP) at least."""
+    return STEP * np.ceil(xb / STEP)
 
 
 def sorted_blocks(df: DataFrame, time: str, event: str, covariates: Sequence[str], strata: Sequence[str], start: str | None = None):
@@ -82,14 +110,38 @@ def sorted_blocks(df: DataFrame, time: str, event: str, covariates: Sequence[str
     return rows.mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _moments(block, rows: slice, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of some rows: signed weighted moments, and event sums (moments, 1, xb, x)."""
+def _sums(w: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Weighted moments (1, x, xx') of the rows from each start to the next."""
+    p = x.shape[1]
+    i, j = np.triu_indices(p)
+    if len(x) >= LONG * len(starts):  # long runs of rows: one matrix product each
+        out = np.empty((len(starts), 1 + p + len(i)))
+        wx = w[:, None] * x
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(x)])):
+            out[k, 0], out[k, 1:p + 1], out[k, p + 1:] = w[lo:hi].sum(), wx[lo:hi].sum(0), (wx[lo:hi].T @ x[lo:hi])[i, j]
+        return out
+    return np.add.reduceat(w[:, None] * np.concatenate((np.ones((len(x), 1)), x, x[:, i] * x[:, j]), 1), starts, axis=0)
+
+
+def _moments(block, rows: slice, beta: np.ndarray, starts: np.ndarray, scale: np.ndarray | None = None, xb: np.ndarray | None = None):
+    """Of the runs of some rows that begin at ``starts``: signed weighted moments, event sums
+    (moments, 1, xb - scale, x), and the scale of each run."""
     _, _, _, e, sign, x = (c[rows] if i else c for i, c in enumerate(block))
-    i, j = np.triu_indices(x.shape[1])
-    xb = x @ beta
-    moments = np.exp(xb)[:, None] * np.concatenate((np.ones((len(x), 1)), x, x[:, i] * x[:, j]), 1)
-    events = (e == 1)[:, None] * np.concatenate((moments, np.ones((len(x), 1)), xb[:, None], x), 1)
-    return sign[:, None] * moments, events
+    xb = x @ beta if xb is None else xb
+    scale = _scale(np.maximum.reduceat(xb, starts)) if scale is None else scale
+    sizes = np.diff(starts, append=len(x))
+    xb = xb - np.repeat(scale, sizes)
+    w = np.exp(xb)
+    risk = _sums(sign * w, x, starts)
+    m = risk.shape[1]
+    events = np.zeros((len(starts), m + 2 + x.shape[1]))
+    died = np.flatnonzero(e == 1)
+    if len(died):
+        run = np.repeat(np.arange(len(starts)), sizes)[died]
+        first = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1))
+        events[run[first]] = np.concatenate((_sums(w[died], x[died], first), np.add.reduceat(np.concatenate(
+            (np.ones((len(died), 1)), xb[died, None], x[died]), 1), first, axis=0)), 1)
+    return risk, events, scale
 
 
 def _tail(blocks: Iterable, beta: np.ndarray) -> Open | None:
@@ -98,9 +150,11 @@ def _tail(blocks: Iterable, beta: np.ndarray) -> Open | None:
     for block in blocks:
         labels, g, t = block[:3]
         of_stratum = int(np.argmax(g == g[-1]))  # sorted: the rest of the block is of the last stratum
-        of_time = of_stratum + int(np.argmax(t[of_stratum:] == t[-1]))
-        risk, events = _moments(block, slice(of_stratum, None), beta)
-        state = Open(labels[g[-1]], t[-1], risk.sum(0), events[of_time - of_stratum:].sum(0)).after(state)
+        of_time = int(np.argmax(t[of_stratum:] == t[-1]))
+        starts = np.unique([0, of_time])  # the rows before the last time are a run: only their risk sums go on
+        runs = [Open(labels[g[-1]], time, *of) for time, *of in zip(t[of_stratum + starts], *_moments(block, slice(of_stratum, None), beta, starts))]
+        for run in runs:
+            state = run.after(state)
     return state
 
 
@@ -161,23 +215,34 @@ def _walk(blocks: Iterable, beta: np.ndarray, state: Open | None, ties: str) ->
     p = len(beta)
     total = np.zeros(1 + p + p * (p + 1) // 2)
     for block in blocks:
-        labels, g, t = block[:3]
+        labels, g, t, x = *block[:3], block[5]
         starts = np.concatenate(([0], np.flatnonzero((g[1:] != g[:-1]) | (t[1:] != t[:-1])) + 1))
-        risk, events = (np.add.reduceat(s, starts, axis=0) for s in _moments(block, slice(None), beta))
+        xb = x @ beta
+        scale = np.maximum.reduceat(xb, starts)
         g, t = g[starts], t[starts]
         new = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+        same = state is not None and state.stratum == labels[g[0]]
+        for lo, hi in zip(new.tolist(), new[1:].tolist()):
+            scale[lo:hi] = _scale(np.maximum.accumulate(scale[lo:hi]))  # it only grows along a stratum
+        if same:
+            np.maximum(scale[:new[1]], state.scale, out=scale[:new[1]])
+        risk, events, _ = _moments(block, slice(None), beta, starts, scale, xb)
         if state is not None:
-            same = state.stratum == labels[g[0]]
             if same and state.time == t[0]:
-                events[0] += state.events
+                events[0] += state.at(scale[0]).events
             else:
                 total += _parts(state.risk[None], state.events[None], p, ties)
             if same:
-                risk[0] += state.risk
+                risk[0] += state.at(scale[0]).risk
         for lo, hi in zip(new.tolist(), new[1:].tolist()):
-            np.cumsum(risk[lo:hi], 0, out=risk[lo:hi])
+            # running sums of one scale; where it grows, those before are brought to it
+            cuts = [lo, *(np.flatnonzero(scale[lo + 1:hi] != scale[lo:hi - 1]) + lo + 1).tolist(), hi]
+            for a, b in zip(cuts, cuts[1:]):
+                if a > lo:
+                    risk[a] += risk[a - 1] * math.exp(scale[a - 1] - scale[a])
+                np.cumsum(risk[a:b], 0, out=risk[a:b])
         total += _parts(risk[:-1], events[:-1], p, ties)
-        state = Open(labels[g[-1]], t[-1], risk[-1].copy(), events[-1].copy())
+        state = Open(labels[g[-1]], t[-1], risk[-1].copy(), events[-1].copy(), float(scale[-1]))
     return total
 
 

@@ -82,3 +82,55 @@ def test_nulls_and_no_events(spark, episodes):
     assert risksets.evaluate(blocks, np.zeros(1), "efron")[0] == 0.0
     blocks = risksets.sorted_blocks(df.withColumn("e", F.lit(0)), "t", "e", ["a"], ["g"])
     assert risksets.evaluate(blocks, np.zeros(1), "efron")[0] == 0.0
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_weights_of_any_size(spark, monkeypatch, late):
+    """Rows whose weights are thousands of powers apart, as hot accounts have them: a sum at one scale has none."""
+    rng = np.random.default_rng(5)
+    n = 90
+    x, t, e = rng.normal(size=(n, 2)), rng.integers(3, 30, n).astype(float), rng.integers(0, 2, n)
+    x[::9, 0] += 400 * np.arange(10)  # early or late ones are far above the others
+    t[::9], e[::9] = np.arange(29, 19, -1), 1
+    start = np.zeros(n) if late else np.full(n, -np.inf)
+    beta = np.array([3.0, -0.5])
+    ll, grad, hess = 0.0, np.zeros(2), np.zeros((2, 2))
+    for time in np.unique(t[e == 1]):
+        risk, dead = (t >= time) & (start < time), (t == time) & (e == 1)
+        top = (x @ beta)[risk].max()
+        w = np.where(risk, np.exp(np.where(risk, x @ beta - top, 0)), 0)
+        ll, grad = ll + (x @ beta - top)[dead].sum(), grad + x[dead].sum(0)
+        for k in range(dead.sum()):
+            v = w * risk - k / dead.sum() * w * dead
+            s0, s1, s2 = v.sum(), v @ x, (x * v[:, None]).T @ x
+            ll, grad, hess = ll - np.log(s0), grad - s1 / s0, hess - s2 / s0 + np.outer(s1, s1) / s0 ** 2
+    monkeypatch.setattr(risksets, "BLOCK", 7)
+    df = spark.createDataFrame([(*map(float, x[i]), 0.0, float(t[i]), int(e[i])) for i in range(n)], "a double, b double, s double, t double, e int")
+    blocks = risksets.sorted_blocks(df.repartition(3), "t", "e", ["a", "b"], [], "s" if late else None)
+    for got, w in zip(risksets.evaluate(blocks, beta, "efron"), (ll, grad, hess)):
+        np.testing.assert_allclose(got, w, rtol=1e-9, atol=1e-6)
+
+
+def test_sums_of_long_and_short_runs(monkeypatch):
+    rng = np.random.default_rng(2)
+    w, x, starts = rng.normal(size=50), rng.normal(size=(50, 3)), np.array([0, 1, 30])
+    short = risksets._sums(w, x, starts)
+    monkeypatch.setattr(risksets, "LONG", 1)
+    np.testing.assert_allclose(risksets._sums(w, x, starts), short, rtol=1e-12)
+
+
+def test_a_fit_with_a_hot_row_converges(spark):
+    """A covariate with one value far above the others, whose own scale is far below the deviation."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    t = rng.integers(1, 40, n).astype(float)
+    a = (60 - t) / 40 + rng.normal(size=n) / 50
+    a[:4], t[:4] = [30_000.0, 40_000.0, 50_000.0, 60_000.0], 40.0
+    e = rng.integers(0, 2, n)
+    e[:4] = 0, 1, 0, 1
+    g = rng.integers(0, 2, n)
+    df = spark.createDataFrame([(float(a[i]), float(t[i]), int(e[i]), int(g[i])) for i in range(n)], "a double, t double, e int, g int")
+    f = cox.cox_fit(df, "t", "e", ["a"], strata=["g"])
+    blocks = risksets.sorted_blocks(df, "t", "e", ["a"], ["g"])
+    _, grad, hess = risksets.evaluate(blocks, f.beta, "efron")
+    assert abs(grad[0] / np.sqrt(-hess[0, 0])) < 1e-4 and f.n_iter < 50
