@@ -477,7 +477,9 @@ def ph_test(df: DataFrame, duration: str, event: str, fit: CoxFit) -> DataFrame:
 # ------------------------------------------------------------------ episodic format
 def episodic(df: DataFrame, id_col: str, duration: str, event: str, gap: float = 1.0) -> DataFrame:
     """(start, stop] rows of width ``gap`` up to each duration; the
-    event only on the last row; duration 0 gives no rows."""
+    event only on the last row; duration 0 gives no rows.  Subjects are dealt over
+    the slots first: small as they are, AQE would leave them, and all their rows, in one task."""
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
     T = F.col(duration).cast("double")
     n = F.ceil(T / F.lit(gap)).cast("int")
     k = F.explode(F.sequence(F.lit(0), n - 1)).alias("_k")

@@ -134,3 +134,30 @@ def test_a_fit_with_a_hot_row_converges(spark):
     blocks = risksets.sorted_blocks(df, "t", "e", ["a"], ["g"])
     _, grad, hess = risksets.evaluate(blocks, f.beta, "efron")
     assert abs(grad[0] / np.sqrt(-hess[0, 0])) < 1e-4 and f.n_iter < 50
+
+
+def test_episodes_are_one_row_each(spark):
+    """Episodes without an event time inside: no row is taken off again, so one far above the others leaves nothing behind."""
+    rng = np.random.default_rng(4)
+    n, m = 60, 9
+    x = rng.normal(size=(n, m))
+    x[:3] += 500 * np.arange(m)  # far above the others, more so at late times
+    last = rng.integers(2, m + 1, n)
+    rows = [(float(x[k, u]), float(u), float(u + 1), int(u + 1 == last[k])) for k in range(n) for u in range(last[k])]
+    blocks = risksets.sorted_blocks(spark.createDataFrame(rows, "a double, s double, t double, e int").repartition(4), "t", "e", ["a"], [], "s")
+    signs = np.concatenate([b[4] for b in blocks.collect()])
+    assert len(signs) == len(rows) and not signs.any()
+    ll = 0.0
+    for u in range(m):
+        w = np.array([r[0] for r in rows if r[1] == u])
+        dead = np.array([r[3] for r in rows if r[1] == u]) == 1
+        top, k = w.max(), dead.sum()
+        v, d = np.exp(w - top).sum(), np.exp(w - top)[dead].sum()
+        ll += (w - top)[dead].sum() - sum(np.log(v - c / k * d) for c in range(k))
+    assert risksets.evaluate(blocks, np.ones(1), "efron")[0] == pytest.approx(ll, rel=1e-10)
+
+
+def test_rows_of_an_episode_table_are_dealt_over_the_slots(spark):
+    subjects = spark.range(50).coalesce(1).selectExpr("id", "id % 7 as t", "1 as e")
+    e = cox.episodic(subjects, "id", "t", "e")
+    assert e.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and e.count() == sum(k % 7 for k in range(50))
