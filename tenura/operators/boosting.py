@@ -19,6 +19,7 @@ goes right at every split, a null label is an error.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -39,6 +40,8 @@ EDGES = 63
 #: Rows of a block.
 BLOCK = 1 << 16
 CHECKPOINT = 25
+#: Bins of a joint histogram, at most: 8 nodes of them stay in a core's cache.
+JOINT = 256
 #: Rows for which a pass of their own pays a task.
 TASK_ROWS = 1 << 17
 
@@ -165,28 +168,62 @@ def binned(df: DataFrame, features: Sequence[str], label: str, fold: str | Colum
     return Binned(blocks, list(features), edges, df.sparkSession)
 
 
+def _joint(sizes: np.ndarray, own: np.ndarray) -> list[list[int]]:
+    """The features of ``own`` in groups of at most ``JOINT`` joint bins (first fit,
+    the largest first): one histogram a group has the sums of all its features."""
+    groups, cells = [], []
+    for f in own[np.argsort(-sizes[own], kind="stable")].tolist():
+        at = next((i for i, c in enumerate(cells) if c * sizes[f] <= JOINT), None)
+        if at is None:
+            groups.append([f])
+            cells.append(int(sizes[f]))
+        else:
+            groups[at].append(f)
+            cells[at] *= int(sizes[f])
+    return groups
+
+
 def _sums(states: Iterator, growing, level: int, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Gradients and hessians (booster, node, bin of a feature, which) of the rows
-    of one level; ``growing`` has for each booster its tree (None: done) and left out fold."""
-    width, first = int(offsets[-1]), (1 << level) - 1
+    """Gradients and hessians (booster, node, bin of a feature, which) of the rows of one level;
+    ``growing`` has for each booster its tree (None: done), left out fold and own features
+    (None: all; the others have no sums)."""
+    width, first, sizes = int(offsets[-1]), (1 << level) - 1, np.diff(offsets)
     total = np.zeros((len(growing), 1 << level, width, 2))
+    plans = [_joint(sizes, _own(own, len(sizes))) for _, _, own in growing]
     for bins, y, fold, margin in states:
-        cells = bins + offsets[:-1]
-        for k, (tree, left_out) in enumerate(growing):
+        codes = {}  # of groups, for the boosters that share them
+        for k, (tree, left_out, _) in enumerate(growing):
             if tree is None:
                 continue
             node = tree.nodes(bins, level) - first
             rows = np.flatnonzero((node >= 0) & ~_left_out(fold, left_out))
             p = 1 / (1 + np.exp(-margin[rows, k]))
-            at = (cells[rows] + node[rows, None] * width).ravel()
-            for which, w in enumerate((p - y[rows], p * (1 - p))):
-                total[k, :, :, which] += np.bincount(at, np.repeat(w, bins.shape[1]), total[k, :, :, 0].size).reshape(1 << level, width)
+            node, weights = node[rows], (p - y[rows], p * (1 - p))
+            for group in plans[k]:
+                if (key := tuple(group)) not in codes:
+                    code = np.zeros(len(bins), np.int32)
+                    for f in group:
+                        code = code * np.int32(sizes[f]) + bins[:, f]
+                    codes[key] = code
+                shape = [1 << level, *sizes[group].tolist()]
+                cells = math.prod(shape)
+                at = node * (cells >> level) + codes[key][rows]
+                for which, w in enumerate(weights):
+                    sums = np.bincount(at, w, cells).reshape(shape)
+                    for axis, f in enumerate(group, 1):
+                        others = tuple(i for i in range(1, len(shape)) if i != axis)
+                        total[k, :, offsets[f]:offsets[f + 1], which] += sums.sum(others)
     yield total
 
 
+def _own(features: Sequence[int] | None, n: int) -> np.ndarray:
+    """The places of a booster's features, ascending."""
+    return np.arange(n) if features is None else np.sort(np.asarray(features, int))
+
+
 def _split(booster: Booster, tree: _Tree, level: int, sums: np.ndarray, offsets: np.ndarray) -> None:
     """Best split of every node of a level; nodes without one are leaves."""
-    own = np.arange(len(offsets) - 1) if booster.features is None else np.sort(np.asarray(booster.features, int))
+    own = _own(booster.features, len(offsets) - 1)
     first, lam = (1 << level) - 1, booster.penalty
     # the split points of all features side by side, short features padded at their end
     points = np.diff(offsets)[own] - 1
@@ -198,7 +235,7 @@ def _split(booster: Booster, tree: _Tree, level: int, sums: np.ndarray, offsets:
         if not tree.used[node]:
             continue
         best = 0.0, -1, 0
-        g, h = sums[i, offsets[0]:offsets[1]].sum(0)
+        g, h = sums[i, offsets[own[0]]:offsets[own[0] + 1]].sum(0)  # any feature's sums are the node's
         if cells.size:
             gl, hl = np.moveaxis(np.cumsum(sums[i][cells], 1), 2, 0)
             gr, hr = g - gl, h - hl
@@ -258,12 +295,12 @@ def fit(data: Binned, boosters: Sequence[Booster]):
             state.checkpoint()
         trees = [_Tree(b.depth) if len(b.grown) < b.trees else None for b in boosters]
         for level in range(max(b.depth for b in boosters)):
-            growing = [(tree if tree is not None and level < b.depth and tree.used[(1 << level) - 1:(2 << level) - 1].any() else None, b.left_out)
+            growing = [(tree if tree is not None and level < b.depth and tree.used[(1 << level) - 1:(2 << level) - 1].any() else None, b.left_out, b.features)
                        for b, tree in zip(boosters, trees)]
-            if all(tree is None for tree, _ in growing):
+            if all(tree is None for tree, *_ in growing):
                 break
             sums = state.mapPartitions(lambda s, g=growing, v=level: _sums(s, g, v, offsets)).treeReduce(np.add)
-            for k, (tree, _) in enumerate(growing):
+            for k, (tree, *_) in enumerate(growing):
                 if tree is not None:
                     _split(boosters[k], tree, level, sums[k], offsets)
         for b, tree in zip(boosters, trees):
