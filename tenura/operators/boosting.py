@@ -19,7 +19,6 @@ goes right at every split, a null label is an error.
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -40,8 +39,6 @@ EDGES = 63
 #: Rows of a block.
 BLOCK = 1 << 16
 CHECKPOINT = 25
-#: Bins of a joint histogram, at most: 8 nodes of them stay in a core's cache.
-JOINT = 256
 #: Rows for which a pass of their own pays a task.
 TASK_ROWS = 1 << 17
 
@@ -168,51 +165,26 @@ def binned(df: DataFrame, features: Sequence[str], label: str, fold: str | Colum
     return Binned(blocks, list(features), edges, df.sparkSession)
 
 
-def _joint(sizes: np.ndarray, own: np.ndarray) -> list[list[int]]:
-    """The features of ``own`` in groups of at most ``JOINT`` joint bins (first fit,
-    the largest first): one histogram a group has the sums of all its features."""
-    groups, cells = [], []
-    for f in own[np.argsort(-sizes[own], kind="stable")].tolist():
-        at = next((i for i, c in enumerate(cells) if c * sizes[f] <= JOINT), None)
-        if at is None:
-            groups.append([f])
-            cells.append(int(sizes[f]))
-        else:
-            groups[at].append(f)
-            cells[at] *= int(sizes[f])
-    return groups
-
-
 def _sums(states: Iterator, growing, level: int, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """Gradients and hessians (booster, node, bin of a feature, which) of the rows of one level;
-    ``growing`` has for each booster its tree (None: done), left out fold and own features
-    (None: all; the others have no sums)."""
-    width, first, sizes = int(offsets[-1]), (1 << level) - 1, np.diff(offsets)
+    ``growing`` has for each booster its tree (None: done), left out fold and own features (None:
+    all).  Others than these and the first, from which the sums of a node come, have no sums."""
+    width, first = int(offsets[-1]), (1 << level) - 1
     total = np.zeros((len(growing), 1 << level, width, 2))
-    plans = [_joint(sizes, _own(own, len(sizes))) for _, _, own in growing]
     for bins, y, fold, margin in states:
-        codes = {}  # of groups, for the boosters that share them
-        for k, (tree, left_out, _) in enumerate(growing):
+        for k, (tree, left_out, own) in enumerate(growing):
             if tree is None:
                 continue
             node = tree.nodes(bins, level) - first
             rows = np.flatnonzero((node >= 0) & ~_left_out(fold, left_out))
             p = 1 / (1 + np.exp(-margin[rows, k]))
             node, weights = node[rows], (p - y[rows], p * (1 - p))
-            for group in plans[k]:
-                if (key := tuple(group)) not in codes:
-                    code = np.zeros(len(bins), np.int32)
-                    for f in group:
-                        code = code * np.int32(sizes[f]) + bins[:, f]
-                    codes[key] = code
-                shape = [1 << level, *sizes[group].tolist()]
-                cells = math.prod(shape)
-                at = node * (cells >> level) + codes[key][rows]
+            of_feature = np.ascontiguousarray(bins[rows].T)
+            for f in sorted({0, *_own(own, len(offsets) - 1).tolist()}):
+                lo, hi = offsets[f:f + 2].tolist()
+                at = node * (hi - lo) + of_feature[f]
                 for which, w in enumerate(weights):
-                    sums = np.bincount(at, w, cells).reshape(shape)
-                    for axis, f in enumerate(group, 1):
-                        others = tuple(i for i in range(1, len(shape)) if i != axis)
-                        total[k, :, offsets[f]:offsets[f + 1], which] += sums.sum(others)
+                    total[k, :, lo:hi, which] += np.bincount(at, w, (hi - lo) << level).reshape(1 << level, hi - lo)
     yield total
 
 
@@ -235,7 +207,7 @@ def _split(booster: Booster, tree: _Tree, level: int, sums: np.ndarray, offsets:
         if not tree.used[node]:
             continue
         best = 0.0, -1, 0
-        g, h = sums[i, offsets[own[0]]:offsets[own[0] + 1]].sum(0)  # any feature's sums are the node's
+        g, h = sums[i, offsets[0]:offsets[1]].sum(0)
         if cells.size:
             gl, hl = np.moveaxis(np.cumsum(sums[i][cells], 1), 2, 0)
             gr, hr = g - gl, h - hl
